@@ -87,7 +87,7 @@ def index_weights(members: DataFrame, closes: DataFrame, shares: DataFrame,
 
 def membership_flags(composition: DataFrame, index_codes: list[str], keys: list[str]) -> DataFrame:
     """Wide membership: ``in_idx_<code>`` per key. The index list is given, not discovered."""
-    counted = composition.groupBy(*keys).pivot("index_code", index_codes).agg(F.count("*"))
+    counted = composition.groupBy(*keys).pivot("index_code", index_codes).agg(F.count(F.lit(1)))
     return counted.select(*keys, *[
         (F.coalesce(F.col(f"`{c}`"), F.lit(0)) > 0).alias(f"in_idx_{c}") for c in index_codes
     ])

@@ -164,11 +164,10 @@ def sliced_state(tagged: DataFrame, slices: DataFrame, keys: list[str] = KEYS) -
     row is ever paired with more than one slice. Slices before a key's first
     row are absent.
     """
-    after = F.lag("end_second").over(W.orderBy("end_second"))
+    first = F.coalesce(F.lag("end_second").over(W.orderBy("end_second")) + 1, F.lit(0))
     # At most 86,401 rows: one per second of a day, so a broadcast is bounded.
-    seconds = slices.select(
-        "slice", F.explode(F.sequence(F.coalesce(after + 1, F.lit(0)), F.col("end_second"))).alias("_second")
-    )
+    seconds = slices.withColumn("_from", first).select(
+        "slice", F.explode(F.sequence("_from", "end_second")).alias("_second"))
     last = slices.agg(F.max("slice")).scalar()
     second = F.ceil(times.micros_of_day(F.col("time")) / F.lit(1_000_000.0)).cast("int")
     placed = tagged.withColumn("_second", second).join(F.broadcast(seconds), "_second")
@@ -187,10 +186,10 @@ def sliced_state(tagged: DataFrame, slices: DataFrame, keys: list[str] = KEYS) -
         **{n: F.max(n).over(so_far) for n in
            ("last_tick_time", "last_deal_time", "last_order_time", "last_market_time")},
     }
-    following = F.coalesce(F.lead("slice").over(order), last + 1)
-    walked = partial.select(*keys, "slice", following.alias("_stop"),
+    walked = partial.select(*keys, "slice", F.lead("slice").over(order).alias("_next"),
                             *[e.alias(n) for n, e in running.items()])
-    spread = walked.withColumn("slice", F.explode(F.sequence(F.col("slice"), F.col("_stop") - 1))).drop("_stop")
+    stops = walked.withColumn("_stop", F.coalesce(F.col("_next") - 1, last))
+    spread = stops.withColumn("slice", F.explode(F.sequence(F.col("slice"), F.col("_stop")))).drop("_next", "_stop")
     ends = slices.select("slice", *[c for c in slices.columns if c not in ("slice",)])
     return spread.join(F.broadcast(ends), "slice")
 
