@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.calendar import attach_history, calendar
 from tickloom.operators.state import KEYS, tag_feeds
+from tickloom.session import ship_package
 
 MAX_FRAME_ROWS = 5_000_000  # rows of one stock-day that a frame function may receive
 
@@ -82,60 +83,110 @@ def expression_factors(df: DataFrame, keys: list[str], factors: dict[str, Column
     return df.groupBy(*keys).agg(*[e.alias(n) for n, e in factors.items()])
 
 
+Frames = Iterator[pd.DataFrame]
+
+
 @dataclass(frozen=True)
 class Fold:
-    """A mergeable pandas factor.
+    """A mergeable pandas factor over state frames (key columns plus state columns).
 
-    ``partial`` reduces some rows of one key to a state dict, ``merge`` combines
-    two states, ``finish`` turns the state into factor values.
+    ``partial(rows, keys)`` reduces any rows to one state row per key,
+    ``merge(states, keys)`` reduces state rows the same way, and
+    ``finish(states)`` returns the factor columns of each state row.
     """
 
     state: str
     result: str
-    partial: Callable[[pd.DataFrame], dict]
-    merge: Callable[[dict, dict], dict]
-    finish: Callable[[dict], dict]
-    max_keys: int = 50_000
+    partial: Callable[[pd.DataFrame, list[str]], pd.DataFrame]
+    merge: Callable[[pd.DataFrame, list[str]], pd.DataFrame]
+    finish: Callable[[pd.DataFrame], pd.DataFrame]
+    max_states: int = 200_000
+
+
+def sum_fold(columns: list[str], state: str, result: str, finish: Callable[[pd.DataFrame], pd.DataFrame]) -> Fold:
+    """A fold whose state is column sums."""
+    total = lambda rows, keys: rows.groupby(list(keys), as_index=False, sort=False, dropna=False)[columns].sum()
+    return Fold(state, result, total, total, finish)
+
+
+def _names(schema: str) -> list[str]:
+    return [part.strip().split()[0] for part in schema.split(",")]
 
 
 def _key_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
 
 
-def fold_factors(df: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
-    """Run a fold: states per task where the rows lie, then one merge per key.
+def _together(df: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """Rows of a key in one task, keys consecutive.
 
-    A key sends one state per task that saw it, never its rows, so the final
-    group is bounded by the number of tasks.
+    The partition count is stated because run-time coalescing judges bytes,
+    while the cost here is Python time.
     """
-    names = [s.strip().split()[0] for s in fold.state.split(",")]
-    ids = _key_schema(df, keys)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
+def _runs(batches: Frames, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(key, rows) of consecutive equal keys in sorted batches; one key is held at a time."""
+    held_key, held = None, []
+    for batch in batches:
+        ids = list(batch[list(keys)].itertuples(index=False, name=None))
+        starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]] + [len(ids)]
+        for lo, hi in zip(starts, starts[1:]):
+            if held and ids[lo] != held_key:
+                yield held_key, pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held_key = ids[lo]
+            held.append(batch.iloc[lo:hi])
+    if held:
+        yield held_key, pd.concat(held) if len(held) > 1 else held[0]
 
-    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict[tuple, dict] = {}
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([{**dict(zip(keys, k)), **s} for k, s in states.items()], columns=[*keys, *names])
+def fold_factors(df: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
+    """Run a fold: states per task where the rows lie, then one merge per key.
 
-        for batch in batches:
-            for key, rows in batch.groupby(list(keys), sort=False, dropna=False):
-                state = fold.partial(rows)
-                states[key] = fold.merge(states[key], state) if key in states else state
-            if len(states) > fold.max_keys:
-                yield out()
-                states.clear()
-        if states:
-            yield out()
-
-    def merge_states(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        records = rows[names].to_dict("records")
-        total = records[0]
-        for record in records[1:]:
-            total = fold.merge(total, record)
-        return pd.DataFrame([{**dict(zip(keys, key)), **fold.finish(total)}])
+    A key sends one state per task that saw it, never its rows, so the merge
+    is bounded by the number of tasks.
+    """
+    states, ids = _names(fold.state), _key_schema(df, keys)
+    columns = [*keys, *states]
 
+    def reduce_rows(batches: Frames) -> Frames:
+        kept, size = [], 0
+        for batch in batches:
+            part = fold.partial(batch, keys)[columns]
+            kept.append(part)
+            size += len(part)
+            if size > fold.max_states:
+                merged = fold.merge(pd.concat(kept), keys)[columns]
+                kept, size = [merged], len(merged)
+                if size > fold.max_states // 2:
+                    yield merged
+                    kept, size = [], 0
+        if kept:
+            yield fold.merge(pd.concat(kept), keys)[columns]
+
+    def merge_states(batches: Frames) -> Frames:
+        carry = None
+        for batch in batches:
+            rows = batch if carry is None else pd.concat([carry, batch])
+            merged = fold.merge(rows, keys)[columns].reset_index(drop=True)
+            # The last key of a batch may go on in the next one.
+            tail = rows.iloc[-1][list(keys)]
+            is_last = (merged[list(keys)] == tail.values).all(axis=1)
+            carry = merged[is_last]
+            yield finished(merged[~is_last])
+        if carry is not None:
+            yield finished(carry)
+
+    def finished(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
+        return pd.concat([rows[list(keys)], fold.finish(rows)[_names(fold.result)]], axis=1)
+
+    ship_package(df.sparkSession)
     partial = df.mapInPandas(reduce_rows, f"{ids}, {fold.state}")
-    return partial.groupBy(*keys).applyInPandas(merge_states, f"{ids}, {fold.result}")
+    return _together(partial, keys).mapInPandas(merge_states, f"{ids}, {fold.result}")
 
 
 @dataclass
@@ -162,11 +213,13 @@ class StockData:
 
 
 def _to_stock(code: str, rows: pd.DataFrame) -> StockData:
-    rows = rows.sort_values("seq_num", kind="mergesort")
+    """Frames of one stock from rows already in sequence order."""
     kinds = lambda f: {k: f[f["kind"] == k] for k in ("tick", "deal", "order")}
-    today = rows[rows["day_offset"] == 0]
-    past = {int(o): kinds(g) for o, g in rows[rows["day_offset"] > 0].groupby("day_offset")}
-    return StockData(code, **kinds(today), history=past)
+    offsets = rows["day_offset"]
+    if not offsets.any():
+        return StockData(code, **kinds(rows))
+    past = {int(o): kinds(g) for o, g in rows[offsets != 0].groupby("day_offset")}
+    return StockData(code, **kinds(rows[offsets == 0]), history=past)
 
 
 def end_second(end_time: str) -> int | None:
@@ -209,8 +262,21 @@ def check_group_size(df: DataFrame, keys: list[str], limit: int = MAX_FRAME_ROWS
             f"a group of {largest} rows exceeds {limit}; write this factor as a Fold or as expressions")
 
 
-def _rows_to_frame(rows: list[dict], key: dict, columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame([{**r, **key} for r in rows], columns=columns)
+def _emit_rows(groups: Iterator[list[dict]], columns: list[str], chunk: int = 5_000) -> Frames:
+    """Result rows as frames of a few thousand rows."""
+    pending: list[dict] = []
+    for rows in groups:
+        pending += rows
+        if len(pending) >= chunk:
+            yield pd.DataFrame(pending, columns=columns)
+            pending = []
+    if pending:
+        yield pd.DataFrame(pending, columns=columns)
+
+
+def _result_schema(result: str) -> tuple[str, list[str]]:
+    return (f"trade_date date, code string, end_time string, {result}",
+            ["trade_date", "code", "end_time", *_names(result)])
 
 
 def frame_factors(tagged: DataFrame, fn: Callable, result: str, end_times: Iterable[str] = ("",),
@@ -220,51 +286,57 @@ def frame_factors(tagged: DataFrame, fn: Callable, result: str, end_times: Itera
     Frames are cut at the slice end before the call. ``result`` declares the
     factor columns; undeclared keys are dropped and missing ones are null.
     """
+    ship_package(tagged.sparkSession)
     check_group_size(tagged, KEYS, limit)
     ends = tuple(end_times)
-    columns = ["trade_date", "code", "end_time", *[s.strip().split()[0] for s in result.split(",")]]
+    schema, columns = _result_schema(result)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        day, code = key
-        data, out = _to_stock(code, rows), []
-        for end in ends:
-            value = fn(data.until(end_second(end)), code, day, end)
-            out += result_rows(value, code, [end])
-        return _rows_to_frame(out, {"trade_date": day}, columns)
+    def run(batches: Frames) -> Frames:
+        def groups() -> Iterator[list[dict]]:
+            for (day, code), rows in _runs(batches, KEYS):
+                data = _to_stock(code, rows)
+                found = [r for e in ends for r in result_rows(fn(data.until(end_second(e)), code, day, e), code, [e])]
+                yield [{**r, "trade_date": day} for r in found]
+        return _emit_rows(groups(), columns)
 
-    return tagged.groupBy(*KEYS).applyInPandas(run, f"trade_date date, code string, end_time string, {result}")
+    return _together(tagged, KEYS, ["seq_num"]).mapInPandas(run, schema)
 
 
 def batch_factors(tagged: DataFrame, fn: Callable, result: str, batches: int, end_times: Iterable[str] = ("",),
                   limit: int = MAX_FRAME_ROWS) -> DataFrame:
     """``fn({code: data}, codes, date, end_times)`` per day and group of codes."""
     keyed = tagged.withColumn("_batch", F.pmod(F.xxhash64("code"), F.lit(batches)))
+    ship_package(tagged.sparkSession)
     check_group_size(keyed, ["trade_date", "_batch"], limit)
     ends = tuple(end_times)
-    columns = ["trade_date", "code", "end_time", *[s.strip().split()[0] for s in result.split(",")]]
+    schema, columns = _result_schema(result)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        data = {code: _to_stock(code, part) for code, part in rows.groupby("code")}
-        value = fn(data, sorted(data), key[0], list(ends))
-        return _rows_to_frame(result_rows(value, "", ends), {"trade_date": key[0]}, columns)
+    def run(parts: Frames) -> Frames:
+        def groups() -> Iterator[list[dict]]:
+            for (day, _), rows in _runs(parts, ["trade_date", "_batch"]):
+                data = {code: _to_stock(code, part) for code, part in rows.groupby("code")}
+                value = fn(data, sorted(data), day, list(ends))
+                yield [{**r, "trade_date": day} for r in result_rows(value, "", ends)]
+        return _emit_rows(groups(), columns)
 
-    return keyed.groupBy("trade_date", "_batch").applyInPandas(
-        run, f"trade_date date, code string, end_time string, {result}")
+    return _together(keyed, ["trade_date", "_batch"], ["seq_num"]).mapInPandas(run, schema)
 
 
 def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: str,
                       limit: int = MAX_FRAME_ROWS) -> DataFrame:
     """``fn(code, date, left_frame, right_frame)`` for two inputs of different shape."""
+    ship_package(left.sparkSession)
     check_group_size(left, KEYS, limit)
     check_group_size(right, KEYS, limit)
-    columns = ["trade_date", "code", "end_time", *[s.strip().split()[0] for s in result.split(",")]]
+    schema, columns = _result_schema(result)
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = result_rows(fn(key[1], key[0], a, b), key[1], [""])
-        return _rows_to_frame(rows, {"trade_date": key[0]}, columns)
+        return pd.DataFrame([{**r, "trade_date": key[0]} for r in rows], columns=columns)
 
-    return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(
-        run, f"trade_date date, code string, end_time string, {result}")
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = [df.repartition(n, *KEYS).groupBy(*KEYS) for df in (left, right)]
+    return grouped[0].cogroup(grouped[1]).applyInPandas(run, schema)
 
 
 def emit(results: DataFrame, write: Callable[[DataFrame, str], None], end_times: Iterable[str]) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import codes, values
 from tickloom.operators.keyed import ordered_position, top_n
+from tickloom.session import ship_package
 
 
 def feature_matrix(df: DataFrame, features: list[str], medians: dict[str, float] | None = None,
@@ -47,6 +48,7 @@ def model_score(df: DataFrame, features: list[str], predict: Callable[[pd.DataFr
             out[into] = predict(batch[list(features)])
             yield out
 
+    ship_package(df.sparkSession)
     return df.select(*keep, *features).mapInPandas(run, f"{schema}, `{into}` double")
 
 

@@ -12,9 +12,7 @@ from tickloom.operators import portfolio as pf
 from tickloom.operators import reconcile as rec
 from tickloom.operators.keyed import latest_per_key
 from tickloom.plans.registry import query
-from tickloom.plans.views import view
-
-DAY = F.col("trade_date").cast("string").alias("trade_date")
+from tickloom.plans.views import day, view
 
 
 def text_date(name, alias=None):
@@ -40,7 +38,7 @@ def j1(spark, sf):
         F.max("latency_ms").cast("double").alias("beta"))
     index = daily.where("trade_date <> DATE '2024-01-07'").groupBy("trade_date").agg(F.max("high").alias("idx_close"))
     out = pan.build_panel(daily, adjusted, view(spark, sf, "v_security").select("security_id", "industry"), exposure, index)
-    return out.select(DAY, "security_id", "close", "adj_close", "industry", "beta", "idx_close")
+    return out.select(day(), "security_id", "close", "adj_close", "industry", "beta", "idx_close")
 
 
 @query("j2_index_row_attach", "v_daily", """
@@ -52,7 +50,7 @@ def j2(spark, sf):
     index = daily.where("trade_date > DATE '2024-01-03'").groupBy("trade_date").agg(F.sum("volume").cast("double").alias("idx"))
     out = pan.build_panel(daily.select("trade_date", "security_id", "id_qi"), daily.select("trade_date", "security_id", "close"),
                           view(spark, sf, "v_security").select("security_id"), index_rows=index)
-    return out.select(DAY, "id_qi", "close", "idx")
+    return out.select(day(), "id_qi", "close", "idx")
 
 
 _CAL = """
@@ -65,7 +63,7 @@ SELECT CAST(c.trade_date AS VARCHAR) AS trade_date, m.index_code, m.cons_id FROM
 ON m.into_date <= c.trade_date AND (m.out_date IS NULL OR m.out_date > c.trade_date)""")
 def j3(spark, sf):
     days = cal.calendar(view(spark, sf, "v_daily"))
-    return mem.members_in_time(view(spark, sf, "v_idx_cons"), days).select(DAY, "index_code", "cons_id")
+    return mem.members_in_time(view(spark, sf, "v_idx_cons"), days).select(day(), "index_code", "cons_id")
 
 
 @query("j4_asof_close", "v_daily", _CAL + """
@@ -76,7 +74,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, security_id, close, CAST(price
 def j4(spark, sf):
     daily = view(spark, sf, "v_daily")
     out = mem.newest_close(daily.select("trade_date", "security_id", "close"), cal.calendar(daily))
-    return out.select(DAY, "security_id", "close", text_date("price_date"))
+    return out.select(day(), "security_id", "close", text_date("price_date"))
 
 
 _SHARES = """
@@ -90,7 +88,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, security_id, free_shares, CAST
 def j5(spark, sf):
     days = cal.calendar(view(spark, sf, "v_daily"))
     out = mem.free_shares_asof(view(spark, sf, "v_free_shares"), days, view(spark, sf, "v_security"))
-    return out.select(DAY, "security_id", "free_shares", text_date("change_date"))
+    return out.select(day(), "security_id", "free_shares", text_date("change_date"))
 
 
 def _coded_security(spark, sf):
@@ -113,7 +111,7 @@ def j7(spark, sf):
         F.max("current_price").cast("double").alias("close"), F.count("*").alias("n"))
     panel = _coded_daily(spark, sf).select("trade_date", "code", "close", "volume")
     return pan.attach_new_columns(factors, panel, ["trade_date", "code"], "_market").select(
-        DAY, "code", "close", "n", "close_market", "volume")
+        day(), "code", "close", "n", "close_market", "volume")
 
 
 @query("j8_universe_enrich", "v_daily v_security", """
@@ -147,7 +145,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, CASE WHEN b THEN 'both'
 def j10(spark, sf):
     left = _coded_daily(spark, sf).where("volume > 200")
     right = view(spark, sf, "v_tick").where("event_type = 'click'")
-    return rec.key_sets(left, right, ["trade_date", "code"]).select(DAY, "code", "side")
+    return rec.key_sets(left, right, ["trade_date", "code"]).select(day(), "code", "side")
 
 
 @query("j11_price_chain", "v_target v_quote v_position v_daily", """
@@ -177,7 +175,7 @@ FROM p b CROSS JOIN k LEFT JOIN p h ON h.code = b.code AND h.o = b.o - k.day_off
 def j12(spark, sf):
     daily = _coded_daily(spark, sf).select("trade_date", "code", "close")
     out = cal.attach_history(daily.select("trade_date", "code"), daily, cal.calendar(daily), [0, 1, 3])
-    return out.select(DAY, "code", "day_offset", "hist_close", text_date("hist_trade_date"))
+    return out.select(day(), "code", "day_offset", "hist_close", text_date("hist_trade_date"))
 
 
 @query("j13_null_override", "v_daily v_tick", """
@@ -192,7 +190,7 @@ def j13(spark, sf):
         F.when(c("volume") > 300, "").otherwise(c("open").cast("string")).alias("size"))
     api = view(spark, sf, "v_tick").where("event_type <> 'view'").groupBy("trade_date", "code").agg(
         F.max("latency_ms").cast("double").alias("beta"), F.min("latency_ms").cast("double").alias("size"))
-    return pan.fill_nulls_from(current, api, ["trade_date", "code"], ["beta", "size"]).select(DAY, "code", "beta", "size")
+    return pan.fill_nulls_from(current, api, ["trade_date", "code"], ["beta", "size"]).select(day(), "code", "beta", "size")
 
 
 @query("j14_seen_rows", "v_order v_deal_ev", """
@@ -210,7 +208,7 @@ def j15(spark, sf):
     daily = _coded_daily(spark, sf).select("trade_date", "code", "close")
     asked = daily.select(F.col("trade_date").alias("as_of")).distinct()
     known = daily.where(F.dayofmonth("trade_date") % 4 != 0)
-    return cal.latest_before(known, asked).select(text_date("as_of"), DAY, "code", "close")
+    return cal.latest_before(known, asked).select(text_date("as_of"), day(), "code", "close")
 
 
 @query("j16_stock_selection", "v_daily v_security", """
@@ -218,7 +216,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, id_qi, close FROM v_daily WHER
 def j16(spark, sf):
     wanted = view(spark, sf, "v_security").where("industry = 'BUILDING'").select(
         F.concat("id_qi", F.lit("."), "exchange_cd").alias("code"))
-    return pan.select_stock(view(spark, sf, "v_daily"), wanted).select(DAY, "id_qi", "close")
+    return pan.select_stock(view(spark, sf, "v_daily"), wanted).select(day(), "id_qi", "close")
 
 
 _WEIGHT = _CAL + """
@@ -251,7 +249,7 @@ def index_weights(spark, sf):
 @query("a6_index_weights", _WEIGHT_VIEWS, _WEIGHT + """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, index_code, id_qi, weight FROM wt""")
 def a6(spark, sf):
-    return index_weights(spark, sf).select(DAY, "index_code", "id_qi", "weight")
+    return index_weights(spark, sf).select(day(), "index_code", "id_qi", "weight")
 
 
 INDEXES = ["000000", "000001", "000002", "000003", "000004"]
@@ -292,7 +290,7 @@ def a9(spark, sf):
 @query("a19_benchmark_norm", "v_daily", _COMP + """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, id_qi, index_code, weight / sum(weight) OVER (PARTITION BY trade_date, index_code) AS norm_weight FROM comp WHERE weight > 0""")
 def a19(spark, sf):
-    return mem.normalised_benchmark(_composition(spark, sf)).select(DAY, "id_qi", "index_code", "norm_weight")
+    return mem.normalised_benchmark(_composition(spark, sf)).select(day(), "id_qi", "index_code", "norm_weight")
 
 
 @query("w8_partition_share", "v_daily v_security", """
@@ -301,7 +299,7 @@ FROM v_daily d JOIN v_security s USING (security_id)""")
 def w8(spark, sf):
     from tickloom.operators.keyed import share_within
     rows = view(spark, sf, "v_daily").join(view(spark, sf, "v_security").select("security_id", "industry"), "security_id")
-    return share_within(rows, ["trade_date", "industry"], "amount_cents", "share").select(DAY, "industry", "id_qi", "share")
+    return share_within(rows, ["trade_date", "industry"], "amount_cents", "share").select(day(), "industry", "id_qi", "share")
 
 
 @query("q4_weight_freshness", _WEIGHT_VIEWS, _WEIGHT + """
@@ -313,7 +311,7 @@ SELECT CAST(w.trade_date AS VARCHAR) AS trade_date, count(*) AS members,
 FROM wt w JOIN cal c USING (trade_date) GROUP BY 1""")
 def q4(spark, sf):
     days = cal.calendar(view(spark, sf, "v_daily"))
-    return mem.weight_freshness(index_weights(spark, sf), days, "000003").withColumn("trade_date", DAY)
+    return mem.weight_freshness(index_weights(spark, sf), days, "000003").withColumn("trade_date", day())
 
 
 @query("q7_benchmark_checks", "v_daily v_tick", """
@@ -330,13 +328,13 @@ def q7(spark, sf):
     comp = view(spark, sf, "v_tick").select(
         "trade_date", F.when(c("event_type") == "error", "none").otherwise(c("code")).alias("id_qi"), F.lit("A").alias("index_code"),
         F.when(c("event_type") == "view", -1.0).otherwise(c("ask_volume1").cast("double")).alias("weight"))
-    return mem.benchmark_checks(comp).withColumn("trade_date", DAY)
+    return mem.benchmark_checks(comp).withColumn("trade_date", day())
 
 
 @query("q13_panel_gate", "v_daily", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, count(*) AS rows, 9 AS columns, count(*) >= 135 AS passed FROM v_daily GROUP BY 1""")
 def q13(spark, sf):
-    return pan.panel_gate(view(spark, sf, "v_daily"), 9, 135).withColumn("trade_date", DAY)
+    return pan.panel_gate(view(spark, sf, "v_daily"), 9, 135).withColumn("trade_date", day())
 
 
 @query("u1_union_columns", "v_daily v_tick", """
@@ -354,8 +352,8 @@ UNION ALL SELECT CAST(trade_date AS VARCHAR), code, 'missing' FROM (SELECT * FRO
 def u2(spark, sf):
     left, right = _coded_daily(spark, sf).where("volume > 200"), view(spark, sf, "v_tick").where("event_type = 'click'")
     keys = ["trade_date", "code"]
-    return rec.common_keys(left, right, keys).select(DAY, "code", F.lit("common").alias("part")).unionByName(
-        rec.keys_missing(left, right, keys).select(DAY, "code", F.lit("missing").alias("part")))
+    return rec.common_keys(left, right, keys).select(day(), "code", F.lit("common").alias("part")).unionByName(
+        rec.keys_missing(left, right, keys).select(day(), "code", F.lit("missing").alias("part")))
 
 
 @query("u3_row_backfill", "v_daily", """
@@ -366,7 +364,7 @@ UNION ALL SELECT CAST(t.trade_date AS VARCHAR), p.id_qi, p.close, CAST(t.prev AS
 WHERE NOT EXISTS (SELECT 1 FROM v_daily x WHERE x.trade_date = t.trade_date AND x.id_qi = p.id_qi)""")
 def u3(spark, sf):
     out = pan.backfill_rows(view(spark, sf, "v_daily"), "id_qi", 135, F.lit("2024-01-30").cast("date"), mark=True)
-    return out.select(DAY, "id_qi", "close", text_date("stale_from"))
+    return out.select(day(), "id_qi", "close", text_date("stale_from"))
 
 
 @query("u4_column_backfill", "v_daily", """
@@ -383,4 +381,4 @@ def u4(spark, sf):
     holes = daily.join(cal.calendar(daily).select("trade_date", "ordinal"), "trade_date").select(
         "trade_date", "id_qi", F.when(~(o % 5).isin(3, 4), F.col("high")).alias("ind"), F.when(o % 7 != 0, F.col("low")).alias("beta"))
     out = pan.backfill_column_group(holes, "id_qi", ["ind"], ["beta"])
-    return out.select(DAY, "id_qi", "ind", "beta", "stable_missing", "moving_missing")
+    return out.select(day(), "id_qi", "ind", "beta", "stable_missing", "moving_missing")

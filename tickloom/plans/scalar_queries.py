@@ -10,10 +10,11 @@ from tickloom.operators import universe as uni
 from tickloom.operators.keyed import exact_median
 from tickloom.operators.scoring import feature_matrix
 from tickloom.plans.registry import query
-from tickloom.plans.views import view
+from tickloom.plans.views import day, view
 
-DAY = F.col("trade_date").cast("string").alias("trade_date")
-FEED_DAY = F.lit("2024-01-05").cast("date")
+
+def feed_day():
+    return F.lit("2024-01-05").cast("date")
 
 
 def us(name, alias=None):
@@ -67,7 +68,7 @@ SELECT 'order' AS kind, code, time_us, biz_index AS seq_num, buy_order_no + sell
        CAST(CASE msg_type WHEN 'A' THEN 2 ELSE 5 END AS SMALLINT) AS order_type, 0.0::DOUBLE AS money FROM b WHERE msg_type IN ('A', 'D')
 UNION ALL SELECT 'deal', code, time_us, biz_index, buy_order_no, side, price, CAST(0 AS SMALLINT), price * qty FROM b WHERE msg_type = 'T'""")
 def p3(spark, sf):
-    orders, deals = feeds.split_merged_sh(_merged_feed(spark, sf), FEED_DAY)
+    orders, deals = feeds.split_merged_sh(_merged_feed(spark, sf), feed_day())
     base = ["code", us("time"), "seq_num"]
     return orders.select(
         F.lit("order").alias("kind"), *base, "order_id", "side", "price", "order_type", F.lit(0.0).alias("money"),
@@ -99,7 +100,7 @@ SELECT ticker || CASE WHEN ticker LIKE '6%' THEN '.XSHG' ELSE '.XSHE' END AS cod
        ELSE CASE msg_type WHEN 'A' THEN 1 WHEN 'D' THEN 3 ELSE 0 END END AS DOUBLE) AS order_type,
   CASE WHEN ticker LIKE '6%' THEN 3 ELSE 4 END::BIGINT AS channel, CAST(qty AS DOUBLE) AS volume FROM v_raw_feed""")
 def p4(spark, sf):
-    out = feeds.route_by_market(_order_feed(spark, sf), FEED_DAY, "order")
+    out = feeds.route_by_market(_order_feed(spark, sf), feed_day(), "order")
     return out.select("code", "seq_num", "order_id", F.col("side").cast("double").alias("side"),
                       F.col("order_type").cast("double").alias("order_type"), "channel", "volume")
 
@@ -124,7 +125,7 @@ SELECT ticker || CASE WHEN ticker LIKE '6%' THEN '.XSHG' ELSE '.XSHE' END AS cod
        WHEN msg_type = 'D' THEN 4 WHEN buy_order_no % 5 > sell_order_no % 7 THEN 0 ELSE 1 END AS SMALLINT) AS side,
   CAST(raw_price3 * qty AS DOUBLE) AS money FROM v_raw_feed""")
 def p5(spark, sf):
-    out = feeds.route_by_market(_deal_feed(spark, sf), FEED_DAY, "deal")
+    out = feeds.route_by_market(_deal_feed(spark, sf), feed_day(), "deal")
     return out.select("code", "seq_num", "sale_order_id", "side", "money")
 
 
@@ -144,7 +145,7 @@ SELECT ticker || CASE WHEN ticker LIKE '6%' THEN '.XSHG' ELSE '.XSHE' END AS cod
   0.0::DOUBLE AS open_price, CAST(raw_price3 AS DOUBLE) AS ask_price1, CAST(qty AS DOUBLE) AS ask_num1,
   CAST(qty AS DOUBLE) AS bid_volume2, 0.0::DOUBLE AS bid_price10, 0.0::DOUBLE AS iopv FROM v_raw_feed""")
 def p6(spark, sf):
-    out = feeds.route_by_market(_tick_feed(spark, sf), FEED_DAY, "tick")
+    out = feeds.route_by_market(_tick_feed(spark, sf), feed_day(), "tick")
     return out.select("code", "seq_num", "current_price", "total_volume", "open_price", "ask_price1", "ask_num1",
                       "bid_volume2", "bid_price10", "iopv")
 
@@ -180,12 +181,12 @@ def p10(spark, sf):
     text = F.concat_ws(":", two(part(10000000, 100)), two(part(100000, 100)), F.concat(
         two(part(1000, 100)), F.lit("."), F.lpad((raw % 1000).cast("string"), 3, "0")))
     text = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(text)
-    number = times.parse_clock_number(raw, FEED_DAY)
+    number = times.parse_clock_number(raw, feed_day())
     epoch_ms = F.floor(times.epoch_micros(number) / F.lit(1000))
     return view(spark, sf, "v_raw_feed").select(
         "biz_index", times.epoch_micros(number).alias("from_number"),
-        times.epoch_micros(times.parse_clock_text(text, FEED_DAY)).cast("double").alias("from_text"),
-        times.epoch_micros(times.parse_clock_number(epoch_ms, FEED_DAY)).alias("from_epoch"))
+        times.epoch_micros(times.parse_clock_text(text, feed_day())).cast("double").alias("from_text"),
+        times.epoch_micros(times.parse_clock_number(epoch_ms, feed_day())).alias("from_epoch"))
 
 
 @query("p11_time_of_day", "v_tick", """
@@ -204,7 +205,7 @@ SELECT biz_index, CASE WHEN sec >= 0 THEN 1704412800000000 + CAST(round_even(sec
 def p12(spark, sf):
     seconds = times.clock_int_seconds(F.col("raw_time")) - F.when(F.col("event_type") == "error", 40000).otherwise(0)
     return view(spark, sf, "v_raw_feed").select(
-        "biz_index", times.epoch_micros(times.seconds_to_time(FEED_DAY, seconds)).cast("double").alias("time_us"))
+        "biz_index", times.epoch_micros(times.seconds_to_time(feed_day(), seconds)).cast("double").alias("time_us"))
 
 
 @query("p13_date_forms", "v_tick", """
@@ -298,14 +299,14 @@ def p21(spark, sf):
     df = view(spark, sf, "v_daily").select(
         "trade_date", "id_qi", F.when(F.col("close") > 60, F.lit("n/a")).otherwise(F.col("close").cast("string")).alias("f_close"),
         (F.col("high") - F.col("low")).alias("f_range"))
-    return feature_matrix(df, ["f_close", "f_range", "f_absent"], {"f_close": 12.5}, [DAY, F.col("id_qi")])
+    return feature_matrix(df, ["f_close", "f_range", "f_absent"], {"f_close": 12.5}, [day(), F.col("id_qi")])
 
 
 @query("p21_exact_median", "v_daily", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, median(close) AS close_median FROM v_daily GROUP BY 1""")
 def p21_median(spark, sf):
     out = exact_median(view(spark, sf, "v_daily"), ["trade_date"], "close", [F.col("id_qi")])
-    return out.select(DAY, "close_median")
+    return out.select(day(), "close_median")
 
 
 @query("p22_level_rows", "v_tick", """
@@ -338,7 +339,7 @@ def f1(spark, sf):
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, id_qi FROM v_daily WHERE volume >= 300""")
 def f2(spark, sf):
     text = F.when(F.col("volume") < 300, F.lit("none")).otherwise(F.col("volume").cast("string"))
-    return uni.traded(view(spark, sf, "v_daily").withColumn("volume", text)).select(DAY, "id_qi")
+    return uni.traded(view(spark, sf, "v_daily").withColumn("volume", text)).select(day(), "id_qi")
 
 
 _NAMED = """
@@ -368,7 +369,7 @@ def f4(spark, sf):
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, id_qi AS code6, close FROM v_daily WHERE id_qi IN (SELECT id_qi FROM kept)""")
 def f5(spark, sf):
     panel = view(spark, sf, "v_daily").withColumnRenamed("id_qi", "code6")
-    return uni.restrict_to(panel, uni.trading_universe(_named_panel(spark, sf))).select(DAY, "code6", "close")
+    return uni.restrict_to(panel, uni.trading_universe(_named_panel(spark, sf))).select(day(), "code6", "close")
 
 
 _ORDERS = """

@@ -9,12 +9,10 @@ from tickloom.functions import times, values
 from tickloom.operators import calendar as cal
 from tickloom.operators import panel as pan
 from tickloom.plans.registry import query
-from tickloom.plans.views import view
+from tickloom.plans.views import day, view
 from tickloom.session import scratch_path
 from tickloom.sources import archive, results, vendor
 
-DAY = F.col("trade_date").cast("string").alias("trade_date")
-
 
 def _archived(spark, sf, name="v_tick", kind="tick"):
     """The view written as a day-partitioned table and read back as a scan."""
@@ -28,7 +26,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, seq_num, current_price F
 WHERE trade_date = DATE '2024-01-10'""")
 def s1(spark, sf):
     day = archive.load_day(_archived(spark, sf), "2024-01-10")
-    return day.select(DAY, "code", "seq_num", "current_price")
+    return day.select(day(), "code", "seq_num", "current_price")
 
 
 @query("s2_code_scan", "v_deal", """
@@ -36,7 +34,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, seq_num, volume FROM v_d
 WHERE code IN ('000003', '000007', '000041')""")
 def s2(spark, sf):
     return archive.only_codes(view(spark, sf, "v_deal"), ["000003", "000007", "000041"]).select(
-        DAY, "code", "seq_num", "volume")
+        day(), "code", "seq_num", "volume")
 
 
 @query("s2_code_table_scan", "v_tick v_security", """
@@ -52,7 +50,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, count(*) AS n, CAST(sum(
 WHERE trade_date BETWEEN DATE '1997-01-01' AND DATE '1998-06-01' GROUP BY 1, 2""")
 def s3(spark, sf):
     rows = archive.load_range(view(spark, sf, "v_deal"), "1997-01-01", "1998-06-01")
-    return rows.groupBy(DAY, "code").agg(F.count("*").alias("n"), F.sum("volume").cast("double").alias("volume"))
+    return rows.groupBy(day(), "code").agg(F.count("*").alias("n"), F.sum("volume").cast("double").alias("volume"))
 
 
 @query("s4_last_days_scan", "v_daily", """
@@ -70,7 +68,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, CAST(dense_rank() OVER (ORDER
        CAST(lead(trade_date) OVER (ORDER BY trade_date) AS VARCHAR) AS next_date FROM d""")
 def s5(spark, sf):
     days = cal.calendar(view(spark, sf, "v_daily"))
-    return days.select(DAY, "ordinal", *[F.col(c).cast("string").alias(c) for c in ("prev_date", "next_date")])
+    return days.select(day(), "ordinal", *[F.col(c).cast("string").alias(c) for c in ("prev_date", "next_date")])
 
 
 @query("s5_missing_weekdays", "v_deal", """
@@ -81,7 +79,7 @@ def s5_weekdays(spark, sf):
     deals = view(spark, sf, "v_deal")
     span = deals.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", "hi")).alias("trade_date")).where(~F.dayofweek("trade_date").isin(1, 7))
-    return days.join(deals.select("trade_date").distinct(), "trade_date", "left_anti").select(DAY)
+    return days.join(deals.select("trade_date").distinct(), "trade_date", "left_anti").select(day())
 
 
 @query("s6_heavy_range_guard", "v_tick", """
@@ -121,7 +119,7 @@ _FACTORS = """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, "F_range" FROM f""")
 def s8(spark, sf):
     path = scratch_path(spark, "results") + "/factors.csv"
-    _factors(spark, sf).select(DAY, "code", "F_range").write.option("header", "true").csv(path)
+    _factors(spark, sf).select(day(), "code", "F_range").write.option("header", "true").csv(path)
     schema = T.StructType([T.StructField("trade_date", T.StringType()), T.StructField("code", T.StringType()),
                            T.StructField("F_range", T.DoubleType())])
     return results.read_results(spark, path, schema=schema).select("trade_date", "code", "F_range")
@@ -131,7 +129,7 @@ def s8(spark, sf):
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, "F_range", "F_drift" FROM f""")
 def s9(spark, sf):
     path = scratch_path(spark, "json")
-    rows = _factors(spark, sf).select(DAY, "code", "F_range", "F_drift")
+    rows = _factors(spark, sf).select(day(), "code", "F_range", "F_drift")
     even = F.pmod(F.xxhash64("code"), F.lit(2)) == 0
     # Both payload forms: plain records, and objects that hold a list of them.
     rows.where(even).write.json(path + "/plain")
@@ -152,7 +150,7 @@ def s10(spark, sf):
         "trade_date", F.col("id_qi").alias("code"), F.col("close").alias("v"))
     live = view(spark, sf, "v_tick").where("trade_date >= DATE '2024-01-10'").groupBy("trade_date", "code").agg(
         F.max("seq_num").cast("double").alias("v"))
-    return results.prefer_source(old, live).select(DAY, "code", "v", "source")
+    return results.prefer_source(old, live).select(day(), "code", "v", "source")
 
 
 @query("s11_vendor_limits", "v_daily v_security", """
@@ -164,7 +162,7 @@ def s11(spark, sf):
         F.col("id_qi").alias("ticker_symbol"), "exchange_cd", "trade_date",
         (F.floor(F.col("close") * 110 + 0.5) / 100.0).alias("limit_up_price"),
         (F.floor(F.col("close") * 90 + 0.5) / 100.0).alias("limit_down_price"), F.col("close").alias("pre_close_price"))
-    return vendor.limit_table(table).select("code", DAY, "high_limit", "low_limit", "pre_close")
+    return vendor.limit_table(table).select("code", day(), "high_limit", "low_limit", "pre_close")
 
 
 @query("s12_message_csv", "v_raw_feed", """
@@ -183,7 +181,7 @@ def s14(spark, sf):
     results.write_results(_factors(spark, sf), root, "minutes")
     back = spark.read.option("basePath", root + "/minutes-feature").schema(
         "code STRING, F_range FLOAT, F_drift FLOAT, trade_date DATE, end_time STRING").parquet(root + "/minutes-feature")
-    return back.groupBy(DAY, "end_time").agg(F.count("*").alias("n"))
+    return back.groupBy(day(), "end_time").agg(F.count("*").alias("n"))
 
 
 @query("s15_compact_floats", "v_deal", """
@@ -201,7 +199,7 @@ def s16(spark, sf):
     root = scratch_path(spark, "archive")
     order = ["time", "buy_order_id", "sale_order_id", "money", "volume", "side"]
     archive.write_archive(view(spark, sf, "v_deal"), root, "deal", order=order)
-    return archive.scan(spark, root, "deal").select(DAY, "code", "seq_num", "money")
+    return archive.scan(spark, root, "deal").select(day(), "code", "seq_num", "money")
 
 
 @query("s17_shard_summary", "v_deal", """
@@ -224,7 +222,7 @@ def s18(spark, sf):
         "trade_date", "code", F.col("seq_num").alias("shard"), F.col("current_price").alias("F_last"))
     merged = results.merge_shards(shards, ["trade_date", "code"], ["shard"])
     gate = results.merge_gate(merged, min_rows=130, min_columns=1).select("trade_date", "passed")
-    return merged.join(gate, "trade_date").select(DAY, "code", "F_last", "passed")
+    return merged.join(gate, "trade_date").select(day(), "code", "F_last", "passed")
 
 
 @query("s19_audit_rows", "v_daily", """
@@ -236,5 +234,5 @@ GROUP BY 1, 2""")
 def s19(spark, sf):
     path = scratch_path(spark, "audit")
     audit = pan.backfill_audit(view(spark, sf, "v_daily"), "id_qi", min_rows=135)
-    results.write_audit(audit.select(DAY, F.col("stale_from").cast("string").alias("stale_from"), "count"), path)
+    results.write_audit(audit.select(day(), F.col("stale_from").cast("string").alias("stale_from"), "count"), path)
     return spark.read.schema("trade_date STRING, stale_from STRING, count BIGINT").json(path)

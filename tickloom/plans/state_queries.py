@@ -13,9 +13,8 @@ from tickloom.operators import quality as qual
 from tickloom.operators import state as st
 from tickloom.operators.keyed import keep_first
 from tickloom.plans.registry import query
-from tickloom.plans.views import view
+from tickloom.plans.views import day, view
 
-DAY = F.col("trade_date").cast("string").alias("trade_date")
 US = lambda name: times.epoch_micros(F.col(name)).alias(name)
 DEAL_ORDER = ["time", "buy_order_id", "sale_order_id", "money", "volume", "side"]
 
@@ -30,7 +29,7 @@ DEAL_ORDER = ["time", "buy_order_id", "sale_order_id", "money", "volume", "side"
   epoch_us(arg_max(time, seq_num)) AS last_tick_time FROM v_tick GROUP BY 1, 2)
 SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM g""")
 def a1(spark, sf):
-    return st.tick_state(view(spark, sf, "v_tick")).withColumn("trade_date", DAY).withColumn("last_tick_time", US("last_tick_time"))
+    return st.tick_state(view(spark, sf, "v_tick")).withColumn("trade_date", day()).withColumn("last_tick_time", US("last_tick_time"))
 
 
 def _cents(spark, sf):
@@ -46,7 +45,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, CAST(sum({_CENTS}) AS BI
   count(*) AS deal_count, CAST(sum({_CENTS}) AS BIGINT) / sum(volume) AS vwap FROM v_deal GROUP BY 1, 2""")
 def a2(spark, sf):
     out = st.deal_state(_cents(spark, sf), amount=F.col("cents"))
-    return out.select(DAY, "code", F.col("cum_amount").alias("cum_cents"), F.col("cum_volume").cast("double").alias("cum_volume"),
+    return out.select(day(), "code", F.col("cum_amount").alias("cum_cents"), F.col("cum_volume").cast("double").alias("cum_volume"),
                       "deal_count", "vwap")
 
 
@@ -59,7 +58,7 @@ SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date),
   CASE WHEN buy_order_volume + sell_order_volume > 0 THEN buy_order_volume / (buy_order_volume + sell_order_volume) END AS order_buy_vol_ratio,
   CAST(cancel_count AS DOUBLE) / order_count AS cancel_ratio FROM g""")
 def a3(spark, sf):
-    return st.order_state(view(spark, sf, "v_order")).drop("last_order_time").withColumn("trade_date", DAY)
+    return st.order_state(view(spark, sf, "v_order")).drop("last_order_time").withColumn("trade_date", day())
 
 
 def event_feeds(spark, sf):
@@ -87,7 +86,7 @@ s AS (SELECT k.trade_date, k.code, open, latest_price, high, low, pre_close, ask
 @query("a4_full_state", "v_tick v_order v_deal_ev", _STATE + " SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM s")
 def a4(spark, sf):
     out = st.full_state(*event_feeds(spark, sf))
-    return out.drop("last_tick_time", "last_deal_time", "last_order_time", "last_market_time").withColumn("trade_date", DAY)
+    return out.drop("last_tick_time", "last_deal_time", "last_order_time", "last_market_time").withColumn("trade_date", day())
 
 
 _PACK = """
@@ -105,7 +104,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, coalesce(latest_price, 0
 
 @query("ud9_factor_pack", "v_tick v_order v_deal_ev", _STATE + _PACK)
 def ud9(spark, sf):
-    return st.factor_pack(st.full_state(*event_feeds(spark, sf))).withColumn("trade_date", DAY)
+    return st.factor_pack(st.full_state(*event_feeds(spark, sf))).withColumn("trade_date", day())
 
 
 @query("a5_bars_cumulative", "v_tick", """
@@ -142,7 +141,7 @@ def a11(spark, sf):
         "trade_date", F.when(~(hole & (F.col("volume") > 100)), F.col("close")).alias("F_a"),
         F.when(~hole, F.col("open")).alias("F_b"))
     out = qual.valid_rate(df, ["trade_date"])
-    return out.select(DAY, "cells", F.col("usable").cast("long").alias("usable"), "valid_rate", "alert")
+    return out.select(day(), "cells", F.col("usable").cast("long").alias("usable"), "valid_rate", "alert")
 
 
 _SLICES = """
@@ -169,7 +168,7 @@ def half_hours(spark):
 @query("a12_multi_slice_state", "v_tick v_order v_deal_ev", _SLICES)
 def a12(spark, sf):
     out = st.sliced_state(st.tag_feeds(*event_feeds(spark, sf)), half_hours(spark))
-    return out.select(DAY, "code", "slice", "open", "latest_price", "high", "low", "pre_close", "ask1", "ask_volume1",
+    return out.select(day(), "code", "slice", "open", "latest_price", "high", "low", "pre_close", "ask1", "ask_volume1",
                       "tick_count", "deal_count", "cum_amount", "order_count", "buy_order_count", "cancel_count")
 
 
@@ -211,7 +210,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, count(*) AS n, sum(volum
 def w1_vwap(spark, sf):
     first = keep_first(_cents(spark, sf), ["code", "seq_num"], [F.col(c) for c in DEAL_ORDER])
     out = st.deal_state(first, amount=F.col("cents"))
-    return out.select(DAY, "code", F.col("deal_count").alias("n"), F.col("cum_volume").cast("double").alias("vol"), (F.col("vwap") / 100).alias("vwap"))
+    return out.select(day(), "code", F.col("deal_count").alias("n"), F.col("cum_volume").cast("double").alias("vol"), (F.col("vwap") / 100).alias("vwap"))
 
 
 @query("w2_momentum", "v_daily", """
@@ -221,7 +220,7 @@ v AS (SELECT code, k, close FROM n WHERE close IS NOT NULL)
 SELECT CAST(n.trade_date AS VARCHAR) AS trade_date, n.code, a.close / b.close - 1 AS momentum FROM n LEFT JOIN v a ON a.code = n.code AND a.k = n.k LEFT JOIN v b ON b.code = n.code AND b.k = n.k - 5""")
 def w2(spark, sf):
     panel = view(spark, sf, "v_daily").select("trade_date", F.col("id_qi").alias("code"), F.when(F.col("volume") < 600, F.col("close")).alias("close"))
-    return fac.momentum(panel, 5).select(DAY, "code", "momentum")
+    return fac.momentum(panel, 5).select(day(), "code", "momentum")
 
 
 @query("w3_liquidity_mask", "v_daily", """
@@ -230,13 +229,13 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, mean_amount, n AS amount
 def w3(spark, sf):
     panel = view(spark, sf, "v_daily").select("trade_date", F.col("id_qi").alias("code"), F.col("amount_cents").alias("amount"), "close")
     out = fac.liquidity_mask(panel, window=20, min_days=10, min_amount=6000, price_band=(2, 80))
-    return out.select(DAY, "code", "mean_amount", "amount_days", "tradable")
+    return out.select(day(), "code", "mean_amount", "amount_days", "tradable")
 
 
 @query("w5_latest_snapshot", "v_daily", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, id_qi, close FROM v_daily WHERE trade_date = (SELECT max(trade_date) FROM v_daily)""")
 def w5(spark, sf):
-    return cal.latest_snapshot(view(spark, sf, "v_daily")).select(DAY, "id_qi", "close")
+    return cal.latest_snapshot(view(spark, sf, "v_daily")).select(day(), "id_qi", "close")
 
 
 @query("w6_sequence_gaps", "v_raw_feed", """
@@ -251,7 +250,7 @@ def w6(spark, sf):
 SELECT CAST(d.trade_date AS VARCHAR) AS trade_date, d.id_qi, d.close, p.close AS prev_close FROM v_daily d JOIN c USING (trade_date) LEFT JOIN v_daily p ON p.trade_date = c.prev AND p.id_qi = d.id_qi""")
 def w7(spark, sf):
     daily = view(spark, sf, "v_daily").select("trade_date", "id_qi", "close")
-    return cal.previous_day_values(daily, cal.calendar(daily), ["id_qi"], ["close"]).select(DAY, "id_qi", "close", "prev_close")
+    return cal.previous_day_values(daily, cal.calendar(daily), ["id_qi"], ["close"]).select(day(), "id_qi", "close", "prev_close")
 
 
 @query("w9_keep_current", "v_daily", """
@@ -261,7 +260,7 @@ def w9(spark, sf):
     history = view(spark, sf, "v_daily").select("trade_date", "id_qi", "close")
     today = history.where("trade_date = DATE '2024-01-30'").withColumn("close", F.col("close") + 1)
     tomorrow = history.where("trade_date = DATE '2024-01-29'").select(F.date_add("trade_date", 2).alias("trade_date"), "id_qi", (F.col("close") + 1).alias("close"))
-    return pan.merge_current(history, today.unionByName(tomorrow), ["trade_date", "id_qi"]).select(DAY, "id_qi", "close")
+    return pan.merge_current(history, today.unionByName(tomorrow), ["trade_date", "id_qi"]).select(day(), "id_qi", "close")
 
 
 @query("t1_sequence_order", "v_tick", """
@@ -271,7 +270,7 @@ def t1(spark, sf):
     from tickloom.operators.keyed import previous_in_ranges
     ticks = view(spark, sf, "v_tick").select("trade_date", "code", "seq_num")
     out = previous_in_ranges(ticks, ["trade_date", "code"], F.floor(F.col("seq_num") / 1000), [F.col("seq_num")], "seq_num", "prev")
-    return out.select(DAY, "code", "seq_num", F.col("prev").cast("double").alias("prev_seq"))
+    return out.select(day(), "code", "seq_num", F.col("prev").cast("double").alias("prev_seq"))
 
 
 @query("q1_feed_validation", "v_order", """
@@ -287,7 +286,7 @@ def q1(spark, sf):
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, count(*) AS rows, count(*) FILTER (WHERE CAST(time AS DATE) <> trade_date) AS other_day,
   count(*) FILTER (WHERE year(time) = 1970) AS epoch_day FROM v_deal GROUP BY 1""")
 def q2(spark, sf):
-    return qual.date_mismatches(view(spark, sf, "v_deal"), ["trade_date"]).withColumn("trade_date", DAY)
+    return qual.date_mismatches(view(spark, sf, "v_deal"), ["trade_date"]).withColumn("trade_date", day())
 
 
 @query("q3_archive_check", "v_deal", """
@@ -320,4 +319,4 @@ def ud6(spark, sf):
 @query("ud10_slice_count", "v_daily", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, id_qi AS code, 245::BIGINT AS end_time_count FROM v_daily")
 def ud10(spark, sf):
     slices = times.slice_dimension(spark, 60).agg(F.count("*")).scalar()
-    return view(spark, sf, "v_daily").select(DAY, F.col("id_qi").alias("code"), slices.alias("end_time_count"))
+    return view(spark, sf, "v_daily").select(day(), F.col("id_qi").alias("code"), slices.alias("end_time_count"))

@@ -1 +1,170 @@
+"""Streaming jobs replayed over the event table (S13, ST1-ST11)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tickloom.functions import times
+from tickloom.operators import factors as fac
+from tickloom.operators import reconcile as rec
+from tickloom.operators import state as st
+from tickloom.plans import views
+from tickloom.plans.registry import query
+from tickloom.plans.views import day, table, view
+from tickloom.streaming import live
+
+
+def events(spark, sf):
+    """The event table as an append-only file source."""
+    return live.file_stream(spark, sf, table(spark, sf, "events").schema, glob="events.parquet")
+
+
+def stream_view(spark, sf, name):
+    """A stand-in view over the stream."""
+    body = views.VIEWS[name].replace("FROM events", "FROM {events}")
+    return spark.sql(body, events=events(spark, sf))
+
+
+@query("s13_incremental_source", "v_tick", "SELECT code, seq_num, latency_ms FROM v_tick")
+def s13(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "append")
+    ticks = stream_view(spark, sf, "v_tick").select("code", "seq_num", "latency_ms")
+    live.append_chunks(ticks, out, checkpoint)
+    live.append_chunks(ticks, out, checkpoint)  # a second run finds nothing new
+    return spark.read.schema(ticks.schema).parquet(out)
+
+
+@query("st1_restart_safe_ingest", "v_tick", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, count(*) AS n, count(DISTINCT seq_num) AS keys FROM v_tick GROUP BY 1")
+def st1(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "ingest")
+    ticks = stream_view(spark, sf, "v_tick").select("trade_date", "code", "seq_num")
+    for _ in range(2):
+        live.run_available(ticks, "append", checkpoint, path=out)
+    per = spark.read.schema(ticks.schema).parquet(out).groupBy("trade_date", "seq_num").agg(F.count("*").alias("c"))
+    return per.groupBy(day()).agg(F.sum("c").alias("n"), F.count("*").alias("keys"))
+
+
+def _stream_state(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "state")
+    state = live.state_stream(stream_view(spark, sf, "v_tick"))
+    live.run_available(state, "update", checkpoint, batch=live.changelog_sink(out))
+    return live.latest_from_changelog(spark, out, ["trade_date", "code"], state.schema)
+
+
+_STATE = """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, arg_min(current_price, seq_num) FILTER (WHERE current_price > 0)::DOUBLE AS open, arg_max(current_price, seq_num) FILTER (WHERE current_price > 0)::DOUBLE AS latest_price,
+  max(current_price) FILTER (WHERE current_price > 0)::DOUBLE AS high, count(*) AS tick_count FROM v_tick GROUP BY 1, 2"""
+
+
+@query("st2_stream_state", "v_tick", _STATE)
+def st2(spark, sf):
+    return _stream_state(spark, sf).select(
+        day(), "code", *[F.col(c).cast("double").alias(c) for c in ("open", "latest_price", "high")], "tick_count")
+
+
+@query("st3_changed_stocks", "v_tick", "SELECT DISTINCT code FROM v_tick")
+def st3(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "dirty")
+    changed = live.state_stream(stream_view(spark, sf, "v_tick")).select("trade_date", "code")
+    live.run_available(changed, "update", checkpoint, batch=live.changelog_sink(out))
+    return spark.read.parquet(out).select("code").distinct()
+
+
+@query("st4_stream_bars", "v_tick", """
+SELECT code, epoch_us(time_bucket(INTERVAL 30 MINUTE, time)) AS time, arg_min(current_price, seq_num)::DOUBLE AS open, arg_max(current_price, seq_num)::DOUBLE AS close, count(*) AS ticks FROM v_tick
+WHERE time_bucket(INTERVAL 30 MINUTE, time) + INTERVAL 30 MINUTE <= (SELECT max(time) - INTERVAL 1 HOUR FROM v_tick) GROUP BY code, time_bucket(INTERVAL 30 MINUTE, time)""")
+def st4(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "bars")
+    bars = live.bar_stream(stream_view(spark, sf, "v_tick"), "30 minutes", "1 hour")
+    live.run_available(bars, "append", checkpoint, path=out)
+    rows = spark.read.schema(bars.schema).parquet(out)
+    return rows.select("code", times.epoch_micros(F.col("time")).alias("time"), F.col("open").cast("double").alias("open"),
+                       F.col("close").cast("double").alias("close"), "ticks")
+
+
+@query("st5_stream_dedupe", "v_tick", "SELECT code, seq_num FROM v_tick")
+def st5(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "dedupe")
+    feed = stream_view(spark, sf, "v_tick").select("code", "seq_num", "time")
+    replayed = feed.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    once = live.distinct_stream(replayed, ["code", "seq_num"])
+    live.run_available(once.select("code", "seq_num"), "append", checkpoint, path=out)
+    return spark.read.schema("code STRING, seq_num BIGINT").parquet(out)
+
+
+@query("st6_out_of_order", "v_tick", _STATE)
+def st6(spark, sf):
+    """Rows arrive in hash order; sequence-keyed aggregates give the same state."""
+    out, checkpoint = live.stream_scratch(spark, "shuffled")
+    mixed = stream_view(spark, sf, "v_tick").repartition(4, F.xxhash64("seq_num"))
+    state = live.state_stream(mixed)
+    live.run_available(state, "update", checkpoint, batch=live.changelog_sink(out))
+    rows = live.latest_from_changelog(spark, out, ["trade_date", "code"], state.schema)
+    return rows.select(day(), "code", *[F.col(c).cast("double").alias(c) for c in ("open", "latest_price", "high")], "tick_count")
+
+
+_LATENCY = """
+SELECT epoch_us(date_trunc('minute', time)) AS minute, event_type AS kind, count(*) AS n, min(latency_ms) AS min_ms, sum(latency_ms)::BIGINT AS sum_ms, max(latency_ms) AS max_ms FROM v_tick WHERE latency_ms BETWEEN 0 AND 600"""
+
+
+@query("st7_push_latency", "v_tick", _LATENCY + """
+  AND date_trunc('minute', time) + INTERVAL 1 MINUTE <= (SELECT max(time) - INTERVAL 5 MINUTE FROM v_tick WHERE latency_ms <= 600) GROUP BY 1, 2""")
+def st7(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "latency")
+    stats = live.latency_stream(stream_view(spark, sf, "v_tick"), "event_type", "latency_ms", limit_ms=600)
+    live.run_available(stats, "append", checkpoint, path=out)
+    return spark.read.schema(stats.schema).parquet(out).withColumn("minute", times.epoch_micros(F.col("minute")))
+
+
+@query("st7_push_latency_batch", "v_tick", _LATENCY.replace("sum(latency_ms)::BIGINT AS sum_ms", "sum(latency_ms) / count(*) AS avg_ms") + " GROUP BY 1, 2")
+def st7_batch(spark, sf):
+    from tickloom.operators.quality import push_latency
+    out = push_latency(view(spark, sf, "v_tick"), limit_ms=600)
+    return out.withColumn("minute", times.epoch_micros(F.col("minute")))
+
+
+@query("st8_stream_gaps", "v_order", """
+SELECT channel, count(*) AS messages, min(seq_num) AS first_seq, max(seq_num) AS last_seq, max(seq_num) - min(seq_num) + 1 - count(*) AS missing FROM v_order GROUP BY 1""")
+def st8(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "gaps")
+    gaps = live.gap_stream(stream_view(spark, sf, "v_order"), ["channel"])
+    live.run_available(gaps, "update", checkpoint, batch=live.changelog_sink(out))
+    return live.latest_from_changelog(spark, out, ["channel"], gaps.schema)
+
+
+@query("st9_latest_snapshot", "v_tick", """
+SELECT code, arg_max(current_price, seq_num)::DOUBLE AS price, arg_max(pre_close_price, seq_num)::DOUBLE AS pre_close, max(seq_num) AS seq_num FROM v_tick GROUP BY 1""")
+def st9(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "snapshot")
+    latest = stream_view(spark, sf, "v_tick").select(
+        "code", "seq_num", F.col("current_price").cast("double").alias("price"), F.col("pre_close_price").cast("double").alias("pre_close"))
+    live.run_available(latest, "append", checkpoint, batch=live.snapshot_sink(spark, out, ["code"], "seq_num"))
+    return live.read_snapshot(spark, out).select("code", "price", "pre_close", "seq_num")
+
+
+@query("st10_round_factors", "v_tick", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, max(bid_price1) - min(bid_price1) AS "F_range" FROM v_tick GROUP BY 1, 2""")
+def st10(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "rounds")
+    compute = lambda rows: fac.expression_factors(rows, ["trade_date", "code"], {"F_range": F.max("bid_price1") - F.min("bid_price1")})
+    live.run_available(stream_view(spark, sf, "v_tick"), "append", checkpoint, batch=live.round_sink(compute, out))
+    return spark.read.schema("trade_date DATE, code STRING, F_range DOUBLE, round BIGINT").parquet(out).select(day(), "code", "F_range")
+
+
+@query("st11_chunks_to_archive", "v_order", """
+SELECT count(*) AS src_rows, count(*) AS dst_rows, count(*) AS rows_checked, 0::BIGINT AS time_bad, 0::BIGINT AS update_bad, true AS valid FROM v_order""")
+def st11(spark, sf):
+    out, checkpoint = live.stream_scratch(spark, "chunks")
+    orders = stream_view(spark, sf, "v_order").withColumn("update_time", F.col("time"))
+    live.append_chunks(orders, out, checkpoint)
+    root, _ = live.stream_scratch(spark, "archive")
+    return live.compact_chunks(spark, out, root, "order")
+
+
+@query("r5_batch_vs_stream", "v_tick", """
+SELECT f AS factor, (SELECT count(*) FROM (SELECT DISTINCT trade_date, code FROM v_tick)) AS cells, 0::BIGINT AS bad_cells, 0.0::DOUBLE AS max_abs, 0.0::DOUBLE AS max_rel
+FROM (VALUES ('F_ask1'), ('F_high'), ('F_latest_price'), ('F_low'), ('F_open'), ('F_pre_close')) v(f)""")
+def r5_stream(spark, sf):
+    names = ("open", "latest_price", "high", "low", "pre_close", "ask1")
+    pick = lambda df: df.select("trade_date", "code", *[F.col(n).cast("double").alias(f"F_{n}") for n in names])
+    return rec.factor_diff(pick(st.tick_state(view(spark, sf, "v_tick"))), pick(_stream_state(spark, sf)), ["trade_date", "code"], 0.0, 0.0)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _TABLES = ("events", "lineitem", "orders", "customer", "nation", "region", "part", "supplier")
 
@@ -93,9 +94,32 @@ VIEWS = {
             FROM events GROUP BY 1) q""",
 }
 
+# Books whose stocks cover both lot rules, some without a realtime or broker price.
+_BOOK = "CASE WHEN c_custkey < 200 THEN CAST(688000 + c_custkey AS STRING) ELSE lpad(CAST(c_custkey AS STRING), 6, '0') END"
+VIEWS |= {
+    "v_book_target": f"""
+        SELECT c_nationkey AS account_id, {_BOOK} AS code, CAST(c_custkey % 5 AS DOUBLE) / 128 AS position, c_acctbal AS pred
+        FROM customer WHERE c_mktsegment <> 'MACHINERY'""",
+    "v_book_position": f"""
+        SELECT c_nationkey AS account_id, {_BOOK} AS code, CAST(floor(c_acctbal) AS BIGINT) AS current_volume,
+               CAST(floor(c_acctbal) AS BIGINT) - CAST(floor(c_acctbal) AS BIGINT) % 7 AS available_volume,
+               CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE floor(c_acctbal / 64) / 4 + 1 END AS last_price
+        FROM customer WHERE c_acctbal >= 1 AND c_nationkey <> 7""",
+    "v_price": """
+        SELECT code, price, CASE WHEN n % 5 = 0 THEN price WHEN n % 5 = 1 THEN 0.0 ELSE price * 1.1 END AS high_limit FROM (
+            SELECT CASE WHEN o_custkey < 200 THEN CAST(688000 + o_custkey AS STRING) ELSE lpad(CAST(o_custkey AS STRING), 6, '0') END AS code,
+                   floor(max(o_totalprice) / 4096) / 4 AS price, count(*) AS n
+            FROM orders GROUP BY 1) q WHERE n >= 7""",
+}
+
 _NAME = re.compile(r"\b(" + "|".join(_TABLES) + r")\b")
 
 
+def day() -> Column:
+    """The trading day as text, the form every result carries."""
+    return F.col("trade_date").cast("string").alias("trade_date")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
