@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 DAY = "trade_date"
 
 
+def one_per_day(df: DataFrame) -> DataFrame:
+    """Broadcast a table that holds at most one row per calendar date.
+
+    A century of days is under 40,000 rows, so the size is bounded whatever the
+    data holds, and the large side of the join is not shuffled.
+    """
+    return F.broadcast(df)
+
+
 def trading_days(df: DataFrame, day: str = DAY) -> DataFrame:
     """Distinct days with rows."""
     return df.select(F.col(day).alias(DAY)).where(F.col(DAY).isNotNull()).distinct()
@@ -48,7 +57,7 @@ def latest_day(df: DataFrame, day: str = DAY) -> DataFrame:
 
 def latest_snapshot(df: DataFrame, day: str = DAY) -> DataFrame:
     """Rows of the newest day."""
-    return df.join(latest_day(df, day), day, "left_semi")
+    return df.join(one_per_day(latest_day(df, day)), day, "left_semi")
 
 
 def expand_over_days(df: DataFrame, days: DataFrame, first: str, stop: str) -> DataFrame:
@@ -60,7 +69,7 @@ def expand_over_days(df: DataFrame, days: DataFrame, first: str, stop: str) -> D
     opened = df.where(F.col(first) < F.col(stop)).withColumn(
         "ordinal", F.explode(F.sequence(F.col(first), F.col(stop) - 1))
     ).drop(first, stop)
-    return opened.join(days.select(DAY, "ordinal"), "ordinal").drop("ordinal")
+    return opened.join(one_per_day(days.select(DAY, "ordinal")), "ordinal").drop("ordinal")
 
 
 def day_lookup(days: DataFrame) -> DataFrame:
@@ -92,7 +101,7 @@ def ordinal_on_or_after(df: DataFrame, days: DataFrame, date: str, into: str) ->
     high = bounds.select("hi").scalar()
     clamped = F.when(F.col(date).isNotNull(), F.least(F.greatest(F.col(date), low), high))
     lookup = day_lookup(days).select(F.col("date").alias("_clamped"), F.col("ordinal").alias(into))
-    return df.withColumn("_clamped", clamped).join(lookup, "_clamped", "left").drop("_clamped")
+    return df.withColumn("_clamped", clamped).join(one_per_day(lookup), "_clamped", "left").drop("_clamped")
 
 
 def running_asof(log: DataFrame, days: DataFrame, keys: list[str], date: str,
@@ -123,7 +132,7 @@ def attach_history(base: DataFrame, history: DataFrame, days: DataFrame, offsets
     Columns of ``history`` are prefixed ``hist_``. A day without rows leaves
     them null under a left join.
     """
-    ordinals = days.select(DAY, "ordinal")
+    ordinals = one_per_day(days.select(DAY, "ordinal"))
     asked = base.join(ordinals, DAY).withColumn(
         "day_offset", F.explode(F.array(*[F.lit(int(o)) for o in offsets]))
     ).withColumn("_ordinal", F.col("ordinal") - F.col("day_offset")).drop("ordinal")
@@ -137,7 +146,7 @@ def attach_history(base: DataFrame, history: DataFrame, days: DataFrame, offsets
 def previous_day_values(df: DataFrame, days: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Adds ``prev_*``: the same key's values on the trading day just before."""
     shifted = (
-        df.join(days.select(DAY, "next_date"), DAY)
+        df.join(one_per_day(days.select(DAY, "next_date")), DAY)
         .where(F.col("next_date").isNotNull())
         .select(F.col("next_date").alias(DAY), *keys, *[F.col(c).alias(f"prev_{c}") for c in columns])
     )
@@ -153,4 +162,5 @@ def latest_before(frame: DataFrame, asked: DataFrame) -> DataFrame:
     )
     before = W.orderBy("day", "kind").rowsBetween(W.unboundedPreceding, -1)
     picked = both.withColumn(DAY, F.last("known", ignorenulls=True).over(before)).where("kind = 0")
-    return picked.select(F.col("day").alias("as_of"), DAY).where(F.col(DAY).isNotNull()).join(frame, DAY)
+    pairs = picked.select(F.col("day").alias("as_of"), DAY).where(F.col(DAY).isNotNull())
+    return frame.join(one_per_day(pairs.distinct()), DAY).select("as_of", *frame.columns)

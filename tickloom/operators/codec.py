@@ -108,7 +108,7 @@ def resolve_clock(df: DataFrame, keys: list[str], time: str = "time") -> DataFra
     verdict = df.groupBy(*keys).agg(hits(shifted).alias("_via"), hits(minute).alias("_as_is")).select(
         *keys, (F.col("_as_is") > F.col("_via")).alias("clock_as_is")
     )
-    joined = salted_join(df, verdict, keys, "left")
+    joined = salted_join(df, verdict, keys, "left", [time])
     micros = F.col(time) + F.when(F.col("clock_as_is"), F.lit(0)).otherwise(F.lit(times.ARCHIVE_SHIFT_US))
     return joined.withColumn(time, times.from_epoch_micros(micros))
 

@@ -32,32 +32,37 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
+                spread_by: list[str] | None = None, salts: int = SALTS) -> DataFrame:
     """Join many rows per key to one row per key, splitting each key ``salts`` ways.
 
-    ``small`` grows by the factor ``salts``. No side is hinted: Spark measures
-    ``small`` at run time and broadcasts it only under its threshold.
+    ``spread_by`` names columns that differ between rows of a key (all other
+    columns by default); naming few keeps the scan narrow. ``small`` grows by
+    the factor ``salts``. No side is hinted: Spark measures ``small`` at run
+    time and broadcasts it only under its threshold.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    spread_by = spread_by or [c for c in big.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     left = big.withColumn("_salt", salt)
     right = small.withColumn("_salt", copies)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def attach_totals(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+def attach_totals(df: DataFrame, keys: list[str], spread_by: list[str] | None = None,
+                  **aggregates: Column) -> DataFrame:
     """Group totals next to every row: partial aggregation plus a salted join.
 
     Equal to ``agg over (partition by keys)``, which would instead move each
     whole group into one task.
     """
     totals = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggregates.items()])
-    return salted_join(df, totals, keys, "left")
+    return salted_join(df, totals, keys, "left", spread_by)
 
 
-def share_within(df: DataFrame, keys: list[str], value: str, into: str = "weight") -> DataFrame:
+def share_within(df: DataFrame, keys: list[str], value: str, into: str = "weight",
+                 spread_by: list[str] | None = None) -> DataFrame:
     """``value`` divided by its total within ``keys``."""
-    return attach_totals(df, keys, _total=F.sum(value)).withColumn(
+    return attach_totals(df, keys, spread_by, _total=F.sum(value)).withColumn(
         into, F.col(value) / F.col("_total")
     ).drop("_total")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import codes, values
-from tickloom.operators.calendar import DAY, expand_over_days, ordinal_on_or_after, running_asof
+from tickloom.operators.calendar import DAY, expand_over_days, one_per_day, ordinal_on_or_after, running_asof
 from tickloom.operators.keyed import attach_totals, share_within
 
 BENCHMARK_MEMBERS_MIN = 4800  # Fixed value: below this a broad benchmark is incomplete.
@@ -38,7 +38,7 @@ def newest_close(prices: DataFrame, days: DataFrame, security: str = "security_i
     sent forward to the two days that may read it.
     """
     ordinals = days.select(DAY, "ordinal")
-    priced = prices.join(ordinals, DAY)
+    priced = prices.join(one_per_day(ordinals), DAY)
     # The first day serves itself and the two after it; the second day's only
     # earlier day is the first one.
     reach = F.when(F.col("ordinal") == 1, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(
@@ -50,7 +50,7 @@ def newest_close(prices: DataFrame, days: DataFrame, security: str = "security_i
     newest = sent.groupBy("ordinal", security).agg(
         F.max_by("close", "_from").alias("close"), F.max("price_date").alias("price_date")
     )
-    return newest.join(ordinals, "ordinal").drop("ordinal")
+    return newest.join(one_per_day(ordinals), "ordinal").drop("ordinal")
 
 
 def free_shares_asof(log: DataFrame, days: DataFrame, security: DataFrame, tie: str = "tie") -> DataFrame:
@@ -64,7 +64,7 @@ def free_shares_asof(log: DataFrame, days: DataFrame, security: DataFrame, tie:
     cuts = prev.select(F.col("_cut").alias(DAY)).distinct()
     asof = running_asof(log, _renumber(cuts), ["party_id"], "change_date", tie, ["free_shares"], strict=False)
     asked = prev.select(F.col("_cut"), F.col(DAY).alias("_day"))
-    per_day = asof.join(asked, asof[DAY] == asked["_cut"]).select(
+    per_day = asof.join(one_per_day(asked), asof[DAY] == asked["_cut"]).select(
         F.col("_day").alias(DAY), "party_id", "change_date", "free_shares")
     return per_day.join(security.select("party_id", "security_id"), "party_id")
 
@@ -82,7 +82,7 @@ def index_weights(members: DataFrame, closes: DataFrame, shares: DataFrame,
         shares.select(DAY, "security_id", "free_shares"), [DAY, "security_id"]
     ).where((F.col("close") > 0) & (F.col("free_shares") > 0))
     return share_within(joined.withColumn("_value", F.col("free_shares") * F.col("close")),
-                        groups, "_value").drop("_value")
+                        groups, "_value", spread_by=["security_id"]).drop("_value")
 
 
 def membership_flags(composition: DataFrame, index_codes: list[str], keys: list[str]) -> DataFrame:
@@ -108,14 +108,14 @@ def weights_to_rows(wide: DataFrame, keys: list[str], prefix: str = "weight_") -
     return long.where(F.col("weight") > 0).withColumn("index_code", F.expr(f"substr(index_code, {len(prefix) + 1})"))
 
 
-def normalised_benchmark(composition: DataFrame, keys: list[str] = [DAY, "index_code"]) -> DataFrame:
+def normalised_benchmark(composition: DataFrame, keys: list[str] = [DAY, "index_code"], code: str = "id_qi") -> DataFrame:
     """Positive weights scaled to sum to one per day and index."""
-    return share_within(composition.where(F.col("weight") > 0), keys, "weight", "norm_weight")
+    return share_within(composition.where(F.col("weight") > 0), keys, "weight", "norm_weight", [code])
 
 
 def weight_freshness(weights: DataFrame, days: DataFrame, benchmark: str) -> DataFrame:
     """Per day: members, stale prices, benchmark size, and the two alerts."""
-    dated = weights.join(days.select(DAY, F.coalesce("prev_date", DAY).alias("_prev")), DAY)
+    dated = weights.join(one_per_day(days.select(DAY, F.coalesce("prev_date", DAY).alias("_prev"))), DAY)
     out = dated.groupBy(DAY).agg(
         F.count("*").alias("members"),
         F.count_if(F.col("price_date") < F.col("_prev")).alias("stale_prices"),

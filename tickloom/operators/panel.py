@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import codes, values
-from tickloom.operators.calendar import DAY, calendar
+from tickloom.operators.calendar import DAY, calendar, one_per_day
 from tickloom.operators.keyed import keep_first
 
 MIN_ROWS = 5200  # Fixed value: rows of a complete panel day.
@@ -54,7 +54,7 @@ def stale_rows(panel: DataFrame, code: str, min_rows: int = MIN_ROWS, today: Col
     The date is rewritten to the short day; ``stale_from`` keeps the origin.
     """
     short = _short_days(panel, min_rows, today).select(F.col(DAY).alias("_day"), "stale_from")
-    shifted = panel.join(short, F.col(DAY) == F.col("stale_from")).drop(DAY).withColumnRenamed("_day", DAY)
+    shifted = panel.join(one_per_day(short), F.col(DAY) == F.col("stale_from")).drop(DAY).withColumnRenamed("_day", DAY)
     return shifted.join(panel.select(DAY, code), [DAY, code], "left_anti")
 
 
@@ -95,7 +95,7 @@ def backfill_column_group(panel: DataFrame, code: str, stable: list[str], moving
     # the history has days.
     by_day = W.partitionBy(code).orderBy("ordinal")
     run = F.col("ordinal") - F.row_number().over(by_day)
-    rows = panel.join(days, DAY).withColumn("_run", run)
+    rows = panel.join(one_per_day(days), DAY).withColumn("_run", run)
     in_run = W.partitionBy(code, "_run").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
     stored = F.last(F.when(~F.col("stable_missing"), F.struct(*stable)), ignorenulls=True).over(in_run)
     filled = rows.withColumn("_stored", stored)

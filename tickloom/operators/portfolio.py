@@ -222,7 +222,7 @@ def redistribute_limit_up(targets: DataFrame, held: DataFrame, quotes: DataFrame
     flagged = marked.withColumn("_dropped", dropped).withColumn(
         "position", F.coalesce(values.number(F.col("position")), F.lit(0.0)))
     totals = attach_totals(
-        flagged, keys, _before=F.sum("position"),
+        flagged, keys, ["code6"], _before=F.sum("position"),
         _after=F.sum(F.when(~F.col("_dropped"), F.col("position")).otherwise(0.0)))
     scaled = F.when((F.col("_before") != F.col("_after")) & (F.col("_after") > 0),
                     F.col("position") * (F.col("_before") / F.col("_after"))).otherwise(F.col("position"))

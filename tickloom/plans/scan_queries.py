@@ -25,8 +25,8 @@ def _archived(spark, sf, name="v_tick", kind="tick"):
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, seq_num, current_price FROM v_tick
 WHERE trade_date = DATE '2024-01-10'""")
 def s1(spark, sf):
-    day = archive.load_day(_archived(spark, sf), "2024-01-10")
-    return day.select(day(), "code", "seq_num", "current_price")
+    rows = archive.load_day(_archived(spark, sf), "2024-01-10")
+    return rows.select(day(), "code", "seq_num", "current_price")
 
 
 @query("s2_code_scan", "v_deal", """

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import times
-from tickloom.operators.calendar import last_days, trading_days
+from tickloom.operators.calendar import last_days, one_per_day, trading_days
 from tickloom.operators.keyed import keep_first
 
 HEAVY = ("tick", "order", "deal")
@@ -62,7 +62,7 @@ def load_last_days(df: DataFrame, anchor: str, count: int, codes: Sequence[str]
     The day list is a small subquery result, so the scan is pruned at run time.
     """
     wanted = last_days(trading_days(df), F.lit(anchor).cast("date"), count)
-    rows = df.join(wanted, "trade_date", "left_semi")
+    rows = df.join(one_per_day(wanted), "trade_date", "left_semi")
     return only_codes(rows, codes).withColumn("_date", F.date_format("trade_date", "yyyyMMdd"))
 
 
@@ -75,9 +75,13 @@ def load_time_range(df: DataFrame, start: str, end: str, codes: Sequence[str] |
 
 
 def write_partitioned(df: DataFrame, root: str, kind: str) -> None:
-    """Replace the days present in ``df``, leaving other days alone."""
-    (df.repartition("trade_date", F.pmod(F.xxhash64("code"), F.lit(8)))
-       .sortWithinPartitions("trade_date", "code")
+    """Replace the days present in ``df``, leaving other days alone.
+
+    Ranges go down to time and sequence where present, so a busy stock or day
+    is written by several tasks.
+    """
+    order = ["trade_date", "code", *[c for c in ("time", "seq_num") if c in df.columns]]
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("trade_date").parquet(table_path(root, kind)))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,31 +141,31 @@ def snapshot_sink(spark: SparkSession, path: str, keys: list[str], by: str) -> C
     Readers use ``read_snapshot``.
     """
     def merge(rows: DataFrame, batch_id: int) -> None:
-        previous = _newest_version(spark, path, batch_id)
-        both = rows if previous is None else rows.unionByName(previous)
-        keep_first(both, keys, [F.desc(by)]).write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
+        last = _finished_version(spark, path, batch_id)
+        both = rows if last is None else rows.unionByName(spark.read.parquet(f"{path}/version={last}"))
+        keep_first(both, keys, [F.desc(by)]).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        # The version counts once this line is written.
+        spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("append").parquet(f"{path}/finished")
     return merge
 
 
-def _newest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
+def _finished_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """Newest finished version number, optionally below ``before``."""
+    try:
+        done = spark.read.schema("version LONG").parquet(f"{path}/finished")
+    except AnalysisException:  # nothing written yet
         return None
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    found = sorted(n for n in names if n.startswith("version=")
-                   and (before is None or int(n.split("=")[1]) < before)
-                   and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-    return spark.read.parquet(f"{path}/{found[-1]}") if found else None
+    if before is not None:
+        done = done.where(F.col("version") < before)
+    return done.agg(F.max("version")).first()[0]
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The newest finished version of a snapshot table."""
-    newest = _newest_version(spark, path)
+    newest = _finished_version(spark, path)
     if newest is None:
         raise FileNotFoundError(f"no snapshot version under {path}")
-    return newest
+    return spark.read.parquet(f"{path}/version={newest}")
 
 
 def round_sink(compute: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
