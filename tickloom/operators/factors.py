@@ -12,13 +12,16 @@ Three ways to write a factor, from fastest to most general:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions import times
 from tickloom.operators.calendar import attach_history, calendar
 from tickloom.operators.state import KEYS, tag_feeds
 from tickloom.session import ship_package
@@ -69,13 +72,14 @@ def bundle(needs: DataNeeds, frames: dict[str, DataFrame], keys: list[str] = KEY
     tagged = tag_feeds(*[frames.get(k, nothing) for k in ("tick", "deal", "order")], keys=keys)
     offsets = needs.offsets()
     if not offsets:
-        return tagged.withColumn("day_offset", F.lit(0))
+        return tagged.withColumns({"day_offset": F.lit(0), "time_us": times.micros_of_day(F.col("time"))})
     days = calendar(any_frame)
     asked = tagged.select("trade_date", "code").distinct()
     out = attach_history(asked, tagged, days, offsets, how="inner")
     return out.select(
         "trade_date", "code", "day_offset",
-        *[F.col(f"hist_{c}").alias(c) for c in tagged.columns if c not in ("trade_date", "code")])
+        *[F.col(f"hist_{c}").alias(c) for c in tagged.columns if c not in ("trade_date", "code")],
+        times.micros_of_day(F.col("hist_time")).alias("time_us"))
 
 
 def expression_factors(df: DataFrame, keys: list[str], factors: dict[str, Column]) -> DataFrame:
@@ -127,17 +131,30 @@ def _together(df: DataFrame, keys: list[str], order: list[str] = ()) -> DataFram
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
+def _starts(frame: pd.DataFrame, keys: list[str]) -> list[int]:
+    """Row numbers where a new key begins, and the row count at the end."""
+    if not len(frame):
+        return [0]
+    changed = np.zeros(len(frame), dtype=bool)
+    changed[0] = True
+    for k in keys:
+        column = frame[k].to_numpy()
+        changed[1:] |= column[1:] != column[:-1]
+    return [*np.flatnonzero(changed).tolist(), len(frame)]
+
+
 def _runs(batches: Frames, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """(key, rows) of consecutive equal keys in sorted batches; one key is held at a time."""
     held_key, held = None, []
     for batch in batches:
-        ids = list(batch[list(keys)].itertuples(index=False, name=None))
-        starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]] + [len(ids)]
+        starts = _starts(batch, keys)
+        columns = [batch[k].to_numpy() for k in keys]
         for lo, hi in zip(starts, starts[1:]):
-            if held and ids[lo] != held_key:
+            key = tuple(c[lo] for c in columns)
+            if held and key != held_key:
                 yield held_key, pd.concat(held) if len(held) > 1 else held[0]
                 held = []
-            held_key = ids[lo]
+            held_key = key
             held.append(batch.iloc[lo:hi])
     if held:
         yield held_key, pd.concat(held) if len(held) > 1 else held[0]
@@ -189,37 +206,42 @@ def fold_factors(df: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
     return _together(partial, keys).mapInPandas(merge_states, f"{ids}, {fold.result}")
 
 
-@dataclass
 class StockData:
-    """Frames of one stock and day as a frame function sees them."""
+    """Frames of one stock and day as a frame function sees them.
+
+    ``tick``, ``deal`` and ``order`` are cut out of the bundle when first
+    asked for, in sequence order; ``history[offset]`` holds earlier days.
+    """
 
-    code: str
-    tick: pd.DataFrame = field(default_factory=pd.DataFrame)
-    deal: pd.DataFrame = field(default_factory=pd.DataFrame)
-    order: pd.DataFrame = field(default_factory=pd.DataFrame)
-    history: dict[int, dict[str, pd.DataFrame]] = field(default_factory=dict)
+    def __init__(self, code: str, rows: pd.DataFrame, until_us: int | None = None):
+        self.code, self._rows, self._until = code, rows, until_us
 
-    def until(self, end_second: int | None) -> "StockData":
-        """Frames cut at a slice end, inclusive, so no later row is visible."""
-        if end_second is None:
-            return self
+    def _frame(self, kind: str, offset: int = 0) -> pd.DataFrame:
+        keep = (self._rows["kind"].to_numpy() == kind) & (self._rows["day_offset"].to_numpy() == offset)
+        if self._until is not None and offset == 0:
+            keep &= self._rows["time_us"].to_numpy() <= self._until
+        return self._rows[keep]
 
-        def cut(f: pd.DataFrame) -> pd.DataFrame:
-            t = f["time"]
-            micros = (t - t.dt.normalize()) // pd.Timedelta(microseconds=1)
-            return f[micros <= end_second * 1_000_000]
+    @cached_property
+    def tick(self) -> pd.DataFrame:
+        return self._frame("tick")
 
-        return StockData(self.code, *[cut(getattr(self, k)) for k in ("tick", "deal", "order")], self.history)
+    @cached_property
+    def deal(self) -> pd.DataFrame:
+        return self._frame("deal")
 
+    @cached_property
+    def order(self) -> pd.DataFrame:
+        return self._frame("order")
 
-def _to_stock(code: str, rows: pd.DataFrame) -> StockData:
-    """Frames of one stock from rows already in sequence order."""
-    kinds = lambda f: {k: f[f["kind"] == k] for k in ("tick", "deal", "order")}
-    offsets = rows["day_offset"]
-    if not offsets.any():
-        return StockData(code, **kinds(rows))
-    past = {int(o): kinds(g) for o, g in rows[offsets != 0].groupby("day_offset")}
-    return StockData(code, **kinds(rows[offsets == 0]), history=past)
+    @cached_property
+    def history(self) -> dict[int, dict[str, pd.DataFrame]]:
+        offsets = sorted(set(self._rows["day_offset"]) - {0})
+        return {o: {k: self._frame(k, o) for k in ("tick", "deal", "order")} for o in offsets}
+
+    def until(self, second: int | None) -> "StockData":
+        """The same stock cut at a slice end, inclusive, so no later row is visible."""
+        return self if second is None else StockData(self.code, self._rows, second * 1_000_000)
 
 
 def end_second(end_time: str) -> int | None:
@@ -233,7 +255,7 @@ def result_rows(value: object, code: str, end_times: Iterable[str]) -> list[dict
     of dicts, a frame, or nothing. Codes may be missing.
     """
     ends = list(end_times) or [""]
-    if value is None:
+    if value is None or (isinstance(value, dict) and not value):
         return []
     if isinstance(value, pd.DataFrame):
         value = value.to_dict("records")
@@ -294,7 +316,7 @@ def frame_factors(tagged: DataFrame, fn: Callable, result: str, end_times: Itera
     def run(batches: Frames) -> Frames:
         def groups() -> Iterator[list[dict]]:
             for (day, code), rows in _runs(batches, KEYS):
-                data = _to_stock(code, rows)
+                data = StockData(code, rows)
                 found = [r for e in ends for r in result_rows(fn(data.until(end_second(e)), code, day, e), code, [e])]
                 yield [{**r, "trade_date": day} for r in found]
         return _emit_rows(groups(), columns)
@@ -314,28 +336,39 @@ def batch_factors(tagged: DataFrame, fn: Callable, result: str, batches: int, en
     def run(parts: Frames) -> Frames:
         def groups() -> Iterator[list[dict]]:
             for (day, _), rows in _runs(parts, ["trade_date", "_batch"]):
-                data = {code: _to_stock(code, part) for code, part in rows.groupby("code")}
+                data = {code: StockData(code, part) for (code,), part in _runs([rows], ["code"])}
                 value = fn(data, sorted(data), day, list(ends))
                 yield [{**r, "trade_date": day} for r in result_rows(value, "", ends)]
         return _emit_rows(groups(), columns)
 
-    return _together(keyed, ["trade_date", "_batch"], ["seq_num"]).mapInPandas(run, schema)
+    return _together(keyed, ["trade_date", "_batch"], ["code", "seq_num"]).mapInPandas(run, schema)
 
 
-def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: str,
+def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: str, batches: int = 16,
                       limit: int = MAX_FRAME_ROWS) -> DataFrame:
-    """``fn(code, date, left_frame, right_frame)`` for two inputs of different shape."""
+    """``fn(code, date, left_frame, right_frame)`` for two inputs of different shape.
+
+    Stocks of a day are cogrouped ``batches`` at a time and split in the task:
+    handing Python one small group per stock would cost more than the work.
+    """
     ship_package(left.sparkSession)
-    check_group_size(left, KEYS, limit)
-    check_group_size(right, KEYS, limit)
+    keys = ["trade_date", "_batch"]
+    spread = F.pmod(F.xxhash64("code"), F.lit(batches))
+    sides = [df.withColumn("_batch", spread) for df in (left, right)]
+    for side in sides:
+        check_group_size(side, keys, limit)
     schema, columns = _result_schema(result)
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = result_rows(fn(key[1], key[0], a, b), key[1], [""])
-        return pd.DataFrame([{**r, "trade_date": key[0]} for r in rows], columns=columns)
+        parts = [{code: rows for (code,), rows in _runs([f.sort_values("code", kind="mergesort")], ["code"])} for f in (a, b)]
+        found = []
+        for code in sorted(parts[0].keys() | parts[1].keys()):
+            value = fn(code, key[0], parts[0].get(code, a.iloc[:0]), parts[1].get(code, b.iloc[:0]))
+            found += [{**r, "trade_date": key[0]} for r in result_rows(value, code, [""])]
+        return pd.DataFrame(found, columns=columns)
 
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = [df.repartition(n, *KEYS).groupBy(*KEYS) for df in (left, right)]
+    grouped = [df.repartition(n, *keys).groupBy(*keys) for df in sides]
     return grouped[0].cogroup(grouped[1]).applyInPandas(run, schema)
 
 
@@ -352,7 +385,7 @@ def momentum(panel: DataFrame, n: int, code: str = "code", day: str = "trade_dat
     """
     w = W.partitionBy(code).orderBy(day)
     priced = panel.where(F.col(close).isNotNull()).select(
-        code, day, (F.col(close) / F.lag(close, n).over(w) - 1).alias("momentum"), F.lit(True).alias("_priced"))
+        code, day, (F.try_divide(F.col(close), F.lag(close, n).over(w)) - 1).alias("momentum"), F.lit(True).alias("_priced"))
     rows = panel.select(code, day).join(priced, [code, day], "left")
     held = F.last(F.when(F.col("_priced"), F.struct("momentum")), ignorenulls=True)
     return rows.select(code, day, held.over(w.rowsBetween(W.unboundedPreceding, 0))["momentum"].alias("momentum"))

@@ -63,7 +63,7 @@ def share_within(df: DataFrame, keys: list[str], value: str, into: str = "weight
                  spread_by: list[str] | None = None) -> DataFrame:
     """``value`` divided by its total within ``keys``."""
     return attach_totals(df, keys, spread_by, _total=F.sum(value)).withColumn(
-        into, F.col(value) / F.col("_total")
+        into, F.try_divide(F.col(value), F.col("_total"))
     ).drop("_total")
 
 

@@ -21,11 +21,11 @@ from tickloom.sources.results import write_results
 
 @query("ud1_expression_factors", "v_tick", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, max(bid_price1) - min(bid_price1) AS "F_range", count(*) FILTER (WHERE event_type = 'click') AS "F_clicks",
-  arg_max(bid_price1, seq_num) / arg_min(bid_price1, seq_num) AS "F_drift" FROM v_tick GROUP BY 1, 2""")
+  arg_max(bid_price1, seq_num) / nullif(arg_min(bid_price1, seq_num), 0) AS "F_drift" FROM v_tick GROUP BY 1, 2""")
 def ud1(spark, sf):
     out = fac.expression_factors(view(spark, sf, "v_tick"), ["trade_date", "code"], {
         "F_range": F.max("bid_price1") - F.min("bid_price1"), "F_clicks": F.count_if(F.col("event_type") == "click"),
-        "F_drift": F.max_by("bid_price1", "seq_num") / F.min_by("bid_price1", "seq_num")})
+        "F_drift": F.try_divide(F.max_by("bid_price1", "seq_num"), F.min_by("bid_price1", "seq_num"))})
     return out.withColumn("trade_date", day())
 
 
@@ -67,7 +67,7 @@ def _bundle(spark, sf, lookback=0):
 @query("ud1_frame_factors", "v_tick v_deal_ev", _SLICED)
 def ud1_frames(spark, sf):
     out = fac.frame_factors(_bundle(spark, sf), _slice_factor, "F_bid double, F_volume double", ("103000", "143000"))
-    return out.where("F_bid IS NOT NULL").withColumn("trade_date", day())
+    return out.withColumn("trade_date", day())
 
 
 def _batch_factor(data: dict, codes: list, date, end_times: list) -> dict:

@@ -108,11 +108,11 @@ def _factors(spark, sf):
     daily = view(spark, sf, "v_daily")
     return daily.select(
         "trade_date", F.lit("150000").alias("end_time"), F.col("id_qi").alias("code"),
-        (F.col("high") - F.col("low")).alias("F_range"), (F.col("close") / F.col("open")).alias("F_drift"))
+        (F.col("high") - F.col("low")).alias("F_range"), values.ratio(F.col("close"), F.col("open")).alias("F_drift"))
 
 
 _FACTORS = """
-, f AS (SELECT trade_date, '150000' AS end_time, id_qi AS code, high - low AS "F_range", close / open AS "F_drift" FROM v_daily)"""
+, f AS (SELECT trade_date, '150000' AS end_time, id_qi AS code, high - low AS "F_range", CASE WHEN open > 0 THEN close / open END AS "F_drift" FROM v_daily)"""
 
 
 @query("s8_result_reader", "v_daily", _FACTORS + """

@@ -217,7 +217,7 @@ def w1_vwap(spark, sf):
 , p AS (SELECT trade_date, id_qi AS code, CASE WHEN volume >= 600 THEN NULL ELSE close END AS close FROM v_daily),
 n AS (SELECT *, count(close) OVER (PARTITION BY code ORDER BY trade_date) AS k FROM p),
 v AS (SELECT code, k, close FROM n WHERE close IS NOT NULL)
-SELECT CAST(n.trade_date AS VARCHAR) AS trade_date, n.code, a.close / b.close - 1 AS momentum FROM n LEFT JOIN v a ON a.code = n.code AND a.k = n.k LEFT JOIN v b ON b.code = n.code AND b.k = n.k - 5""")
+SELECT CAST(n.trade_date AS VARCHAR) AS trade_date, n.code, a.close / nullif(b.close, 0) - 1 AS momentum FROM n LEFT JOIN v a ON a.code = n.code AND a.k = n.k LEFT JOIN v b ON b.code = n.code AND b.k = n.k - 5""")
 def w2(spark, sf):
     panel = view(spark, sf, "v_daily").select("trade_date", F.col("id_qi").alias("code"), F.when(F.col("volume") < 600, F.col("close")).alias("close"))
     return fac.momentum(panel, 5).select(day(), "code", "momentum")
