@@ -20,8 +20,8 @@ def plus_micros(day: Column, micros: Column) -> Column:
 
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 read off the wall clock, free of the session zone."""
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", zero, ts.cast("timestamp_ntz"))
+    days = F.unix_date(F.to_date(ts.cast("timestamp_ntz"))).cast("long")
+    return days * F.lit(DAY_SECONDS * 1_000_000) + micros_of_day(ts)
 
 
 def from_epoch_micros(micros: Column) -> Column:
@@ -30,7 +30,8 @@ def from_epoch_micros(micros: Column) -> Column:
 
 def micros_of_day(ts: Column) -> Column:
     ts = ts.cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", F.to_date(ts).cast("timestamp_ntz"), ts)
+    whole = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * F.lit(1_000_000)
+    return whole + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
 def seconds_of_day(ts: Column) -> Column:

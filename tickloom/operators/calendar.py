@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.session import settle
+
 DAY = "trade_date"
 
 
@@ -36,6 +38,14 @@ def calendar(df: DataFrame, day: str = DAY) -> DataFrame:
     )
 
 
+def settled_calendar(df: DataFrame, day: str = DAY) -> DataFrame:
+    """The calendar as a small written table, for jobs that read it many times.
+
+    Without this each use would repeat the distinct over the source.
+    """
+    return settle(calendar(df, day))
+
+
 def weekday_calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Fallback when no panel exists: every Monday to Friday in the range."""
     days = spark.range(1).select(

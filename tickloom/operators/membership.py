@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import codes, values
-from tickloom.operators.calendar import DAY, expand_over_days, one_per_day, ordinal_on_or_after, running_asof
+from tickloom.operators.calendar import DAY, calendar, expand_over_days, one_per_day, ordinal_on_or_after, running_asof
 from tickloom.operators.keyed import attach_totals, share_within
 
 BENCHMARK_MEMBERS_MIN = 4800  # Fixed value: below this a broad benchmark is incomplete.
@@ -62,19 +62,13 @@ def free_shares_asof(log: DataFrame, days: DataFrame, security: DataFrame, tie:
     # Shares are looked up as of the previous trading day, so build the calendar
     # of cut days and read results back under the day that asks.
     cuts = prev.select(F.col("_cut").alias(DAY)).distinct()
-    asof = running_asof(log, _renumber(cuts), ["party_id"], "change_date", tie, ["free_shares"], strict=False)
+    asof = running_asof(log, calendar(cuts), ["party_id"], "change_date", tie, ["free_shares"], strict=False)
     asked = prev.select(F.col("_cut"), F.col(DAY).alias("_day"))
     per_day = asof.join(one_per_day(asked), asof[DAY] == asked["_cut"]).select(
         F.col("_day").alias(DAY), "party_id", "change_date", "free_shares")
     return per_day.join(security.select("party_id", "security_id"), "party_id")
 
 
-def _renumber(days: DataFrame) -> DataFrame:
-    from tickloom.operators.calendar import calendar
-
-    return calendar(days)
-
-
 def index_weights(members: DataFrame, closes: DataFrame, shares: DataFrame,
                   groups: list[str] = [DAY, "index_code"]) -> DataFrame:
     """Free-float value over its total within each day and index; positive inputs only."""

@@ -19,9 +19,10 @@ def _positive(c: Column) -> Column:
     return F.when(values.is_finite(c) & (c > 0), c)
 
 
-def _first_of(df: DataFrame, names: list[str], default: Column) -> Column:
-    present = [F.col(n) for n in names if n in df.columns]
-    return F.coalesce(*present, default) if present else default
+def _first_of(df: DataFrame, names: list[str]) -> Column:
+    """The first of the named columns that exists, as a number; gaps and absence are 0."""
+    present = [n for n in names if n in df.columns]
+    return F.coalesce(values.number(F.col(present[0])), F.lit(0.0)) if present else F.lit(0.0)
 
 
 # Column spellings accepted from account and position sources.
@@ -105,8 +106,8 @@ def aggregate_positions(positions: DataFrame, keys: list[str]) -> DataFrame:
     """One row per book and code: volume, available, value, highest usable broker price."""
     have = set(positions.columns)
     last = F.col("last_price").cast("double") if "last_price" in have else F.lit(None).cast("double")
-    volume = F.coalesce(_first_of(positions, VOLUME_NAMES, F.lit(0)), F.lit(0))
-    available = F.coalesce(_first_of(positions, [*AVAILABLE_NAMES, *VOLUME_NAMES], F.lit(0)), F.lit(0))
+    volume = _first_of(positions, VOLUME_NAMES)
+    available = _first_of(positions, [*AVAILABLE_NAMES, *VOLUME_NAMES])
     return positions.select(
         *keys, codes.key6(F.col("code")).alias("code6"), volume.alias("_v"), available.alias("_a"),
         _positive(last).alias("_p"),
@@ -126,12 +127,10 @@ def resolve_capital(account: DataFrame, keys: list[str], override: float | None
     return account.select(*keys, F.coalesce(*figures).alias("capital"))
 
 
-def positions_to_orders(targets: DataFrame, positions: DataFrame, account: DataFrame, quotes: DataFrame,
-                        keys: list[str], *, mode: str = "auto", close: DataFrame | None = None,
-                        capital: float | None = None, price_type: str = "latest",
-                        strategy: str = "open_position", note: str = "",
-                        details: bool = False) -> DataFrame:
-    """Order rows that move each book from its holdings to its target weights.
+def sized_orders(targets: DataFrame, positions: DataFrame, account: DataFrame, quotes: DataFrame,
+                 keys: list[str], *, mode: str = "auto", close: DataFrame | None = None,
+                 capital: float | None = None) -> DataFrame:
+    """Orders that move each book from its holdings to its target weights, with ``blocked`` marked.
 
     * ``targets`` (keys, code, position), ``positions`` (keys, code, volumes),
       ``account`` (keys, total_asset, ...), ``quotes`` (code, price, high_limit).
@@ -139,7 +138,7 @@ def positions_to_orders(targets: DataFrame, positions: DataFrame, account: DataF
       trade nothing and are not exits.
     * Holdings outside the target list are sold in full.
     * Lots of 100; the 200-share board buys at least 200 in single shares.
-    * Sells never exceed what is available; unheld buys at the limit leave.
+    * Sells never exceed what is available; unheld buys at the limit are blocked.
     * ``auto`` trades the difference in books with positions and the plain
       weight in books without.
     """
@@ -199,11 +198,21 @@ def positions_to_orders(targets: DataFrame, positions: DataFrame, account: DataF
         .withColumn("side", F.when(c("_delta") > 0, "buy").otherwise("sell"))
     )
     blocked = (c("side") == "buy") & ~c("_held") & at_limit_up(c("price"), c("_limit"))
-    kept = orders.where(~blocked)
-    extra = ["_weight", "_current", "_available"] if details else []
-    return kept.select(
-        *keys, c("code6").alias("code"), "side", "volume", F.lit(price_type).alias("price_type"), "price",
-        F.lit(strategy).alias("strategy"), F.lit(note).alias("note"), *extra)
+    return orders.select(*keys, c("code6").alias("code"), "side", "volume", "price", blocked.alias("blocked"))
+
+
+def positions_to_orders(targets: DataFrame, positions: DataFrame, account: DataFrame, quotes: DataFrame,
+                        keys: list[str], *, price_type: str = "latest", strategy: str = "open_position",
+                        note: str = "", **sizing) -> DataFrame:
+    """Order rows of every book; see ``sized_orders`` for the rules and options."""
+    orders = sized_orders(targets, positions, account, quotes, keys, **sizing).where(~F.col("blocked"))
+    return orders.select(*keys, "code", "side", "volume", F.lit(price_type).alias("price_type"), "price",
+                         F.lit(strategy).alias("strategy"), F.lit(note).alias("note"))
+
+
+def limit_up_buys(*args, **sizing) -> DataFrame:
+    """Buys that the limit rule held back, for the report."""
+    return sized_orders(*args, **sizing).where("blocked").drop("blocked")
 
 
 def unpriced_targets(targets: DataFrame, positions: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame:

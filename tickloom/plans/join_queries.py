@@ -62,7 +62,7 @@ cal AS (SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS prev, l
 SELECT CAST(c.trade_date AS VARCHAR) AS trade_date, m.index_code, m.cons_id FROM cal c JOIN v_idx_cons m
 ON m.into_date <= c.trade_date AND (m.out_date IS NULL OR m.out_date > c.trade_date)""")
 def j3(spark, sf):
-    days = cal.calendar(view(spark, sf, "v_daily"))
+    days = cal.settled_calendar(view(spark, sf, "v_daily"))
     return mem.members_in_time(view(spark, sf, "v_idx_cons"), days).select(day(), "index_code", "cons_id")
 
 
@@ -86,7 +86,7 @@ _SHARES = """
 @query("j5_asof_free_shares", "v_daily v_free_shares v_security", _CAL + _SHARES + """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, security_id, free_shares, CAST(change_date AS VARCHAR) AS change_date FROM sh WHERE rn = 1""")
 def j5(spark, sf):
-    days = cal.calendar(view(spark, sf, "v_daily"))
+    days = cal.settled_calendar(view(spark, sf, "v_daily"))
     out = mem.free_shares_asof(view(spark, sf, "v_free_shares"), days, view(spark, sf, "v_security"))
     return out.select(day(), "security_id", "free_shares", text_date("change_date"))
 
@@ -238,7 +238,7 @@ _WEIGHT_VIEWS = "v_daily v_idx_cons v_free_shares v_security"
 def index_weights(spark, sf):
     """Weights over whole shares and cents, so that sums are exact."""
     daily, security = view(spark, sf, "v_daily"), view(spark, sf, "v_security")
-    days = cal.calendar(daily)
+    days = cal.settled_calendar(daily)
     cents = daily.select("trade_date", "security_id", F.floor(F.col("close") * 100 + 0.5).cast("double").alias("close"))
     shares = view(spark, sf, "v_free_shares").withColumn("free_shares", F.floor("free_shares").cast("double"))
     members = mem.members_in_time(view(spark, sf, "v_idx_cons").withColumnRenamed("cons_id", "security_id"), days)
@@ -310,7 +310,7 @@ SELECT CAST(w.trade_date AS VARCHAR) AS trade_date, count(*) AS members,
   count(*) FILTER (WHERE index_code = '000003') BETWEEN 1 AND 4799 AS benchmark_alert
 FROM wt w JOIN cal c USING (trade_date) GROUP BY 1""")
 def q4(spark, sf):
-    days = cal.calendar(view(spark, sf, "v_daily"))
+    days = cal.settled_calendar(view(spark, sf, "v_daily"))
     return mem.weight_freshness(index_weights(spark, sf), days, "000003").withColumn("trade_date", day())
 
 

@@ -48,6 +48,14 @@ def o1_unpriced(spark, sf):
     return pf.unpriced_targets(view(spark, sf, "v_book_target"), view(spark, sf, "v_book_position"), view(spark, sf, "v_price"), KEYS)
 
 
+@query("o1_limit_up_report", BOOK, _ORDERS + """
+ SELECT account_id, code, volume, price FROM v WHERE volume > 0 AND delta > 0 AND coalesce(hv, 0) <= 0 AND high_limit > 0 AND price >= high_limit - 1e-6""")
+def o1_blocked(spark, sf):
+    out = pf.limit_up_buys(view(spark, sf, "v_book_target"), view(spark, sf, "v_book_position"), view(spark, sf, "v_account"),
+                           view(spark, sf, "v_price"), KEYS)
+    return out.select("account_id", "code", "volume", "price")
+
+
 _TOP = """
 , r AS (SELECT account_id, code AS code6, position, pred, row_number() OVER (PARTITION BY account_id ORDER BY abs(position) DESC, pred DESC, code) AS rn FROM v_book_target WHERE position <> 0)"""
 
@@ -219,7 +227,7 @@ def a15(spark, sf):
 
 @query("a20_position_totals", "v_book_position v_account", """
 , p AS (SELECT account_id, substr(code, 1, 3) || '000' AS code6, current_volume, available_volume, last_price FROM v_book_position)
-SELECT account_id, code6, sum(current_volume)::BIGINT AS held_volume, sum(available_volume)::BIGINT AS available_volume, coalesce(sum(current_volume * last_price), 0.0) AS held_value FROM p GROUP BY 1, 2""")
+SELECT account_id, code6, sum(current_volume)::DOUBLE AS held_volume, sum(available_volume)::DOUBLE AS available_volume, coalesce(sum(current_volume * last_price), 0.0) AS held_value FROM p GROUP BY 1, 2""")
 def a20(spark, sf):
     positions = view(spark, sf, "v_book_position").withColumn("code", F.concat(F.substring("code", 1, 3), F.lit("000.SZ")))
     out = pf.aggregate_positions(positions, KEYS)
