@@ -83,7 +83,7 @@ def lot_floor(volume: Column, lot: int = 100) -> Column:
 
 def model_orders(scored: DataFrame, positions: DataFrame, account: DataFrame, quotes: DataFrame,
                  keys: list[str], max_orders: int = 10, default_price: float = 10.0,
-                 lot: int = 100, strategy: str = "robot_model") -> DataFrame:
+                 lot: int = 100, strategy: str = "model") -> DataFrame:
     """Orders towards model weights for every (``keys``) book at once.
 
     The strongest ``max_orders`` non-zero weights per book are traded; shorts

@@ -1,8 +1,10 @@
 """Live path: incremental state, bars, snapshots and archive chunks as Structured Streaming jobs.
 
-Event time is cast to a zoned timestamp where a watermark needs one. All
-aggregates are the order-insensitive ones of the batch path, so a replay in
-any order or micro-batch cut ends in the same values.
+A watermark needs a zoned timestamp, so event time is carried as the instant
+whose UTC reading is the wall clock and turned back at the output: windows are
+wall-clock days and minutes whatever the session zone. All aggregates are the
+order-insensitive ones of the batch path, so a replay in any order or
+micro-batch cut ends in the same values.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.functions import times
 from tickloom.operators.keyed import keep_first, latest_per_key
 from tickloom.operators.quality import archive_check
 from tickloom.operators.state import tick_aggregates
@@ -41,8 +44,14 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str
 
 
 def with_watermark(df: DataFrame, delay: str, time: str = "time") -> DataFrame:
-    """Event time as a zoned timestamp with an allowed delay."""
-    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    """Event time as an instant, with an allowed delay."""
+    instant = F.timestamp_micros(times.epoch_micros(F.col(time)))
+    return df.withColumn(time, instant).withWatermark(time, delay)
+
+
+def wall_clock(instant: Column) -> Column:
+    """Back from the instant to the zone-free wall clock."""
+    return times.from_epoch_micros(F.unix_micros(instant))
 
 
 def start_available(df: DataFrame, mode: str, checkpoint: str, batch: Callable[[DataFrame, int], None] | None = None,
@@ -82,7 +91,9 @@ def state_stream(tick: DataFrame, delay: str = "1 day") -> DataFrame:
     """
     day = F.window("time", "1 day").alias("_day")
     out = with_watermark(tick, delay).groupBy(day, "code").agg(*tick_aggregates())
-    return out.withColumn("trade_date", F.to_date("_day.start")).drop("_day")
+    return out.withColumns({
+        "trade_date": F.to_date(wall_clock(F.col("_day.start"))), "last_tick_time": wall_clock(F.col("last_tick_time")),
+    }).drop("_day")
 
 
 def bar_stream(tick: DataFrame, every: str = "1 minute", delay: str = "5 minutes") -> DataFrame:
@@ -92,12 +103,13 @@ def bar_stream(tick: DataFrame, every: str = "1 minute", delay: str = "5 minutes
         F.min_by("current_price", "seq_num").alias("open"), F.max("current_price").alias("high"),
         F.min("current_price").alias("low"), F.max_by("current_price", "seq_num").alias("close"),
         F.max_by("total_volume", "seq_num").alias("volume"), F.count("*").alias("ticks"),
-    ).select("code", F.col("_bin.start").cast("timestamp_ntz").alias("time"), "open", "high", "low", "close", "volume", "ticks")
+    ).select("code", wall_clock(F.col("_bin.start")).alias("time"), "open", "high", "low", "close", "volume", "ticks")
 
 
 def distinct_stream(feed: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """Each (code, sequence number) once. A replay carries the same event time as the original."""
-    return with_watermark(feed, delay).dropDuplicatesWithinWatermark(keys)
+    once = with_watermark(feed, delay).dropDuplicatesWithinWatermark(keys)
+    return once.withColumn("time", wall_clock(F.col("time")))
 
 
 def latency_stream(feed: DataFrame, kind: str, latency: str, delay: str = "5 minutes", limit_ms: int = 600_000) -> DataFrame:
@@ -105,7 +117,7 @@ def latency_stream(feed: DataFrame, kind: str, latency: str, delay: str = "5 min
     inside = with_watermark(feed.where(F.col(latency).between(0, limit_ms)), delay)
     return inside.groupBy(F.window("time", "1 minute").alias("_m"), F.col(kind).alias("kind")).agg(
         F.count("*").alias("n"), F.min(latency).alias("min_ms"), F.sum(latency).alias("sum_ms"), F.max(latency).alias("max_ms"),
-    ).select(F.col("_m.start").cast("timestamp_ntz").alias("minute"), "kind", "n", "min_ms", "sum_ms", "max_ms")
+    ).select(wall_clock(F.col("_m.start")).alias("minute"), "kind", "n", "min_ms", "sum_ms", "max_ms")
 
 
 def gap_stream(feed: DataFrame, keys: list[str], seq: str = "seq_num") -> DataFrame:
