@@ -14,6 +14,8 @@ from tickloom.operators import state as st
 from tickloom.operators.keyed import keep_first
 from tickloom.plans.registry import query
 from tickloom.plans.views import day, view
+from tickloom.session import scratch_path
+from tickloom.sources import archive
 
 US = lambda name: times.epoch_micros(F.col(name)).alias(name)
 DEAL_ORDER = ["time", "buy_order_id", "sale_order_id", "money", "volume", "side"]
@@ -273,6 +275,13 @@ def t1(spark, sf):
     return out.select(day(), "code", "seq_num", F.col("prev").cast("double").alias("prev_seq"))
 
 
+@query("t4_ordered_sink", "v_daily", "SELECT count(*) AS rows, 0::BIGINT AS out_of_order FROM v_daily")
+def t4(spark, sf):
+    path = scratch_path(spark, "ordered")
+    archive.write_ordered(view(spark, sf, "v_daily").orderBy(F.xxhash64("id_qi", "trade_date")), path, ["trade_date", "id_qi"])
+    return archive.out_of_order(spark.read.parquet(path), ["trade_date", "id_qi"])
+
+
 @query("q1_feed_validation", "v_order", """
 , o AS (SELECT channel, seq_num, CASE WHEN code < '000100' THEN code || '.XSHE' ELSE code END AS code FROM v_order),
 k AS (SELECT channel, seq_num, count(*) AS n, sum(CASE WHEN regexp_matches(code, '^(6[0-9]{5}\\.XSHG|[03][0-9]{5}\\.XSHE)$') THEN 0 ELSE 1 END) AS bad FROM o GROUP BY 1, 2)

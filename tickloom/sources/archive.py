@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import times
@@ -97,3 +98,17 @@ def write_archive(df: DataFrame, root: str, kind: str, keys: Sequence[str] = ("c
     (rows.repartitionByRange("trade_date", *keys).sortWithinPartitions("trade_date", *keys)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd").partitionBy("trade_date").parquet(table_path(root, kind)))
+
+
+def write_ordered(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Canonical row order at the sink only: ranges over files, sorted inside each file."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def out_of_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row: row count, and rows that sort before the row above them in their file."""
+    at = W.partitionBy("_file").orderBy("_row")
+    key = F.struct(*order)
+    rows = df.select(*order, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return rows.select((key < F.lag(key).over(at)).alias("_bad")).agg(
+        F.count("*").alias("rows"), F.count_if("_bad").alias("out_of_order"))
