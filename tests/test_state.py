@@ -21,7 +21,7 @@ def feeds_of(spark):
 
 
 def test_slices_equal_state_of_cut_feeds(spark):
-    sliced = st.sliced_state(st.tag_feeds(*feeds_of(spark)), half_hours(spark)).where("slice IN (5, 20, 47)")
+    sliced = st.sliced_state(*feeds_of(spark), half_hours(spark)).where("slice IN (5, 20, 47)")
     names = ["trade_date", "code", "open", "latest_price", "high", "low", "pre_close", "ask1", "bid1", "ask_volume1",
              "tick_count", "deal_count", "order_count", "cum_amount", "cum_volume", "buy_order_volume", "cancel_count", "last_market_time"]
     for slice_ in (5, 20, 47):

@@ -3,7 +3,7 @@
 All aggregates are order-insensitive (``min_by`` / ``max_by`` on the sequence
 number), so replays, file order and micro-batch cuts cannot change a result,
 and everything combines before the shuffle: a stock with a million rows ships
-one partial row per task.
+one partial row per task and feed.
 
 ``seq_num`` must be unique per stock, day and feed; run ``keep_first`` before.
 """
@@ -104,58 +104,86 @@ def tag_feeds(tick: DataFrame, deal: DataFrame, order: DataFrame, keys: list[str
     return lay(tick, "tick").unionByName(lay(deal, "deal")).unionByName(lay(order, "order"))
 
 
-def _full_aggregates() -> list[Column]:
-    c, kind = F.col, F.col("kind")
-    tick, deal, order = kind == "tick", kind == "deal", kind == "order"
-    at = lambda rule: F.when(rule, c("seq_num"))
-    pos = lambda name: at(tick & (c(name) > 0))
-    price = F.when(tick & (c("current_price") > 0), c("current_price"))
-    buy, sell = order & (c("side") == S.SIDE_BUY), order & (c("side") == S.SIDE_SELL)
-    total = lambda rule, name: F.sum(F.when(rule, c(name)).otherwise(F.lit(0.0)))
-    ask_at, bid_at = at(tick & c("ask_volume1").isNotNull()), at(tick & c("bid_volume1").isNotNull())
-    last_time = lambda rule: F.max_by("time", at(rule))
-    return [
-        F.min_by("current_price", pos("current_price")).alias("open"),
-        F.min(pos("current_price")).alias("open_seq"),
-        F.max_by("current_price", pos("current_price")).alias("latest_price"),
-        F.max(pos("current_price")).alias("latest_seq"),
-        F.max(price).alias("high"), F.min(price).alias("low"),
-        F.max_by("pre_close_price", pos("pre_close_price")).alias("pre_close"),
-        F.max(pos("pre_close_price")).alias("pre_close_seq"),
-        F.max_by("ask_price1", pos("ask_price1")).alias("ask1"), F.max(pos("ask_price1")).alias("ask1_seq"),
-        F.max_by("bid_price1", pos("bid_price1")).alias("bid1"), F.max(pos("bid_price1")).alias("bid1_seq"),
-        F.max_by("ask_volume1", ask_at).alias("ask_volume1"), F.max(ask_at).alias("ask_volume1_seq"),
-        F.max_by("bid_volume1", bid_at).alias("bid_volume1"), F.max(bid_at).alias("bid_volume1_seq"),
-        F.count_if(tick).alias("tick_count"), F.count_if(deal).alias("deal_count"),
-        F.count_if(order).alias("order_count"),
-        total(deal, "amount").alias("cum_amount"), total(deal, "volume").alias("cum_volume"),
-        F.count_if(buy).alias("buy_order_count"), F.count_if(sell).alias("sell_order_count"),
-        total(buy, "volume").alias("buy_order_volume"), total(sell, "volume").alias("sell_order_volume"),
-        F.count_if(order & (c("order_type") == S.ORDER_CANCEL)).alias("cancel_count"),
-        last_time(tick).alias("last_tick_time"), last_time(deal).alias("last_deal_time"),
-        last_time(order).alias("last_order_time"), F.max("time").alias("last_market_time"),
-    ]
-
-
+# Fields each feed contributes, and what they are reduced to.
+_FEED_FIELDS = {
+    "tick": ("current_price", "pre_close_price", "ask_price1", "bid_price1", "ask_volume1", "bid_volume1"),
+    "deal": ("amount", "volume"),
+    "order": ("side", "order_type", "volume"),
+}
 SEQUENCED = ("latest_price", "pre_close", "ask1", "bid1", "ask_volume1", "bid_volume1")
 COUNTERS = (
     "tick_count", "deal_count", "order_count", "cum_amount", "cum_volume", "buy_order_count",
     "sell_order_count", "buy_order_volume", "sell_order_volume", "cancel_count",
 )
-_HELPERS = ("open_seq", "latest_seq", "pre_close_seq", "ask1_seq", "bid1_seq",
-            "ask_volume1_seq", "bid_volume1_seq")
+_LAST = ("last_tick_time", "last_deal_time", "last_order_time", "last_market_time")
 
 
-def full_state(tick: DataFrame, deal: DataFrame, order: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """State over all three feeds with one shuffle: union, then one aggregation."""
-    return tag_feeds(tick, deal, order, keys).groupBy(*keys).agg(*_full_aggregates()).drop(*_HELPERS)
+def _sequence_of(name: str) -> str:
+    return f"{name}_seq"
+
+
+def _feed_aggregates(kind: str) -> list[Column]:
+    """Aggregates of one feed. All buffers are plain numbers, so they stay in hash aggregation."""
+    c, last = F.col, F.max_by("time", "seq_num").alias(f"last_{kind}_time")
+    common = [F.count("*").alias(f"{kind}_count"), last, F.max("time").alias("last_market_time")]
+    if kind == "tick":
+        seen = {n: F.when(c(n).isNotNull(), c("seq_num")) for n in ("ask_volume1", "bid_volume1")}
+        sources = {"latest_price": "current_price", "pre_close": "pre_close_price", "ask1": "ask_price1", "bid1": "bid_price1"}
+        return [
+            F.min_by("current_price", _positive_at("current_price")).alias("open"),
+            F.min(_positive_at("current_price")).alias("open_seq"),
+            *[F.max_by(src, _positive_at(src)).alias(n) for n, src in sources.items()],
+            *[F.max(_positive_at(src)).alias(_sequence_of(n)) for n, src in sources.items()],
+            *[F.max_by(n, at).alias(n) for n, at in seen.items()],
+            *[F.max(at).alias(_sequence_of(n)) for n, at in seen.items()],
+            F.max(F.when(c("current_price") > 0, c("current_price"))).alias("high"),
+            F.min(F.when(c("current_price") > 0, c("current_price"))).alias("low"), *common,
+        ]
+    if kind == "deal":
+        return [F.sum("amount").alias("cum_amount"), F.sum("volume").alias("cum_volume"), *common]
+    buy, sell = c("side") == S.SIDE_BUY, c("side") == S.SIDE_SELL
+    total = lambda rule: F.sum(F.when(rule, c("volume")).otherwise(F.lit(0.0)))
+    return [
+        F.count_if(buy).alias("buy_order_count"), F.count_if(sell).alias("sell_order_count"),
+        total(buy).alias("buy_order_volume"), total(sell).alias("sell_order_volume"),
+        F.count_if(c("order_type") == S.ORDER_CANCEL).alias("cancel_count"), *common,
+    ]
 
 
-def _sequence_of(name: str) -> str:
-    return "latest_seq" if name == "latest_price" else f"{name}_seq"
+def _merged_state(feeds: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """State per key out of feeds that are each reduced on their own.
+
+    A feed's rows carry only that feed's columns into its shuffle. After that a
+    key has one row per feed and every value comes from one of them, so the
+    last step only lines three small rows up; no join, no pairing.
+    """
+    parts = [df.groupBy(*keys).agg(*_feed_aggregates(kind)) for kind, df in feeds.items()]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    merged = stacked.groupBy(*keys).agg(*[F.max(n).alias(n) for n in stacked.columns if n not in keys])
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0.0 if n.startswith("cum") or n.endswith("volume") else 0)).alias(n)
+    return merged.select(*[zero(n) if n in COUNTERS else F.col(n) for n in merged.columns])
+
+
+def _narrow(tick: DataFrame, deal: DataFrame, order: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Only the columns the state reads, at the types it keeps."""
+    if "amount" not in deal.columns:
+        deal = deal.withColumn("amount", F.col("price") * F.col("volume"))
+    return {
+        kind: df.select(*keys, "time", "seq_num", *[F.col(n).cast(_FIELDS[n]).alias(n) for n in _FEED_FIELDS[kind]])
+        for kind, df in (("tick", tick), ("deal", deal), ("order", order))
+    }
+
 
+def full_state(tick: DataFrame, deal: DataFrame, order: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """State over all three feeds."""
+    out = _merged_state(_narrow(tick, deal, order, keys), keys)
+    return out.drop("open_seq", *[_sequence_of(n) for n in SEQUENCED])
 
-def sliced_state(tagged: DataFrame, slices: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+
+def sliced_state(tick: DataFrame, deal: DataFrame, order: DataFrame, slices: DataFrame,
+                 keys: list[str] = KEYS) -> DataFrame:
     """State as of every slice end (rows with time <= end), for all slices at once.
 
     ``slices`` has (slice, end_second). Rows are reduced to one partial state
@@ -170,11 +198,14 @@ def sliced_state(tagged: DataFrame, slices: DataFrame, keys: list[str] = KEYS) -
         "slice", F.explode(F.sequence("_from", "end_second")).alias("_second"))
     last = slices.agg(F.max("slice")).scalar()
     second = F.ceil(times.micros_of_day(F.col("time")) / F.lit(1_000_000.0)).cast("int")
-    placed = tagged.withColumn("_second", second).join(F.broadcast(seconds), "_second")
-    partial = placed.groupBy(*keys, "slice").agg(*_full_aggregates())
+    placed = {
+        kind: df.withColumn("_second", second).join(F.broadcast(seconds), "_second").drop("_second")
+        for kind, df in _narrow(tick, deal, order, keys).items()
+    }
+    partial = _merged_state(placed, [*keys, "slice"])
 
-    order = W.partitionBy(*keys).orderBy("slice")
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    order_ = W.partitionBy(*keys).orderBy("slice")
+    so_far = order_.rowsBetween(W.unboundedPreceding, 0)
     seen = lambda name: F.when(F.col(_sequence_of(name)).isNotNull(),
                                F.struct(F.col(_sequence_of(name)), F.col(name)))
     first_open = F.min(F.when(F.col("open_seq").isNotNull(), F.struct("open_seq", "open"))).over(so_far)
@@ -183,15 +214,13 @@ def sliced_state(tagged: DataFrame, slices: DataFrame, keys: list[str] = KEYS) -
         "high": F.max("high").over(so_far), "low": F.min("low").over(so_far),
         **{n: F.max(seen(n)).over(so_far)[n] for n in SEQUENCED},
         **{n: F.sum(n).over(so_far) for n in COUNTERS},
-        **{n: F.max(n).over(so_far) for n in
-           ("last_tick_time", "last_deal_time", "last_order_time", "last_market_time")},
+        **{n: F.max(n).over(so_far) for n in _LAST},
     }
-    walked = partial.select(*keys, "slice", F.lead("slice").over(order).alias("_next"),
+    walked = partial.select(*keys, "slice", F.lead("slice").over(order_).alias("_next"),
                             *[e.alias(n) for n, e in running.items()])
     stops = walked.withColumn("_stop", F.coalesce(F.col("_next") - 1, last))
     spread = stops.withColumn("slice", F.explode(F.sequence(F.col("slice"), F.col("_stop")))).drop("_next", "_stop")
-    ends = slices.select("slice", *[c for c in slices.columns if c not in ("slice",)])
-    return spread.join(F.broadcast(ends), "slice")
+    return spread.join(F.broadcast(slices), "slice")
 
 
 def factor_pack(state: DataFrame, digits: int | None = 4, ids: tuple = ()) -> DataFrame:

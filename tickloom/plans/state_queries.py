@@ -169,7 +169,7 @@ def half_hours(spark):
 
 @query("a12_multi_slice_state", "v_tick v_order v_deal_ev", _SLICES)
 def a12(spark, sf):
-    out = st.sliced_state(st.tag_feeds(*event_feeds(spark, sf)), half_hours(spark))
+    out = st.sliced_state(*event_feeds(spark, sf), half_hours(spark))
     return out.select(day(), "code", "slice", "open", "latest_price", "high", "low", "pre_close", "ask1", "ask_volume1",
                       "tick_count", "deal_count", "cum_amount", "order_count", "buy_order_count", "cancel_count")
 
