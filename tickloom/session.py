@@ -41,6 +41,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tic
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
@@ -49,10 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    local = tempfile.mkdtemp(prefix="tickloom-")
-    atexit.register(shutil.rmtree, local, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tickloom-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
