@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import external_shuffle, mixing, rule_ensemble, rule_lists, sql, stats, winnowing
+from tickloom.llm import external_shuffle, lsh_forest, mixing, rule_ensemble, rule_lists, sql, stats, winnowing
 from tickloom.llm.store import read
 
 
+def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_copies(read(spark, sf_dir, "documents"))
+
+
 def op4_rule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rule_lists.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", *stats.COUNTS[:5], "base_failed", "kept")
@@ -30,5 +34,5 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_rule_lists, op6_winnowing, op7_rule_ensemble, op8_external_shuffle, op10_systematic_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lsh_forest, op4_rule_lists, op6_winnowing, op7_rule_ensemble, op8_external_shuffle, op10_systematic_mixing)}
 ORACLES = dict(sql.ORACLES)
