@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import external_shuffle, lsh_forest, mixing, rule_ensemble, rule_lists, sql, stats, winnowing
+from tickloom.llm import external_shuffle, lsh_forest, mixing, rule_ensemble, rule_lists, sql, stats, substrings, winnowing
 from tickloom.llm.store import read
 
 
@@ -30,9 +30,13 @@ def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle.shard_table(read(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(read(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lsh_forest, op4_rule_lists, op6_winnowing, op7_rule_ensemble, op8_external_shuffle, op10_systematic_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lsh_forest, op4_rule_lists, op6_winnowing, op7_rule_ensemble, op8_external_shuffle, op9_substrings, op10_systematic_mixing)}
 ORACLES = dict(sql.ORACLES)
