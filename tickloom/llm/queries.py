@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import external_shuffle, lsh_forest, mixing, rule_ensemble, rule_lists, sql, stats, substrings, winnowing
+from tickloom.llm import external_shuffle, license_digests, loss_difference, lsh_forest, mixing, personal_data, rule_ensemble, rule_lists, sql, stats, substrings, winnowing
 from tickloom.llm.store import read
 
 
@@ -12,11 +12,23 @@ def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_copies(read(spark, sf_dir, "documents"))
 
 
+def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digests.scan(read(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_table(read(spark, sf_dir, "documents"))
+
+
 def op4_rule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rule_lists.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", *stats.COUNTS[:5], "base_failed", "kept")
 
 
+def op5_loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loss_difference.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.leak_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -38,5 +50,7 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lsh_forest, op4_rule_lists, op6_winnowing, op7_rule_ensemble, op8_external_shuffle, op9_substrings, op10_systematic_mixing)}
-ORACLES = dict(sql.ORACLES)
+QUERIES = {f.__name__: f for f in (
+    op1_lsh_forest, op2_license_digests, op3_personal_data, op4_rule_lists, op5_loss_difference, op6_winnowing,
+    op7_rule_ensemble, op8_external_shuffle, op9_substrings, op10_systematic_mixing)}
+ORACLES = {"op2_license_digests": license_digests.oracle(), **sql.ORACLES}
