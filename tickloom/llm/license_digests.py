@@ -78,7 +78,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _sql_canonical(column: str) -> str:
-    out = f"regexp_replace({column}, '{COPYRIGHT.replace('(?im)', '')}', '', 'gin')"
+    out = f"regexp_replace({column}, '{COPYRIGHT}', '', 'g')"
     out = f"' ' || lower(trim(regexp_replace({out}, '[^A-Za-z0-9]+', ' ', 'g'))) || ' '"
     for a, b in SAME:
         out = f"replace({out}, ' {a} ', ' {b} ')"
