@@ -26,8 +26,6 @@ from tickloom.operators.calendar import attach_history, calendar
 from tickloom.operators.state import KEYS, tag_feeds
 from tickloom.session import ship_package
 
-MAX_FRAME_ROWS = 5_000_000  # rows of one stock-day that a frame function may receive
-
 
 @dataclass(frozen=True)
 class DataNeeds:
@@ -276,14 +274,6 @@ def result_rows(value: object, code: str, end_times: Iterable[str]) -> list[dict
     return [{"code": code, "end_time": ends[0], **value}]
 
 
-def check_group_size(df: DataFrame, keys: list[str], limit: int = MAX_FRAME_ROWS) -> None:
-    """Refuse a frame job whose largest group would not fit a task; drops nothing."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > limit:
-        raise ValueError(
-            f"a group of {largest} rows exceeds {limit}; write this factor as a Fold or as expressions")
-
-
 def _emit_rows(groups: Iterator[list[dict]], columns: list[str], chunk: int = 5_000) -> Frames:
     """Result rows as frames of a few thousand rows."""
     pending: list[dict] = []
@@ -301,15 +291,13 @@ def _result_schema(result: str) -> tuple[str, list[str]]:
             ["trade_date", "code", "end_time", *_names(result)])
 
 
-def frame_factors(tagged: DataFrame, fn: Callable, result: str, end_times: Iterable[str] = ("",),
-                  limit: int = MAX_FRAME_ROWS) -> DataFrame:
+def frame_factors(tagged: DataFrame, fn: Callable, result: str, end_times: Iterable[str] = ("",)) -> DataFrame:
     """``fn(data, code, date, end_time)`` per stock, day and slice.
 
     Frames are cut at the slice end before the call. ``result`` declares the
     factor columns; undeclared keys are dropped and missing ones are null.
     """
     ship_package(tagged.sparkSession)
-    check_group_size(tagged, KEYS, limit)
     ends = tuple(end_times)
     schema, columns = _result_schema(result)
 
@@ -325,38 +313,48 @@ def frame_factors(tagged: DataFrame, fn: Callable, result: str, end_times: Itera
 
 
 def batch_factors(tagged: DataFrame, fn: Callable, result: str, batches: int, end_times: Iterable[str] = ("",),
-                  limit: int = MAX_FRAME_ROWS) -> DataFrame:
-    """``fn({code: data}, codes, date, end_times)`` per day and group of codes."""
+                  codes_per_call: int = 100) -> DataFrame:
+    """``fn({code: data}, codes, date, end_times)`` per day and group of codes.
+
+    A task walks its rows stock by stock and calls the function after ``codes_per_call`` stocks, so
+    memory follows that number and not the market; no group is refused for its size.
+    """
     keyed = tagged.withColumn("_batch", F.pmod(F.xxhash64("code"), F.lit(batches)))
     ship_package(tagged.sparkSession)
-    check_group_size(keyed, ["trade_date", "_batch"], limit)
     ends = tuple(end_times)
     schema, columns = _result_schema(result)
 
     def run(parts: Frames) -> Frames:
         def groups() -> Iterator[list[dict]]:
-            for (day, _), rows in _runs(parts, ["trade_date", "_batch"]):
-                data = {code: StockData(code, part) for (code,), part in _runs([rows], ["code"])}
-                value = fn(data, sorted(data), day, list(ends))
-                yield [{**r, "trade_date": day} for r in result_rows(value, "", ends)]
+            held, data = None, {}
+
+            def call() -> list[dict]:
+                value = fn(data, sorted(data), held[0], list(ends))
+                return [{**r, "trade_date": held[0]} for r in result_rows(value, "", ends)]
+
+            for (day, batch, code), rows in _runs(parts, ["trade_date", "_batch", "code"]):
+                if data and (held != (day, batch) or len(data) >= codes_per_call):
+                    yield call()
+                    data = {}
+                held, data[code] = (day, batch), StockData(code, rows)
+            if data:
+                yield call()
         return _emit_rows(groups(), columns)
 
     return _together(keyed, ["trade_date", "_batch"], ["code", "seq_num"]).mapInPandas(run, schema)
 
 
-def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: str, batches: int = 16,
-                      limit: int = MAX_FRAME_ROWS) -> DataFrame:
+def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: str, batches: int = 16) -> DataFrame:
     """``fn(code, date, left_frame, right_frame)`` for two inputs of different shape.
 
-    Stocks of a day are cogrouped ``batches`` at a time and split in the task:
-    handing Python one small group per stock would cost more than the work.
+    Stocks of a day are cogrouped in ``batches`` groups and split in the task: handing Python one
+    small group per stock would cost more than the work. Raise ``batches`` with the market's size;
+    up to one group per stock, no group is refused.
     """
     ship_package(left.sparkSession)
     keys = ["trade_date", "_batch"]
     spread = F.pmod(F.xxhash64("code"), F.lit(batches))
     sides = [df.withColumn("_batch", spread) for df in (left, right)]
-    for side in sides:
-        check_group_size(side, keys, limit)
     schema, columns = _result_schema(result)
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions import times
-from tickloom.operators import factors as fac
 from tickloom.operators import reconcile as rec
 from tickloom.operators import state as st
 from tickloom.plans import views
@@ -19,10 +18,21 @@ def events(spark, sf):
     return live.file_stream(spark, sf, table(spark, sf, "events").schema, glob="events.parquet")
 
 
-def stream_view(spark, sf, name):
+def event_batches(spark, sf, parts=3):
+    """The event table cut by time into files that arrive one after the other, one file a batch."""
+    whole = table(spark, sf, "events")
+    path, _ = live.stream_scratch(spark, "arrivals")
+    lo, hi = whole.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - lo) * parts / max(hi - lo, 1)), F.lit(parts - 1))
+    for i in range(parts):
+        whole.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+    return live.file_stream(spark, path, whole.schema, files_per_trigger=1)
+
+
+def stream_view(spark, sf, name, source=events):
     """A stand-in view over the stream."""
     body = views.VIEWS[name].replace("FROM events", "FROM {events}")
-    return spark.sql(body, events=events(spark, sf))
+    return spark.sql(body, events=source(spark, sf))
 
 
 @query("s13_incremental_source", "v_tick", "SELECT code, seq_num, latency_ms FROM v_tick")
@@ -46,7 +56,7 @@ def st1(spark, sf):
 
 def _stream_state(spark, sf):
     out, checkpoint = live.stream_scratch(spark, "state")
-    state = live.state_stream(stream_view(spark, sf, "v_tick"))
+    state = live.state_stream(stream_view(spark, sf, "v_tick", event_batches))
     live.run_available(state, "update", checkpoint, batch=live.changelog_sink(out))
     return live.latest_from_changelog(spark, out, ["trade_date", "code"], state.schema)
 
@@ -65,19 +75,18 @@ def st2(spark, sf):
 @query("st3_changed_stocks", "v_tick", "SELECT DISTINCT code FROM v_tick")
 def st3(spark, sf):
     out, checkpoint = live.stream_scratch(spark, "dirty")
-    changed = live.state_stream(stream_view(spark, sf, "v_tick")).select("trade_date", "code")
+    changed = live.state_stream(stream_view(spark, sf, "v_tick", event_batches)).select("trade_date", "code")
     live.run_available(changed, "update", checkpoint, batch=live.changelog_sink(out))
     return spark.read.parquet(out).select("code").distinct()
 
 
 @query("st4_stream_bars", "v_tick", """
-SELECT code, epoch_us(time_bucket(INTERVAL 30 MINUTE, time)) AS time, arg_min(current_price, seq_num)::DOUBLE AS open, arg_max(current_price, seq_num)::DOUBLE AS close, count(*) AS ticks FROM v_tick
-WHERE time_bucket(INTERVAL 30 MINUTE, time) + INTERVAL 30 MINUTE <= (SELECT max(time) - INTERVAL 1 HOUR FROM v_tick) GROUP BY code, time_bucket(INTERVAL 30 MINUTE, time)""")
+SELECT code, epoch_us(time_bucket(INTERVAL 30 MINUTE, time)) AS time, arg_min(current_price, seq_num)::DOUBLE AS open, arg_max(current_price, seq_num)::DOUBLE AS close, count(*) AS ticks FROM v_tick GROUP BY code, time_bucket(INTERVAL 30 MINUTE, time)""")
 def st4(spark, sf):
     out, checkpoint = live.stream_scratch(spark, "bars")
     bars = live.bar_stream(stream_view(spark, sf, "v_tick"), "30 minutes", "1 hour")
-    live.run_available(bars, "append", checkpoint, path=out)
-    rows = spark.read.schema(bars.schema).parquet(out)
+    live.run_available(bars, "update", checkpoint, batch=live.changelog_sink(out))
+    rows = live.latest_from_changelog(spark, out, ["code", "time"], bars.schema)
     return rows.select("code", times.epoch_micros(F.col("time")).alias("time"), F.col("open").cast("double").alias("open"),
                        F.col("close").cast("double").alias("close"), "ticks")
 
@@ -107,13 +116,12 @@ _LATENCY = """
 SELECT epoch_us(date_trunc('minute', time)) AS minute, event_type AS kind, count(*) AS n, min(latency_ms) AS min_ms, sum(latency_ms)::BIGINT AS sum_ms, max(latency_ms) AS max_ms FROM v_tick WHERE latency_ms BETWEEN 0 AND 600"""
 
 
-@query("st7_push_latency", "v_tick", _LATENCY + """
-  AND date_trunc('minute', time) + INTERVAL 1 MINUTE <= (SELECT max(time) - INTERVAL 5 MINUTE FROM v_tick WHERE latency_ms <= 600) GROUP BY 1, 2""")
+@query("st7_push_latency", "v_tick", _LATENCY + " GROUP BY 1, 2")
 def st7(spark, sf):
     out, checkpoint = live.stream_scratch(spark, "latency")
     stats = live.latency_stream(stream_view(spark, sf, "v_tick"), "event_type", "latency_ms", limit_ms=600)
-    live.run_available(stats, "append", checkpoint, path=out)
-    return spark.read.schema(stats.schema).parquet(out).withColumn("minute", times.epoch_micros(F.col("minute")))
+    live.run_available(stats, "update", checkpoint, batch=live.changelog_sink(out))
+    return live.latest_from_changelog(spark, out, ["minute", "kind"], stats.schema).withColumn("minute", times.epoch_micros(F.col("minute")))
 
 
 @query("st7_push_latency_batch", "v_tick", _LATENCY.replace("sum(latency_ms)::BIGINT AS sum_ms", "sum(latency_ms) / count(*) AS avg_ms") + " GROUP BY 1, 2")
@@ -127,7 +135,9 @@ def st7_batch(spark, sf):
 SELECT channel, count(*) AS messages, min(seq_num) AS first_seq, max(seq_num) AS last_seq, max(seq_num) - min(seq_num) + 1 - count(*) AS missing FROM v_order GROUP BY 1""")
 def st8(spark, sf):
     out, checkpoint = live.stream_scratch(spark, "gaps")
-    gaps = live.gap_stream(stream_view(spark, sf, "v_order"), ["channel"])
+    feed = stream_view(spark, sf, "v_order", event_batches)
+    replayed = feed.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    gaps = live.gap_stream(replayed, ["channel"])
     live.run_available(gaps, "update", checkpoint, batch=live.changelog_sink(out))
     return live.latest_from_changelog(spark, out, ["channel"], gaps.schema)
 
@@ -146,9 +156,10 @@ def st9(spark, sf):
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, max(bid_price1) - min(bid_price1) AS "F_range" FROM v_tick GROUP BY 1, 2""")
 def st10(spark, sf):
     out, checkpoint = live.stream_scratch(spark, "rounds")
-    compute = lambda rows: fac.expression_factors(rows, ["trade_date", "code"], {"F_range": F.max("bid_price1") - F.min("bid_price1")})
-    live.run_available(stream_view(spark, sf, "v_tick"), "append", checkpoint, batch=live.round_sink(compute, out))
-    return spark.read.schema("trade_date DATE, code STRING, F_range DOUBLE, round BIGINT").parquet(out).select(day(), "code", "F_range")
+    state = live.keyed_stream(stream_view(spark, sf, "v_tick", event_batches), [F.max("bid_price1").alias("hi"), F.min("bid_price1").alias("lo")])
+    compute = lambda rows: rows.select("trade_date", "code", (F.col("hi") - F.col("lo")).alias("F_range"))
+    live.run_available(state, "update", checkpoint, batch=live.round_sink(compute, out))
+    return live.latest_round(spark, out, ["trade_date", "code"], compute(state).schema).select(day(), "code", "F_range")
 
 
 @query("st11_chunks_to_archive", "v_order", """

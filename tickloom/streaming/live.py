@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,20 +83,23 @@ def append_chunks(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return run_available(stream, "append", checkpoint, path=path)
 
 
-def state_stream(tick: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Per-stock tick state by day. In update mode a batch emits only stocks it changed.
-
-    The day is an event-time window, so finished days leave the state store.
+def keyed_stream(feed: DataFrame, aggregates: list[Column], delay: str = "1 day") -> DataFrame:
+    """Running aggregates per stock and day. In update mode a batch emits the full state of just the
+    stocks it changed. The day is an event-time window, so finished days leave the state store.
     """
     day = F.window("time", "1 day").alias("_day")
-    out = with_watermark(tick, delay).groupBy(day, "code").agg(*tick_aggregates())
-    return out.withColumns({
-        "trade_date": F.to_date(wall_clock(F.col("_day.start"))), "last_tick_time": wall_clock(F.col("last_tick_time")),
-    }).drop("_day")
+    out = with_watermark(feed, delay).groupBy(day, "code").agg(*aggregates)
+    return out.withColumn("trade_date", F.to_date(wall_clock(F.col("_day.start")))).drop("_day")
+
+
+def state_stream(tick: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Per-stock tick state by day."""
+    return keyed_stream(tick, list(tick_aggregates()), delay).withColumn("last_tick_time", wall_clock(F.col("last_tick_time")))
 
 
 def bar_stream(tick: DataFrame, every: str = "1 minute", delay: str = "5 minutes") -> DataFrame:
-    """Tumbling bars; append mode emits a bar when the watermark has passed its end."""
+    """Tumbling bars. Append mode emits a bar once the watermark has passed its end; update mode with a
+    changelog also has the bars still open, so none is missing at the end of the data."""
     span = F.window("time", every).alias("_bin")
     return with_watermark(tick, delay).groupBy("code", span).agg(
         F.min_by("current_price", "seq_num").alias("open"), F.max("current_price").alias("high"),
@@ -120,14 +122,16 @@ def latency_stream(feed: DataFrame, kind: str, latency: str, delay: str = "5 min
     ).select(wall_clock(F.col("_m.start")).alias("minute"), "kind", "n", "min_ms", "sum_ms", "max_ms")
 
 
-def gap_stream(feed: DataFrame, keys: list[str], seq: str = "seq_num") -> DataFrame:
+def gap_stream(feed: DataFrame, keys: list[str], seq: str = "seq_num", delay: str | None = None) -> DataFrame:
     """Missing sequence numbers per channel so far: span less distinct count.
 
-    Holds three numbers per channel whatever the arrival order, and combines
-    before the shuffle, so one busy channel does not bind to one task. Feed it
-    a deduplicated stream.
+    Replays are taken out first by (channel, number), so they never lower ``missing``; with ``delay``
+    a number is remembered that long in event time, without it for good. The counts hold three
+    numbers per channel and combine before the shuffle, so one busy channel does not bind to one task.
     """
-    return feed.groupBy(*keys).agg(
+    numbers = [*keys, seq]
+    once = feed.dropDuplicates(numbers) if delay is None else with_watermark(feed, delay).dropDuplicatesWithinWatermark(numbers)
+    return once.groupBy(*keys).agg(
         F.count("*").alias("messages"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"),
     ).withColumn("missing", F.col("last_seq") - F.col("first_seq") + 1 - F.col("messages"))
 
@@ -163,10 +167,10 @@ def snapshot_sink(spark: SparkSession, path: str, keys: list[str], by: str) -> C
 
 def _finished_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
     """Newest finished version number, optionally below ``before``."""
-    try:
-        done = spark.read.schema("version LONG").parquet(f"{path}/finished")
-    except AnalysisException:  # nothing written yet
-        return None
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/finished")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None  # nothing written yet; a folder that cannot be read is an error
+    done = spark.read.schema("version LONG").parquet(f"{path}/finished")
     if before is not None:
         done = done.where(F.col("version") < before)
     return done.agg(F.max("version")).first()[0]
@@ -181,17 +185,25 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_sink(compute: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """Per round: factors of the changed keys, written under the round number."""
+    """Per round: factors from the full state of the changed keys (an update-mode stream), under the
+    round number. ``latest_round`` reads the newest value of every key."""
     def write(rows: DataFrame, batch_id: int) -> None:
         compute(rows).write.mode("overwrite").parquet(f"{path}/round={batch_id}")
     return write
 
 
+def latest_round(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> DataFrame:
+    """Newest round of every key."""
+    rounds = spark.read.schema(T.StructType(schema.fields + [T.StructField("round", T.LongType())])).parquet(path)
+    return latest_per_key(rounds, keys, "round", [f.name for f in schema.fields if f.name not in keys]).drop("round")
+
+
 def compact_chunks(spark: SparkSession, chunks: str, archive_root: str, kind: str) -> DataFrame:
-    """Day-end step: chunks -> deduplicated sorted archive, then the time check row."""
+    """Day-end step: chunks -> deduplicated sorted archive, then the time check row over the chunks' days."""
     rows = spark.read.parquet(chunks)
     write_archive(rows, archive_root, kind)
     written = spark.read.parquet(f"{archive_root.rstrip('/')}/{kind}")
+    written = written.join(rows.select("trade_date").distinct(), "trade_date", "left_semi")
     return archive_check(rows, written, ["trade_date", "code", "seq_num"])
 
 
