@@ -22,14 +22,37 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import tokens
 from tickloom.llm.bitmaps import bitmap, holds
+from tickloom.llm.store import written
 from tickloom.session import ship_package
 
 WORD_SHARE, PAIR_SHARE = 1e-5, 1e-6
 PRIOR = 100.0
 
 
-def _counted(keys: list[np.ndarray], target: bool) -> pa.RecordBatch:
-    k, n = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+#: Distinct keys that a task holds before it adds them up.
+HELD = 400_000
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k, n = k[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[new], np.add.reduceat(n, new)
+
+
+def _counted(groups, target: bool) -> pa.RecordBatch:
+    """Counts of the keys of all groups; each group is counted by itself and then added."""
+    keys, counts, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    for group in groups:
+        k, n = np.unique(group, return_counts=True)
+        keys.append(k)
+        counts.append(n)
+        held += len(k)
+        if held > HELD:
+            k, n = _added(keys, counts)
+            keys, counts, held = [k], [n], 0
+    k, n = _added(keys, counts) if sum(map(len, keys)) else (keys[0], counts[0])
     zero = np.zeros(len(k), np.int64)
     return pa.record_batch({"k": pa.array(k), "t": pa.array(n if target else zero), "b": pa.array(zero if target else n)})
 
@@ -39,7 +62,7 @@ def _sums(target: DataFrame, every: DataFrame, keys_of) -> DataFrame:
     def side(is_target: bool):
         def run(batches):
             for batch in batches:
-                yield _counted([keys_of(h, bounds) for _, h, bounds in tokens.word_groups(batch.column("text").to_pylist(), lower=True)], is_target)
+                yield _counted((keys_of(h, bounds) for _, h, bounds in tokens.word_groups(batch.column("text").to_pylist(), lower=True)), is_target)
         return run
 
     schema = "k bigint, t bigint, b bigint"
@@ -100,10 +123,9 @@ class Model:
 
 
 def fit(docs: DataFrame, target: DataFrame) -> Model:
-    words = _sums(target, docs, _word_keys).persist()
+    words = written(_sums(target, docs, _word_keys), "loss-words")
     totals = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     kept = words.filter(F.col("b") >= F.lit(WORD_SHARE * totals[1])).toArrow()  # 1 / WORD_SHARE rows at most
-    words.unpersist()
     model = Model(tuple(kept.column(c).to_numpy() for c in ("k", "t", "b")), (totals[0], totals[1]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     pairs = _sums(target, docs, lambda h, bounds: shared.value.pair_keys(h, bounds))
