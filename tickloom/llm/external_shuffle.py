@@ -19,6 +19,8 @@ from tickloom.llm.store import written
 
 SEED = 20_240_601
 BUCKET_BYTES = 32 << 20
+#: Buckets of three figures a row; small, so that they spread over all cores.
+FIGURE_BUCKET_BYTES = 1 << 20
 
 
 def byte_size(text: Column) -> Column:
@@ -63,7 +65,7 @@ def _by_bucket():
     return Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def shard_table(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard_table(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: int = FIGURE_BUCKET_BYTES) -> DataFrame:
     """Shard, slot, size and checksum of every document. Only the three figures travel, 64 bytes a row."""
     figures = docs.select("doc_id", byte_size(F.col("text")).alias("size"), text_crc(F.col("text")).alias("text_crc32"))
     out = shuffled(figures, shards, seed, bucket_bytes, bytes_per_row=64)
