@@ -20,7 +20,7 @@ from tickloom.llm.store import written
 SEED = 20_240_601
 BUCKET_BYTES = 32 << 20
 #: Buckets of three figures a row; small, so that they spread over all cores.
-FIGURE_BUCKET_BYTES = 1 << 20
+FIGURE_BUCKET_BYTES = 1 << 18
 
 
 def byte_size(text: Column) -> Column:
