@@ -23,7 +23,8 @@ HEADLINE = [
     "j5_asof_free_shares", "j12_history_attach", "p3_merged_split", "p6_tick_normalise", "p15_archive_encode",
     "p16_archive_decode", "p17_clock_repair", "w2_momentum", "w4_tail_weights", "u3_row_backfill", "u4_column_backfill",
     "o1_positions_to_orders", "a13_active_exposures", "q8_snapshot_selection", "q3_archive_check", "a18_factor_diff",
-    "r3_store_diff", "a21_sequence_stats", "s16_archive_sink", "ud1_fold_factors", "ud8_linear_score", "st2_stream_state",
+    "r3_store_diff", "a21_sequence_stats", "s16_archive_sink", "ud1_fold_factors", "ud8_linear_score", "st2_stream_state", "ud1_frame_factors", "ud2_batch_factors",
+    "f3_special_treatment", "ud11_inference_inputs", "st10_round_factors",
 ]
 
 

@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tickloom.plans import catalog
 from tools import check
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 # Stand-in data too small to hold a case at this scale.
 MAY_BE_EMPTY = {"q10_style_breaches", "o1_limit_up_report"}
 
@@ -23,6 +24,7 @@ def con():
 
 def test_catalog_needs_no_session():
     assert QUERIES and set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
