@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,11 +46,9 @@ def settled_calendar(df: DataFrame, day: str = DAY) -> DataFrame:
     return settle(calendar(df, day))
 
 
-def weekday_calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """Fallback when no panel exists: every Monday to Friday in the range."""
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias(DAY)
-    )
+def weekday_calendar(span: DataFrame) -> DataFrame:
+    """Fallback when no panel exists: every Monday to Friday of ``span``, one row of ``lo`` and ``hi``."""
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias(DAY))
     return days.where(~F.dayofweek(DAY).isin(1, 7))
 
 
@@ -166,6 +164,7 @@ def previous_day_values(df: DataFrame, days: DataFrame, keys: list[str], columns
 def latest_before(frame: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked ``as_of`` day: the rows of the newest earlier day."""
     known = calendar(frame).select(DAY)
+    asked = trading_days(asked, "as_of").withColumnRenamed(DAY, "as_of")
     # Both sides hold one row per day; the union is sorted by day once.
     both = known.select(F.col(DAY).alias("day"), F.col(DAY).alias("known"), F.lit(1).alias("kind")).unionByName(
         asked.select(F.col("as_of").alias("day"), F.lit(None).cast("date").alias("known"), F.lit(0).alias("kind"))

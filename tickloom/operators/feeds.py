@@ -53,8 +53,11 @@ def _equities(df: DataFrame, market: str) -> DataFrame:
     )
 
 
-def split_merged_sh(df: DataFrame, trade_date: Column) -> tuple[DataFrame, DataFrame]:
-    """Merged Shanghai stream -> (orders, deals), split by message type A / D / T."""
+def merged_sh(df: DataFrame, trade_date: Column) -> DataFrame:
+    """Merged Shanghai stream in one projection: ``kind`` is order (types A, D) or deal (T).
+
+    Both kinds come from one scan; a writer partitioned by ``kind`` separates them.
+    """
     base = _equities(df, SH).where(~is_status_row(F.coalesce("TickBSFlag", F.lit("")))).select(
         trade_date.alias("trade_date"), "code",
         _when_clock(df, "TickTime", trade_date).alias("time"),
@@ -67,74 +70,88 @@ def split_merged_sh(df: DataFrame, trade_date: Column) -> tuple[DataFrame, DataF
         F.trim("Type").alias("_type"),
         (_or_zero("TradeMoney") if "TradeMoney" in df.columns else F.lit(0.0)).alias("_money"),
     )
-    orders = base.where(F.col("_type").isin("A", "D")).withColumn(
-        "order_id", F.col("buy_order_id") + F.col("sale_order_id")
-    ).withColumn("order_type", F.when(F.col("_type") == "A", S.ORDER_ADD).otherwise(S.ORDER_CANCEL))
+    deal = F.col("_type") == "T"
     # A stated amount wins; otherwise the amount is price times volume.
     money = F.when(F.col("_money") != 0, F.col("_money")).otherwise(F.col("price") * F.col("volume"))
-    deals = base.where(F.col("_type") == "T").withColumn("money", money)
-    return S.conform(orders, "order"), S.conform(deals, "deal")
+    return base.where(F.col("_type").isin("A", "D", "T")).withColumns({
+        "kind": F.when(deal, "deal").otherwise("order"),
+        "order_id": F.when(~deal, F.col("buy_order_id") + F.col("sale_order_id")),
+        "order_type": F.when(F.col("_type") == "A", S.ORDER_ADD).when(F.col("_type") == "D", S.ORDER_CANCEL),
+        "money": F.when(deal, money),
+    }).drop("_type", "_money")
 
 
-def orders_sh(df: DataFrame, trade_date: Column) -> DataFrame:
-    kinds = F.when(F.col("OrderType") == "A", S.ORDER_ADD).when(F.col("OrderType") == "D", S.ORDER_CANCEL)
-    sides = F.when(F.col("OrderBSFlag") == "B", S.SIDE_BUY).when(F.col("OrderBSFlag") == "S", S.SIDE_SELL)
-    out = _equities(df, SH).select(
-        trade_date.alias("trade_date"), "code",
-        _when_clock(df, "OrderTime", trade_date).alias("time"),
-        _when_clock(df, "LocalTime", trade_date).alias("update_time"),
-        F.col("OrderNO").alias("order_id"), sides.alias("side"),
-        F.col("OrderPrice").alias("price"), F.col("Balance").alias("volume"),
-        kinds.alias("order_type"), F.col("OrderChannel").alias("channel"), F.col("BizIndex").alias("seq_num"),
+def split_merged_sh(df: DataFrame, trade_date: Column) -> tuple[DataFrame, DataFrame]:
+    """Merged Shanghai stream -> (orders, deals) as two frames, each with its own scan."""
+    both = merged_sh(df, trade_date)
+    return S.conform(both.where("kind = 'order'"), "order"), S.conform(both.where("kind = 'deal'"), "deal")
+
+
+def _normalised(df: DataFrame, kind: str, market: str, columns: dict[str, Column]) -> DataFrame:
+    return S.conform(_equities(df, market).select("code", *[c.alias(n) for n, c in columns.items()]), kind)
+
+
+def _orders_sh(df: DataFrame, trade_date: Column) -> dict[str, Column]:
+    return {
+        "trade_date": trade_date, "time": _when_clock(df, "OrderTime", trade_date),
+        "update_time": _when_clock(df, "LocalTime", trade_date), "order_id": F.col("OrderNO"),
+        "side": F.when(F.col("OrderBSFlag") == "B", S.SIDE_BUY).when(F.col("OrderBSFlag") == "S", S.SIDE_SELL),
+        "price": F.col("OrderPrice"), "volume": F.col("Balance"),
+        "order_type": F.when(F.col("OrderType") == "A", S.ORDER_ADD).when(F.col("OrderType") == "D", S.ORDER_CANCEL),
+        "channel": F.col("OrderChannel"), "seq_num": F.col("BizIndex"),
+    }
+
+
+def _orders_sz(df: DataFrame, trade_date: Column) -> dict[str, Column]:
+    return {
+        "trade_date": trade_date, "time": _when_clock(df, "TransactTime", trade_date),
+        "update_time": _when_clock(df, "LocalTime", trade_date), "order_id": _or_zero("ApplSeqNum", "long"),
+        "side": ascii_side(F.col("Side")), "price": _or_zero("Price"), "volume": _or_zero("OrderQty"),
+        "order_type": ascii_order_type(F.col("OrdType")), "channel": _or_zero("ChannelNo", "long"),
+        "seq_num": _or_zero("ApplSeqNum", "long"),
+    }
+
+
+def _deals_sh(df: DataFrame, trade_date: Column) -> dict[str, Column]:
+    return {
+        "trade_date": trade_date, "time": _when_clock(df, "TradTime", trade_date),
+        "update_time": _when_clock(df, "LocalTime", trade_date), "sale_order_id": F.col("TradeSellNo"),
+        "buy_order_id": F.col("TradeBuyNo"), "side": letter_side(F.col("TradeBSFlag")), "price": F.col("TradPrice"),
+        "volume": F.col("TradVolume"), "money": F.col("TradeMoney"), "channel": F.col("TradeChan"),
+        "seq_num": F.col("BizIndex"),
+    }
+
+
+def _deals_sz(df: DataFrame, trade_date: Column) -> dict[str, Column]:
+    inferred = (
+        F.when(F.col("ExecType") == 52, S.SIDE_SPECIAL)
+        .when(F.col("BidApplSeqNum") > F.col("OfferApplSeqNum"), S.SIDE_BUY)
+        .otherwise(S.SIDE_SELL)
     )
-    return S.conform(out, "order")
+    return {
+        "trade_date": trade_date, "time": _when_clock(df, "TransactTime", trade_date),
+        "update_time": _when_clock(df, "LocalTime", trade_date), "sale_order_id": F.col("OfferApplSeqNum"),
+        "buy_order_id": F.col("BidApplSeqNum"), "side": inferred, "price": F.col("LastPx"), "volume": F.col("LastQty"),
+        "money": F.col("LastPx") * F.col("LastQty"), "channel": F.col("ChannelNo"), "seq_num": F.col("ApplSeqNum"),
+    }
+
+
+def orders_sh(df: DataFrame, trade_date: Column) -> DataFrame:
+    return _normalised(df, "order", SH, _orders_sh(df, trade_date))
 
 
 def orders_sz(df: DataFrame, trade_date: Column) -> DataFrame:
     """Shenzhen orders: ASCII side and type codes; the sequence is the order number."""
-    out = _equities(df, SZ).select(
-        trade_date.alias("trade_date"), "code",
-        _when_clock(df, "TransactTime", trade_date).alias("time"),
-        _when_clock(df, "LocalTime", trade_date).alias("update_time"),
-        _or_zero("ApplSeqNum", "long").alias("order_id"), ascii_side(F.col("Side")).alias("side"),
-        _or_zero("Price").alias("price"), _or_zero("OrderQty").alias("volume"),
-        ascii_order_type(F.col("OrdType")).alias("order_type"),
-        _or_zero("ChannelNo", "long").alias("channel"), _or_zero("ApplSeqNum", "long").alias("seq_num"),
-    )
-    return S.conform(out, "order")
+    return _normalised(df, "order", SZ, _orders_sz(df, trade_date))
 
 
 def deals_sh(df: DataFrame, trade_date: Column) -> DataFrame:
-    out = _equities(df, SH).select(
-        trade_date.alias("trade_date"), "code",
-        _when_clock(df, "TradTime", trade_date).alias("time"),
-        _when_clock(df, "LocalTime", trade_date).alias("update_time"),
-        F.col("TradeSellNo").alias("sale_order_id"), F.col("TradeBuyNo").alias("buy_order_id"),
-        letter_side(F.col("TradeBSFlag")).alias("side"),
-        F.col("TradPrice").alias("price"), F.col("TradVolume").alias("volume"),
-        F.col("TradeMoney").alias("money"), F.col("TradeChan").alias("channel"),
-        F.col("BizIndex").alias("seq_num"),
-    )
-    return S.conform(out, "deal")
+    return _normalised(df, "deal", SH, _deals_sh(df, trade_date))
 
 
 def deals_sz(df: DataFrame, trade_date: Column) -> DataFrame:
     """Shenzhen deals: the later order took liquidity, so its side names the deal."""
-    inferred = (
-        F.when(F.col("ExecType") == 52, S.SIDE_SPECIAL)
-        .when(F.col("BidApplSeqNum") > F.col("OfferApplSeqNum"), S.SIDE_BUY)
-        .otherwise(S.SIDE_SELL)
-    )
-    out = _equities(df, SZ).select(
-        trade_date.alias("trade_date"), "code",
-        _when_clock(df, "TransactTime", trade_date).alias("time"),
-        _when_clock(df, "LocalTime", trade_date).alias("update_time"),
-        F.col("OfferApplSeqNum").alias("sale_order_id"), F.col("BidApplSeqNum").alias("buy_order_id"),
-        inferred.alias("side"), F.col("LastPx").alias("price"), F.col("LastQty").alias("volume"),
-        (F.col("LastPx") * F.col("LastQty")).alias("money"),
-        F.col("ChannelNo").alias("channel"), F.col("ApplSeqNum").alias("seq_num"),
-    )
-    return S.conform(out, "deal")
+    return _normalised(df, "deal", SZ, _deals_sz(df, trade_date))
 
 
 # Snapshot field -> vendor column, where the two differ.
@@ -163,35 +180,48 @@ def level_source(column: str, order_prefix: str = "NumOrders") -> str:
     return S.header_name(column)
 
 
-def ticks(df: DataFrame, trade_date: Column, market: str) -> DataFrame:
-    """Snapshot rows; absent or empty scalar and depth fields are zero."""
-    fields = _SH_TICK if market == SH else _SZ_TICK
-    have = set(df.columns)
+def _take(df: DataFrame, source: str, kind: str = "double") -> Column:
+    return _or_zero(source, kind) if source in df.columns else F.lit(0).cast(kind)
 
-    def take(name: str, source: str, kind: str = "double") -> Column:
-        return (_or_zero(source, kind) if source in have else F.lit(0).cast(kind)).alias(name)
 
+def _tick_levels(df: DataFrame) -> dict[str, Column]:
+    """Depth fields, named alike in both markets."""
+    return {n: _take(df, level_source(n)) for n in S.level_columns()}
+
+
+def _tick_scalars(df: DataFrame, trade_date: Column, market: str) -> dict[str, Column]:
+    fields = _SH_TICK if market == SH else _SZ_TICK
     stamp = _when_clock(df, "UpdateTime", trade_date)
-    local = _when_clock(df, "LocalTime", trade_date) if "LocalTime" in have else stamp
-    out = _equities(df, market).select(
-        trade_date.alias("trade_date"), "code", stamp.alias("time"), local.alias("update_time"),
-        *[take(n, fields.get(n, "")) for n in S.TICK_SCALARS],
-        *[take(n, level_source(n)) for n in S.level_columns()],
-        F.lit(0).alias("channel"),
-        take("seq_num", fields["seq_num"], "long"),
-    )
-    return S.conform(out, "tick")
+    return {
+        "trade_date": trade_date, "time": stamp,
+        "update_time": _when_clock(df, "LocalTime", trade_date) if "LocalTime" in df.columns else stamp,
+        **{n: _take(df, fields.get(n, "")) for n in S.TICK_SCALARS},
+        "channel": F.lit(0), "seq_num": _take(df, fields["seq_num"], "long"),
+    }
+
+
+def ticks(df: DataFrame, trade_date: Column, market: str) -> DataFrame:
+    """Snapshot rows; absent or empty scalar and depth fields are zero."""
+    return _normalised(df, "tick", market, _tick_scalars(df, trade_date, market) | _tick_levels(df))
 
 
 def route_by_market(df: DataFrame, trade_date: Column, kind: str) -> DataFrame:
-    """Rows of both markets through their own rules, market by code prefix."""
-    rules = {"order": (orders_sh, orders_sz), "deal": (deals_sh, deals_sz)}
-    sh_rows = codes.is_shanghai(codes.zfill(F.col("SecurityID")))
-    sh, sz = df.where(sh_rows), df.where(~sh_rows)
+    """Rows of both markets through their own rules, market by code prefix: one scan, one projection."""
+    raw = codes.zfill(F.col("SecurityID"))
+    in_sh = codes.is_shanghai(raw)
+    market = F.when(in_sh, F.lit(SH)).otherwise(F.lit(SZ))
     if kind == "tick":
-        return ticks(sh, trade_date, SH).unionByName(ticks(sz, trade_date, SZ))
-    to_sh, to_sz = rules[kind]
-    return to_sh(sh, trade_date).unionByName(to_sz(sz, trade_date))
+        sh, sz = (_tick_scalars(df, trade_date, m) for m in (SH, SZ))
+        shared = _tick_levels(df)
+    else:
+        sh, sz = (rule(df, trade_date) for rule in {"order": (_orders_sh, _orders_sz), "deal": (_deals_sh, _deals_sz)}[kind])
+        shared = {}
+    # Each side takes its feed type before the two meet, so neither market's spelling widens the other.
+    types = {f.name: f.dataType for f in S.FEEDS[kind].fields if f.name in sh}
+    routed = {n: F.when(in_sh, sh[n].cast(t)).otherwise(sz[n].cast(t)) for n, t in types.items()}
+    rows = df.where(codes.is_equity_feed_code(raw, market))
+    return S.conform(rows.select(
+        F.concat(raw, F.lit("."), market).alias("code"), *[c.alias(n) for n, c in (routed | shared).items()]), kind)
 
 
 def validate_feed(df: DataFrame, kind: str, keys=("channel", "seq_num")) -> DataFrame:

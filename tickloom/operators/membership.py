@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import codes, values
 from tickloom.operators.calendar import DAY, calendar, expand_over_days, one_per_day, ordinal_on_or_after, running_asof
-from tickloom.operators.keyed import attach_totals, share_within
+from tickloom.operators.keyed import share_within
 
 BENCHMARK_MEMBERS_MIN = 4800  # Fixed value: below this a broad benchmark is incomplete.
 STALE_PRICES_MIN = 50         # Fixed value: stale prices tolerated before the 1 % rule.
@@ -57,7 +58,9 @@ def free_shares_asof(log: DataFrame, days: DataFrame, security: DataFrame, tie:
     """For each day T: per security the newest share count dated up to the day before T.
 
     On the first day, which has no earlier one, entries up to the day itself count.
+    Parties without a row in ``security`` leave before anything is spread over days.
     """
+    log = log.join(security.select("party_id").distinct(), "party_id", "left_semi")
     prev = days.select(DAY, F.coalesce("prev_date", DAY).alias("_cut"), "ordinal")
     # Shares are looked up as of the previous trading day, so build the calendar
     # of cut days and read results back under the day that asks.
@@ -70,13 +73,17 @@ def free_shares_asof(log: DataFrame, days: DataFrame, security: DataFrame, tie:
 
 
 def index_weights(members: DataFrame, closes: DataFrame, shares: DataFrame,
-                  groups: list[str] = [DAY, "index_code"]) -> DataFrame:
-    """Free-float value over its total within each day and index; positive inputs only."""
+                  groups: list[str] = [DAY, "index_code", "index_exchange"]) -> DataFrame:
+    """Free-float value over its total within each day and index; positive inputs only.
+
+    An index is its code and exchange. A group holds the listed members of one index on one day,
+    some thousands at most, so one window serves and the joins are built once.
+    """
     joined = members.join(closes, [DAY, "security_id"]).join(
         shares.select(DAY, "security_id", "free_shares"), [DAY, "security_id"]
     ).where((F.col("close") > 0) & (F.col("free_shares") > 0))
-    return share_within(joined.withColumn("_value", F.col("free_shares") * F.col("close")),
-                        groups, "_value", spread_by=["security_id"]).drop("_value")
+    value = F.col("free_shares") * F.col("close")
+    return joined.withColumn("weight", F.try_divide(value, F.sum(value).over(W.partitionBy(*groups))))
 
 
 def membership_flags(composition: DataFrame, index_codes: list[str], keys: list[str]) -> DataFrame:
@@ -151,10 +158,3 @@ def map_codes(feed: DataFrame, security: DataFrame, code: str = "code") -> DataF
         F.col("id_qi").alias("_ticker"), F.col("exchange_cd").alias("_exchange"), "security_id")
     return keyed.join(names, ["_ticker", "_exchange"]).drop("_ticker", "_exchange")
 
-
-def composition_frame(weights: DataFrame, index_codes: list[str], security: DataFrame) -> DataFrame:
-    """Per day and stock: membership flags and weights of the listed indexes, with the security number."""
-    keys = [DAY, "id_qi"]
-    flags = membership_flags(weights, index_codes, keys)
-    wide = weight_columns(weights, index_codes, keys)
-    return flags.join(wide, keys, "left").join(security.select("id_qi", "security_id"), "id_qi", "left")

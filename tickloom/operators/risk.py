@@ -90,11 +90,14 @@ def _median_of(values_: Column, size: int) -> Column:
 
 
 def day_quality(panel: DataFrame, bench: DataFrame, code: str, required: list[str], legacy: list[str],
-                one_hot: list[str], stale_days: DataFrame | None = None) -> DataFrame:
+                one_hot: list[str], stale_days: DataFrame | None = None,
+                bench_verdict: DataFrame | None = None) -> DataFrame:
     """Per day: counts and the reasons that disqualify it as a risk snapshot.
 
     ``bench`` holds the dated benchmark members (day, code). Panel rows are
     reduced per (day, code) first, which finds duplicates without a distinct.
+    ``bench_verdict`` (day, valid) is the outcome of the benchmark checks; a day
+    without one does not qualify.
     """
     c = F.col
     binary = values.all_of([F.coalesce(c(n).isin(0.0, 1.0), F.lit(False)) for n in one_hot])
@@ -124,6 +127,9 @@ def day_quality(panel: DataFrame, bench: DataFrame, code: str, required: list[st
     good = (
         (c("stocks") > 0) & (c("members") > 0) & (c("duplicates") == 0) & (c("legacy") == 0)
         & (c("incomplete") == 0) & (c("not_one_hot") == 0) & (c("stale") == 0))
+    if bench_verdict is not None:
+        out = out.join(bench_verdict.select(DAY, c("valid").alias("_valid")), DAY, "left")
+        return out.withColumn("qualifies", good & F.coalesce("_valid", F.lit(False))).drop("_valid")
     return out.withColumn("qualifies", good)
 
 
@@ -135,14 +141,17 @@ def snapshot_candidates(quality: DataFrame, held_ok: DataFrame | None = None, lo
     the candidate only.
     """
     good = lambda name: F.when(F.col("qualifies"), F.col(name))
-    # One row per trading day. collect_list skips nulls, so the running list
-    # holds qualifying days only; its tail is the baseline.
+    # One row per trading day. Days are numbered by the qualifying days before them, which gives
+    # every qualifying day its own number; the last ``lookback`` of them are a range of numbers.
+    # collect_list skips the nulls of the other days.
     before = W.orderBy(DAY).rowsBetween(W.unboundedPreceding, -1)
-    tail = lambda name: F.slice(F.reverse(F.collect_list(good(name)).over(before)), 1, lookback)
-    out = quality.withColumns({
+    numbered = quality.withColumn("_number", F.coalesce(F.count_if("qualifies").over(before), F.lit(0)))
+    last = W.orderBy("_number").rangeBetween(-lookback, -1)
+    tail = lambda name: F.collect_list(good(name)).over(last)
+    out = numbered.withColumns({
         "stock_baseline": _median_of(tail("stocks"), lookback),
         "member_baseline": _median_of(tail("members"), lookback),
-    })
+    }).drop("_number")
     if held_ok is not None:
         out = out.join(held_ok, DAY, "left").withColumn("held_complete", F.coalesce("held_complete", F.lit(False)))
     else:
@@ -153,25 +162,43 @@ def snapshot_candidates(quality: DataFrame, held_ok: DataFrame | None = None, lo
         & (F.col("members") > F.col("member_baseline") * (1 - max_drop) + 1e-12), F.lit(False)))
 
 
-def select_snapshot(candidates: DataFrame, asked: DataFrame, max_age: int = MAX_AGE_DAYS) -> DataFrame:
-    """For each asked ``as_of`` date: the newest usable day before it that is not too old; null if none."""
+def book_candidates(candidates: DataFrame, held_ok: DataFrame) -> DataFrame:
+    """Candidates per book: a usable day serves a book whose held stocks are complete on it.
+
+    ``held_ok`` comes from ``held_complete`` with ``book`` keys and holds complete days only.
+    """
+    return candidates.drop("held_complete").where("usable").join(held_ok.where("held_complete"), DAY)
+
+
+def select_snapshot(candidates: DataFrame, asked: DataFrame, max_age: int = MAX_AGE_DAYS,
+                    book: list[str] = []) -> DataFrame:
+    """For each asked ``as_of`` date (and book): the newest usable day before it that is not too old; null if none."""
+    keys = [*book, "as_of"]
     ages = F.explode(F.sequence(F.lit(1), F.lit(max_age)))
-    tried = asked.select("as_of", ages.alias("age_days")).withColumn(DAY, F.expr("date_sub(as_of, age_days)"))
-    found = tried.join(candidates.where("usable"), DAY).groupBy("as_of").agg(
+    tried = asked.select(*keys, ages.alias("age_days")).withColumn(DAY, F.expr("date_sub(as_of, age_days)"))
+    found = tried.join(candidates.where("usable"), [DAY, *book]).groupBy(*keys).agg(
         F.max(DAY).alias("risk_date"), F.min("age_days").alias("age_days"))
-    return asked.select("as_of").join(found, "as_of", "left")
+    return asked.select(*keys).join(found, keys, "left")
 
 
-def held_complete(panel: DataFrame, held: DataFrame, code: str, required: list[str], days: DataFrame) -> DataFrame:
-    """Per day: whether every held stock has complete risk values.
+def held_complete(panel: DataFrame, held: DataFrame, code: str, required: list[str], days: DataFrame,
+                  one_hot: list[str] = [], book: list[str] = []) -> DataFrame:
+    """Per day (and book): whether every held stock has finite risk values and one-hot groups.
 
-    ``held`` is (code) or (day, code); counting matches avoids pairing every
-    day with every stock.
+    ``held`` has (code), or (book, code) with ``book`` keys. Counting matches avoids pairing every
+    day with every stock; with ``book`` keys only days with a match come back, the others fail.
     """
-    complete = values.all_of([values.is_finite(F.col(c)) for c in required])
-    matched = panel.where(complete).join(held.select(code).distinct(), code, "left_semi").groupBy(DAY, code).agg(
-        F.lit(1).alias("_x")).groupBy(DAY).agg(F.count("*").alias("_have"))
-    need = held.select(code).distinct().agg(F.count("*")).scalar()
+    good = values.all_of([values.is_finite(F.col(c)) for c in required])
+    if one_hot:
+        checked = one_hot_check(panel.where(good), one_hot, [DAY, code]).where("one_hot")
+    else:
+        checked = panel.where(good).select(DAY, code)
+    own = held.select(*book, code).distinct()
+    matched = checked.select(DAY, code).distinct().join(own, code).groupBy(DAY, *book).agg(F.count("*").alias("_have"))
+    if book:
+        need = own.groupBy(*book).agg(F.count("*").alias("_need"))
+        return matched.join(need, book).select(*book, DAY, (F.col("_have") == F.col("_need")).alias("held_complete"))
+    need = own.agg(F.count("*")).scalar()
     return days.select(DAY).join(matched, DAY, "left").select(
         DAY, (F.coalesce("_have", F.lit(0)) == need).alias("held_complete"))
 

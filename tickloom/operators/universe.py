@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import codes, times, values
@@ -27,18 +28,27 @@ def traded(panel: DataFrame, needs_depth: bool = True, volume: str = "volume") -
     return panel.where(F.coalesce(values.number(F.col(volume)), F.lit(0.0)) > 0)
 
 
+def _marked(name: str) -> Column:
+    upper = F.upper(F.coalesce(F.col(name), F.lit("")))
+    return values.any_of([upper.contains(m) for m in _EXCLUDED_MARKS])
+
+
 def excluded_names(panel: DataFrame, name: str, code: str) -> DataFrame:
     """Codes whose name on the newest day carries an excluded mark."""
-    upper = F.upper(F.coalesce(F.col(name), F.lit("")))
-    marked = values.any_of([upper.contains(m) for m in _EXCLUDED_MARKS])
-    return latest_snapshot(panel).where(marked).select(codes.pad6(F.col(code)).alias("code6")).distinct()
+    return latest_snapshot(panel).where(_marked(name)).select(codes.pad6(F.col(code)).alias("code6")).distinct()
 
 
 def trading_universe(panel: DataFrame, name: str = "sec_short_name", code: str = "id_qi",
                      blacklist: list[str] = ()) -> DataFrame:
-    """Newest-day codes without marked names and without blacklisted codes, as symbols."""
-    current = latest_snapshot(panel).select(codes.pad6(F.col(code)).alias("code6")).distinct()
-    kept = current.join(excluded_names(panel, name, code), "code6", "left_anti")
+    """Newest-day codes without marked names and without blacklisted codes, as symbols.
+
+    One pass over the panel leaves each code's newest day and whether any name of that day is
+    marked; the newest day of all is then a window over one row per listed code.
+    """
+    newest = panel.groupBy(codes.pad6(F.col(code)).alias("code6")).agg(
+        F.max(F.struct(F.col(DAY).alias("day"), _marked(name).alias("marked"))).alias("last"))
+    current = newest.withColumn("_newest", F.max("last.day").over(W.partitionBy()))
+    kept = current.where((F.col("last.day") == F.col("_newest")) & ~F.col("last.marked"))
     if blacklist:
         kept = kept.where(~F.col("code6").isin(*[b.split(".")[0].zfill(6) for b in blacklist]))
     return kept.select("code6", codes.universe_symbol(F.col("code6")).alias("symbol"))

@@ -13,6 +13,7 @@ from tickloom.operators import reconcile as rec
 from tickloom.operators.keyed import latest_per_key
 from tickloom.plans.registry import query
 from tickloom.plans.views import day, view
+from tickloom.sources import vendor
 
 
 def text_date(name, alias=None):
@@ -66,6 +67,13 @@ def j3(spark, sf):
     return mem.members_in_time(view(spark, sf, "v_idx_cons"), days).select(day(), "index_code", "cons_id")
 
 
+@query("j3_newest_members", "v_idx_cons", """
+SELECT index_code, index_exchange, cons_id FROM v_idx_cons WHERE out_date IS NULL""")
+def j3_newest(spark, sf):
+    log = view(spark, sf, "v_idx_cons").withColumn("is_new", F.when(F.col("out_date").isNull(), 1).otherwise(0))
+    return mem.current_members(log).select("index_code", "index_exchange", "cons_id")
+
+
 @query("j4_asof_close", "v_daily", _CAL + """
 , x AS (SELECT c.trade_date, p.security_id, p.close, p.trade_date AS price_date,
    row_number() OVER (PARTITION BY c.trade_date, p.security_id ORDER BY p.trade_date DESC) AS rn
@@ -223,21 +231,21 @@ _WEIGHT = _CAL + """
 , px AS (SELECT c.trade_date, p.security_id, p.close, p.trade_date AS price_date,
    row_number() OVER (PARTITION BY c.trade_date, p.security_id ORDER BY p.trade_date DESC) AS rn
    FROM cal c JOIN v_daily p ON p.trade_date IN (coalesce(c.prev, c.trade_date), coalesce(c.prev2, c.prev, c.trade_date)))""" + _SHARES + """
-, w AS (SELECT c.trade_date, m.index_code, s.id_qi, s.security_id, px.price_date,
+, w AS (SELECT c.trade_date, m.index_code, m.index_exchange, s.id_qi, s.security_id, px.price_date,
    floor(sh.free_shares) * floor(px.close * 100 + 0.5) AS v
    FROM cal c JOIN v_idx_cons m ON m.into_date <= c.trade_date AND (m.out_date IS NULL OR m.out_date > c.trade_date)
    JOIN v_security s ON s.security_id = m.cons_id
    JOIN px ON px.trade_date = c.trade_date AND px.security_id = m.cons_id AND px.rn = 1
    JOIN sh ON sh.trade_date = c.trade_date AND sh.security_id = m.cons_id AND sh.rn = 1
-   WHERE px.close > 0 AND sh.free_shares > 0),
-wt AS (SELECT trade_date, index_code, id_qi, security_id, price_date, v / sum(v) OVER (PARTITION BY trade_date, index_code) AS weight FROM w WHERE v > 0)"""
+   WHERE px.close > 0 AND sh.free_shares > 0 AND s.asset_class = 'E' AND s.list_status_cd = 'L'),
+wt AS (SELECT trade_date, index_code, index_exchange, id_qi, security_id, price_date, v / sum(v) OVER (PARTITION BY trade_date, index_code, index_exchange) AS weight FROM w WHERE v > 0)"""
 
 _WEIGHT_VIEWS = "v_daily v_idx_cons v_free_shares v_security"
 
 
 def index_weights(spark, sf):
     """Weights over whole shares and cents, so that sums are exact."""
-    daily, security = view(spark, sf, "v_daily"), view(spark, sf, "v_security")
+    daily, security = view(spark, sf, "v_daily"), vendor.listed_equities(view(spark, sf, "v_security"))
     days = cal.settled_calendar(daily)
     cents = daily.select("trade_date", "security_id", F.floor(F.col("close") * 100 + 0.5).cast("double").alias("close"))
     shares = view(spark, sf, "v_free_shares").withColumn("free_shares", F.floor("free_shares").cast("double"))
@@ -247,9 +255,9 @@ def index_weights(spark, sf):
 
 
 @query("a6_index_weights", _WEIGHT_VIEWS, _WEIGHT + """
-SELECT CAST(trade_date AS VARCHAR) AS trade_date, index_code, id_qi, weight FROM wt""")
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, index_code, index_exchange, id_qi, weight FROM wt""")
 def a6(spark, sf):
-    return index_weights(spark, sf).select(day(), "index_code", "id_qi", "weight")
+    return index_weights(spark, sf).select(day(), "index_code", "index_exchange", "id_qi", "weight")
 
 
 INDEXES = ["000000", "000001", "000002", "000003", "000004"]

@@ -105,6 +105,18 @@ def o4(spark, sf):
     return rows.select("account_id", budget.alias("budget"))
 
 
+@query("o5_standard_account", "v_account", """
+SELECT account_id, CASE WHEN account_id % 2 = 0 THEN total_asset END AS total_asset, total_asset - available_cash AS market_value,
+  CASE WHEN account_id % 3 = 0 THEN 7.5 ELSE available_cash END::DOUBLE AS available_cash FROM v_account""")
+def o5_account(spark, sf):
+    c = F.col
+    raw = view(spark, sf, "v_account").select(
+        "account_id", F.when(c("account_id") % 2 == 0, c("total_asset").cast("string")).otherwise("n/a").alias("AssetAmt"),
+        (c("total_asset") - c("available_cash")).cast("string").alias("MarketAmt"),
+        F.when(c("account_id") % 3 != 0, c("available_cash").cast("string")).alias("EnBalance"), F.lit("7.5").alias("CrBalance"))
+    return pf.standardise_account(raw, ["account_id"])
+
+
 @query("o5_standard_positions", "v_book_position", """
 SELECT account_id, CASE WHEN code LIKE '6%' THEN code || '.SH' WHEN code LIKE '0%' OR code LIKE '3%' THEN code || '.SZ' ELSE code END AS code,
   current_volume, available_volume, last_price, CAST(NULL AS DOUBLE) AS pnl FROM v_book_position""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import values
 from tickloom.operators import calendar as cal
+from tickloom.operators import membership as mem
 from tickloom.operators import risk
 from tickloom.plans.registry import query
 from tickloom.plans.views import day, view
@@ -155,6 +156,36 @@ def q8(spark, sf):
                       F.col("age_days").cast("double").alias("age_days"))
 
 
+_GROUPS = [s for s in SEGMENTS if s != "MACHINERY"]
+
+
+@query("q8_held_snapshot", "v_daily v_security v_position", _QUALITY.replace("legacy = 0 AND", "day(trade_date) % 11 <> 5 AND legacy = 0 AND") + """
+, own AS (SELECT DISTINCT account_id, code AS id_qi FROM v_position WHERE current_volume > 5000 AND code IN (SELECT id_qi FROM pn)),
+need AS (SELECT account_id, count(*) AS need FROM own GROUP BY 1),
+ok AS (SELECT o.account_id, p.trade_date FROM own o JOIN pn p USING (id_qi) JOIN need USING (account_id)
+  WHERE p.move IS NOT NULL AND p.industry <> 'MACHINERY' GROUP BY 1, 2 HAVING count(*) = max(need)),
+asked AS (SELECT DISTINCT n.account_id, d.trade_date + 1 AS as_of FROM need n, v_daily d)
+SELECT a.account_id, CAST(a.as_of AS VARCHAR) AS as_of, CAST(max(u.trade_date) AS VARCHAR) AS risk_date
+FROM asked a LEFT JOIN (SELECT ok.account_id, us.trade_date FROM us JOIN ok USING (trade_date) WHERE usable) u
+  ON u.account_id = a.account_id AND u.trade_date < a.as_of AND a.as_of - u.trade_date <= 14 GROUP BY 1, 2""")
+def q8_held(spark, sf):
+    c = F.col
+    pn = panel(spark, sf)
+    sick = F.dayofmonth("trade_date") % 11 == 5
+    bench = benchmark(pn).select("trade_date", "id_qi", F.lit("B").alias("index_code"), F.when(sick, -1.0).otherwise(c("weight")).alias("weight"))
+    days = cal.trading_days(pn)
+    stale = days.select("trade_date", F.when(c("trade_date") == F.lit("2024-01-12").cast("date"), 4).otherwise(0).alias("count"))
+    quality = risk.day_quality(pn, bench, "id_qi", [*STYLES, *SEGMENTS], ["retired"], _GROUPS, stale, mem.benchmark_checks(bench))
+    own = view(spark, sf, "v_position").where("current_volume > 5000").select("account_id", c("code").alias("id_qi")).join(
+        pn.select("id_qi").distinct(), "id_qi", "left_semi")
+    held = risk.held_complete(pn, own, "id_qi", STYLES, days, _GROUPS, ["account_id"])
+    # One row per book and day asked for: the query's own result size.
+    dates = days.agg(F.collect_set(F.date_add("trade_date", 1)).alias("dates")).scalar()
+    asked = own.select("account_id").distinct().select("account_id", F.explode(dates).alias("as_of"))
+    out = risk.select_snapshot(risk.book_candidates(risk.snapshot_candidates(quality), held), asked, book=["account_id"])
+    return out.select("account_id", c("as_of").cast("string").alias("as_of"), c("risk_date").cast("string").alias("risk_date"))
+
+
 @query("q9_holdings_coverage", "v_position v_daily", """
 , e AS (SELECT DISTINCT id_qi FROM v_daily)
 SELECT account_id, count(*) AS held, count(*) FILTER (WHERE e.id_qi IS NULL) AS missing, count(*) FILTER (WHERE e.id_qi IS NULL) > greatest(3, floor(count(*) * 0.2)) AS failed

@@ -68,13 +68,11 @@ SELECT 'order' AS kind, code, time_us, biz_index AS seq_num, buy_order_no + sell
        CAST(CASE msg_type WHEN 'A' THEN 2 ELSE 5 END AS SMALLINT) AS order_type, 0.0::DOUBLE AS money FROM b WHERE msg_type IN ('A', 'D')
 UNION ALL SELECT 'deal', code, time_us, biz_index, buy_order_no, side, price, CAST(0 AS SMALLINT), price * qty FROM b WHERE msg_type = 'T'""")
 def p3(spark, sf):
-    orders, deals = feeds.split_merged_sh(_merged_feed(spark, sf), feed_day())
-    base = ["code", us("time"), "seq_num"]
-    return orders.select(
-        F.lit("order").alias("kind"), *base, "order_id", "side", "price", "order_type", F.lit(0.0).alias("money"),
-    ).unionByName(deals.select(
-        F.lit("deal").alias("kind"), *base, F.col("buy_order_id").alias("order_id"), "side", "price",
-        F.lit(0).cast("short").alias("order_type"), "money"))
+    both = feeds.merged_sh(_merged_feed(spark, sf), feed_day())
+    return both.select(
+        "kind", "code", us("time"), "seq_num", F.coalesce("order_id", "buy_order_id").alias("order_id"),
+        F.col("side").cast("short").alias("side"), "price",
+        F.coalesce("order_type", F.lit(0)).cast("short").alias("order_type"), F.coalesce("money", F.lit(0.0)).alias("money"))
 
 
 def _order_feed(spark, sf):

@@ -78,8 +78,7 @@ WHERE dayofweek(g.d) BETWEEN 1 AND 5 AND CAST(g.d AS DATE) NOT IN (SELECT trade_
 def s5_weekdays(spark, sf):
     deals = view(spark, sf, "v_deal")
     span = deals.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
-    days = span.select(F.explode(F.sequence("lo", "hi")).alias("trade_date")).where(~F.dayofweek("trade_date").isin(1, 7))
-    return days.join(deals.select("trade_date").distinct(), "trade_date", "left_anti").select(day())
+    return cal.weekday_calendar(span).join(deals.select("trade_date").distinct(), "trade_date", "left_anti").select(day())
 
 
 @query("s6_heavy_range_guard", "v_tick", """
@@ -125,6 +124,38 @@ def s8(spark, sf):
     return results.read_results(spark, path, schema=schema).select("trade_date", "code", "F_range")
 
 
+_FILES = """
+, n AS (SELECT strftime(trade_date, '%Y%m%d') AS file_date, CAST(CASE WHEN day(trade_date) % 3 = 0 OR seq_num % 4 = 0 THEN NULL ELSE seq_num % 4 END AS INTEGER) AS shard,
+  CAST(CASE WHEN day(trade_date) % 3 = 0 OR seq_num % 4 = 0 THEN NULL ELSE seq_num % 2 END AS INTEGER) AS part, seq_num FROM v_tick)"""
+
+
+def _result_rows(spark, sf):
+    """Rows under the result files they would lie in: a merged file a day, and shards on two days of three."""
+    c = F.col
+    stem = F.date_format("trade_date", "yyyyMMdd")
+    whole = (F.dayofmonth("trade_date") % 3 == 0) | (c("seq_num") % 4 == 0)
+    shard = F.concat(stem, F.lit("_s"), (c("seq_num") % 4).cast("string"), F.lit("_p"), (c("seq_num") % 2).cast("string"))
+    rows = view(spark, sf, "v_tick").select(
+        "seq_num", F.concat(F.lit("results/"), F.when(whole, stem).otherwise(shard), F.lit(".parquet")).alias("_file"))
+    return rows.withColumns(results.file_parts(c("_file")))
+
+
+@query("s8_result_listing", "v_tick", _FILES + """
+SELECT file_date, shard, part, count(*) AS rows FROM n GROUP BY 1, 2, 3""")
+def s8_listing(spark, sf):
+    return results.list_results(_result_rows(spark, sf)).select("file_date", "shard", "part", "rows")
+
+
+@query("s9_shard_modes", "v_tick", _FILES + """
+, d AS (SELECT *, max(CASE WHEN shard IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY file_date) AS sharded FROM n)
+SELECT 'auto' AS mode, seq_num FROM d WHERE (shard IS NOT NULL) = (sharded = 1)
+UNION ALL SELECT 'shards', seq_num FROM d WHERE shard IS NOT NULL UNION ALL SELECT 'full', seq_num FROM d WHERE shard IS NULL""")
+def s9_modes(spark, sf):
+    rows = _result_rows(spark, sf)
+    auto, shards, full = (results.prefer_files(rows, m).select(F.lit(m).alias("mode"), "seq_num") for m in ("auto", "shards", "full"))
+    return auto.unionByName(shards).unionByName(full)
+
+
 @query("s9_json_results", "v_daily", _FACTORS + """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, "F_range", "F_drift" FROM f""")
 def s9(spark, sf):
@@ -165,6 +196,25 @@ def s11(spark, sf):
     return vendor.limit_table(table).select("code", day(), "high_limit", "low_limit", "pre_close")
 
 
+@query("s11_market_listed", "v_daily v_security", """
+SELECT d.id_qi, s.exchange_cd, d.close FROM v_daily d JOIN v_security s USING (security_id)
+WHERE d.trade_date = DATE '2024-01-10' AND s.exchange_cd = 'XSHG' AND s.asset_class = 'E' AND s.list_status_cd = 'L'""")
+def s11_market(spark, sf):
+    listed = vendor.listed_equities(view(spark, sf, "v_security")).select("security_id", "exchange_cd")
+    market = view(spark, sf, "v_daily").join(listed, "security_id")
+    return vendor.market_on(market, F.lit("2024-01-10").cast("date"), ["XSHG"]).select("id_qi", "exchange_cd", "close")
+
+
+@query("s12_bad_lines", "v_raw_feed", """
+SELECT count(*) AS lines, count(*) FILTER (WHERE msg_type = 'D') AS bad_lines FROM v_raw_feed""")
+def s12_bad(spark, sf):
+    path = scratch_path(spark, "messages")
+    header = ["biz_index", "security_code", "msg_type", "qty"]
+    cut = F.when(F.col("msg_type") == "D", F.concat_ws(",", *header[:2])).otherwise(F.concat_ws(",", *header))
+    view(spark, sf, "v_raw_feed").select(cut.alias("value")).write.text(path)
+    return vendor.message_line_counts(spark, path, header, titled=False)
+
+
 @query("s12_message_csv", "v_raw_feed", """
 SELECT CAST(biz_index AS VARCHAR) AS biz_index, security_code, msg_type, CAST(qty AS VARCHAR) AS qty FROM v_raw_feed""")
 def s12(spark, sf):
@@ -184,6 +234,19 @@ def s14(spark, sf):
     return back.groupBy(day(), "end_time").agg(F.count("*").alias("n"))
 
 
+@query("s14_text_sinks", "v_daily", _FACTORS + """
+SELECT k.fmt, CAST(trade_date AS VARCHAR) AS trade_date, end_time, count(*) AS n, count("F_drift") AS filled FROM f CROSS JOIN (SELECT unnest(['csv', 'json']) AS fmt) k GROUP BY 1, 2, 3""")
+def s14_text(spark, sf):
+    root, rows = scratch_path(spark, "sink"), _factors(spark, sf)
+    schema = "code STRING, F_range FLOAT, F_drift FLOAT, trade_date DATE, end_time STRING"
+    out = []
+    for fmt, category in (("csv", "daily"), ("json", "positions")):
+        results.write_results(rows, root, category, fmt)
+        back = spark.read.schema(schema).option("header", "true").format(fmt).load(f"{root}/{results.CATEGORIES[category]}")
+        out.append(back.groupBy(F.lit(fmt).alias("fmt"), day(), "end_time").agg(F.count("*").alias("n"), F.count("F_drift").alias("filled")))
+    return out[0].unionByName(out[1])
+
+
 @query("s15_compact_floats", "v_deal", """
 SELECT code, seq_num, channel, sale_order_id, buy_order_id, CAST(round_even(price * 1000000, 0) / 1000000 AS FLOAT) AS price FROM v_deal""")
 def s15(spark, sf):

@@ -46,10 +46,13 @@ VIEWS = {
                CASE WHEN c_custkey % 2 = 0 THEN 'XSHG' ELSE 'XSHE' END AS exchange_cd,
                CASE WHEN c_custkey % 17 = 0 THEN concat('*ST', CAST(c_custkey AS STRING))
                     ELSE concat('N', CAST(c_custkey AS STRING)) END AS sec_short_name,
-               c_mktsegment AS industry, c_custkey AS party_id
+               c_mktsegment AS industry, c_custkey AS party_id,
+               CASE WHEN c_custkey % 23 = 0 THEN 'B' ELSE 'E' END AS asset_class,
+               CASE WHEN c_custkey % 19 = 0 THEN 'DE' ELSE 'L' END AS list_status_cd
         FROM customer""",
     "v_idx_cons": """
-        SELECT lpad(CAST(n_regionkey AS STRING), 6, '0') AS index_code, c_custkey + 100000 AS cons_id,
+        SELECT lpad(CAST(n_regionkey AS STRING), 6, '0') AS index_code,
+               CASE WHEN n_nationkey % 2 = 0 THEN 'XSHG' ELSE 'XSHE' END AS index_exchange, c_custkey + 100000 AS cons_id,
                DATE '2024-01-01' + CAST(c_custkey % 20 AS INT) AS into_date,
                CASE WHEN c_custkey % 3 = 0 THEN DATE '2024-01-11' + CAST(c_custkey % 20 AS INT) ELSE NULL END AS out_date
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",

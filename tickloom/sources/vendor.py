@@ -45,9 +45,28 @@ def listed_equities(df: DataFrame) -> DataFrame:
     return df.where((F.col("asset_class") == "E") & (F.col("list_status_cd") == "L"))
 
 
-def read_message_csv(spark: SparkSession, path: str, header: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Raw message backup: all text, malformed lines dropped, only wanted columns kept."""
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    df = (spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED")
-          .option("enforceSchema", "true").csv(path))
+def _message_reader(header: Sequence[str], titled: bool, *more: T.StructField):
+    schema = T.StructType([*[T.StructField(h, T.StringType()) for h in header], *more])
+    # Without pruning every line is parsed whole, so a line counts as malformed whichever columns are asked.
+    return lambda reader: reader.schema(schema).option("header", str(titled).lower()).option("columnPruning", "false")
+
+
+def read_message_csv(spark: SparkSession, path: str, header: Sequence[str], columns: Sequence[str],
+                     titled: bool = True) -> DataFrame:
+    """Raw message backup: all text, malformed lines dropped, only wanted columns kept.
+
+    ``message_line_counts`` tells how many lines that were.
+    """
+    reader = _message_reader(header, titled)(spark.read)
+    df = reader.option("mode", "DROPMALFORMED").option("enforceSchema", "true").csv(path)
     return df.select(*[c for c in columns if c in header])
+
+
+def message_line_counts(spark: SparkSession, path: str, header: Sequence[str], titled: bool = True) -> DataFrame:
+    """One row: lines, and lines whose number of fields is not the header's."""
+    bad = T.StructField("_bad", T.StringType())
+    reader = _message_reader(header, titled, bad)(spark.read)
+    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    # The first field is read as well: Spark does not answer from the malformed-line column alone.
+    first = F.col(header[0])
+    return df.agg((F.count_if(first.isNull()) + F.count_if(first.isNotNull())).alias("lines"), F.count("_bad").alias("bad_lines"))
