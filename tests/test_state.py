@@ -63,11 +63,21 @@ def test_result_shape_error():
         fac.result_rows(3, "a", [""])
 
 
-def test_group_limit_refuses(spark):
-    tick = view(spark, SF, "v_tick")
-    bundle = fac.bundle(fac.DataNeeds(tick=True), {"tick": tick})
-    with pytest.raises(ValueError, match="Fold"):
-        fac.frame_factors(bundle, lambda *a: None, "F double", limit=1)
+def test_stock_with_most_rows_is_not_refused(spark):
+    hot = F.when(F.col("seq_num") % 5 != 0, "999999").otherwise(F.col("code"))
+    tick = view(spark, SF, "v_tick").withColumn("code", hot)
+    want = {(r.trade_date, r.code): float(r["count"]) for r in tick.groupBy("trade_date", "code").count().collect()}
+    tagged = fac.bundle(fac.DataNeeds(tick=True), {"tick": tick})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        frames = fac.frame_factors(tagged, lambda data, *_: {"F": float(len(data.tick))}, "F double").collect()
+        batches = fac.batch_factors(tagged, lambda data, codes, *_: {c: {"F": float(len(data[c].tick))} for c in codes},
+                                    "F double", 2, codes_per_call=3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for out in (frames, batches):
+        assert len(out) == len(want) and {(r.trade_date, r.code): r.F for r in out} == want
 
 
 def test_runs_join_over_batches():
