@@ -149,13 +149,23 @@ def _pairs_of(sorted_keys: DataFrame, edges: int) -> DataFrame:
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct candidate pairs ``a`` < ``b`` of nodes from all sorted orders."""
+    """Distinct candidate pairs ``a`` < ``b`` of nodes from all sorted orders.
+
+    The keys at the edges of partitions are sorted and cut again, until one task holds them all: no
+    region loses a pair to where it happened to be cut, and every round is some thousand times smaller.
+    """
     keys = written(_entries(signed), "forest-keys")
-    tasks = max(1, -(-keys.count() // ROWS_PER_TASK), keys.sparkSession.sparkContext.defaultParallelism)
-    found = written(_pairs_of(keys.repartitionByRange(tasks, "key").sortWithinPartitions("key"), 2 * REGION), "forest-pairs")
-    # A few rows per partition edge; no region loses a pair to where it happened to be cut.
-    rims = found.filter("key is not null").select("key").coalesce(1).sortWithinPartitions("key")
-    return found.select("a", "b").unionByName(_pairs_of(rims, 0).select("a", "b")).filter("a is not null").distinct()
+    parallel, found = keys.sparkSession.sparkContext.defaultParallelism, None
+    tasks = max(parallel, -(-keys.count() // ROWS_PER_TASK))
+    while True:
+        edges = 2 * REGION if tasks > 1 else 0
+        out = written(_pairs_of(keys.repartitionByRange(tasks, "key").sortWithinPartitions("key"), edges), "forest-pairs")
+        pairs = out.filter("a is not null").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        if tasks == 1:
+            return found.distinct()
+        keys = out.filter("key is not null").select("key")
+        tasks = max(1, -(-keys.count() // ROWS_PER_TASK))
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
