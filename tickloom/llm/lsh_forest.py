@@ -159,7 +159,8 @@ def candidates(signed: DataFrame) -> DataFrame:
     tasks = max(parallel, -(-keys.count() // ROWS_PER_TASK))
     while True:
         edges = 2 * REGION if tasks > 1 else 0
-        out = written(_pairs_of(keys.repartitionByRange(tasks, "key").sortWithinPartitions("key"), edges), "forest-pairs")
+        cut = keys.coalesce(1) if tasks == 1 else keys.repartitionByRange(tasks, "key")
+        out = written(_pairs_of(cut.sortWithinPartitions("key"), edges), "forest-pairs")
         pairs = out.filter("a is not null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         if tasks == 1:
