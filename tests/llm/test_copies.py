@@ -45,6 +45,22 @@ def test_large_group_of_near_copies_is_one(spark):
     assert all(got[i] == (0,) for i in range(600)) and all(got[i] == (i,) for i in range(600, 640))
 
 
+def test_pairs_inside_a_template_just_below_the_threshold(spark):
+    """500 pages of one template at about 0.73 of each other; every page of the first half has one partner above 0.75."""
+    rng = np.random.default_rng(5)
+    core = [f"core{k}" for k in range(844)]
+    page = lambda own: " ".join([*core, *own])
+    rows = []
+    for k in range(250):
+        own = [f"w{x}" for x in rng.integers(0, 1 << 40, 152)]
+        rows += [(2 * k, page(own), None), (2 * k + 1, page(own[:20] + [f"w{x}" for x in rng.integers(0, 1 << 40, 132)]), None)]
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    share = lambda x, y: len(x & y) / len(x | y)
+    assert 0.7 < share(sets[0], sets[2]) < 0.75 <= share(sets[0], sets[1]) < 0.78
+    got = by_id(lsh_forest.near_copies(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)), "component_id")
+    assert got == {i: (i - i % 2,) for i, _, _ in rows}
+
+
 def test_components_of_a_long_chain(spark):
     nodes = np.random.default_rng(1).permutation(300).tolist()
     links = spark.createDataFrame([(a, b) for a, b in zip(nodes, nodes[1:])] + [(1000, 1001)], "a long, b long")

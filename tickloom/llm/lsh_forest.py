@@ -9,6 +9,10 @@ little for a similarity near the threshold are dropped (five deviations away), t
 confirmed on full sets: first a forest of candidate pairs, then only pairs between different
 components, so a group of copies costs about as many confirmations as it has members.
 
+Regions above ``REGION`` rows that hold more than one component afterwards (templates that share
+much text) get an exact pass: their documents' shingles in one order, about rarest first, and a join
+on the prefixes that any pair at the threshold must share (``exact_pairs``).
+
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept;
 equal sets are one node however many documents share it; a null ``doc_id`` gets no component and is
 kept; rows that repeat an id are rows of their own; an empty table gives no rows.
@@ -37,6 +41,8 @@ SLOTS = TREES * DEPTH
 #: Signatures of pairs at the threshold agree in 0.75 of 192 slots, with a deviation of 0.031.
 LEAST_AGREEMENT = 0.59
 ROWS_PER_TASK = 200_000
+#: 2**COMMON counters of shingles, for the order of prefixes; a full one costs time and never pairs.
+COMMON = 22
 _rng = np.random.default_rng(20_240_607)
 _FLIP = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 1 << 31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -148,13 +154,12 @@ def _pairs_of(sorted_keys: DataFrame, edges: int) -> DataFrame:
     return sorted_keys.mapInArrow(run, "a bigint, b bigint, key binary")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
+def candidates(keys: DataFrame) -> DataFrame:
     """Distinct candidate pairs ``a`` < ``b`` of nodes from all sorted orders.
 
     The keys at the edges of partitions are sorted and cut again, until one task holds them all: no
     region loses a pair to where it happened to be cut, and every round is some thousand times smaller.
     """
-    keys = written(_entries(signed), "forest-keys")
     parallel, found = keys.sparkSession.sparkContext.defaultParallelism, None
     tasks = max(parallel, -(-keys.count() // ROWS_PER_TASK))
     while True:
@@ -235,13 +240,8 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter("root_a <> root_b")
 
 
-def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Enough confirmed pairs to connect all that candidates connect; every pair left out is
-    inside one component or fails on full sets."""
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(
-        near.groupBy("b").agg(F.max_by("a", "near").alias("a")).select("a", "b")).distinct()
-    tested = written(first, "forest-first")
-    found = written(confirmed(tested, sets, percent), "forest-links")
+def _crossing(near: DataFrame, tested: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``found`` and the confirmed pairs of ``near`` that join what ``found`` leaves apart."""
     for every in (False, True):
         left = written(_across(near.join(tested, ["a", "b"], "left_anti"), components(found)), "forest-left")
         if left.isEmpty():
@@ -254,6 +254,117 @@ def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Enough confirmed pairs to connect all that candidates connect; every pair left out is
+    inside one component or fails on full sets."""
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(
+        near.groupBy("b").agg(F.max_by("a", "near").alias("a")).select("a", "b")).distinct()
+    tested = written(first, "forest-first")
+    return _crossing(near, tested, written(confirmed(tested, sets, percent), "forest-links"), sets, percent)
+
+
+def _regions(keys: DataFrame) -> DataFrame:
+    """``region`` (tree and first ``SHALLOW`` slots) and ``node`` of every key."""
+    def run(batches):
+        for batch in batches:
+            k = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, 29)
+            region = np.zeros((len(k), 8), np.uint8)
+            region[:, 7 - 2 * SHALLOW:] = k[:, :1 + 2 * SHALLOW]
+            node = (k[:, 17:25].copy().view(">u8").ravel() ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)
+            yield pa.record_batch({"region": pa.array(region.view(">i8").ravel().astype(np.int64)), "node": pa.array(node)})
+
+    return keys.mapInArrow(run, "region bigint, node bigint")
+
+
+def _within(entries: DataFrame, regions: DataFrame) -> DataFrame:
+    """Entries of ``regions``, and of few others; no key of a large region is moved to one task."""
+    shared = entries.sparkSession.sparkContext.broadcast(bitmap(regions))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(holds(shared.value, batch.column("region").to_numpy())))
+
+    return entries.mapInArrow(run, "region bigint, node bigint")
+
+
+def crowded(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of all nodes in regions above ``REGION`` rows with more than one component."""
+    entries = _regions(keys)
+    large = written(entries.groupBy("region").count().filter(F.col("count") > REGION).select("region"), "forest-large")
+    # No rows of a region that is small: the forest has looked at all its pairs.
+    held = written(_within(entries, large).join(labels, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")), "forest-held")
+    mixed = held.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+    mixed = written(mixed.filter((F.col("n") > REGION) & (F.col("x") < F.col("y"))).select("region"), "forest-mixed")
+    return _within(held.select("region", "node"), mixed).select("node").distinct().join(held.select("node", "root").distinct(), "node")
+
+
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur."""
+    def run(batches):
+        for batch in batches:
+            at = [_unpacked(x) >> np.uint64(64 - COMMON) for x in batch.column("shingles").to_pylist()]
+            k, n = np.unique(np.concatenate(at) if at else np.empty(0, np.uint64), return_counts=True)
+            yield pa.record_batch({"k": pa.array(k.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    rows = sets.select("shingles").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2**COMMON at most
+    out = np.zeros(1 << COMMON, np.int64)
+    out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _least_common(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that sets of ``x`` and ``y`` shingles share at the threshold."""
+    return -(-percent * (x + y) // (100 + percent))
+
+
+def _sharing(rows: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one partition's prefix rows (token, node, root, size, place) that may reach the threshold."""
+    order = np.argsort(rows[0])
+    token, node, root, size, place = (r[order] for r in rows)
+    i, step = np.arange(len(token)), 1
+    while len(i := i[i + step < len(token)]) and len(i := i[token[i] == token[i + step]]):
+        j = i + step
+        # Where this is the first shingle in common, no more than what follows it can be shared.
+        may = (root[i] != root[j]) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _least_common(size[i], size[j], percent))
+        if may.any():
+            x, y = node[i[may]], node[j[may]]
+            yield np.minimum(x, y), np.maximum(x, y)
+        step += 1
+
+
+def exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``a`` < ``b`` of ``node`` with different ``root`` that can reach the threshold, none left out.
+
+    Any total order of shingles is right: the first one that two sets share must stand early in both.
+    """
+    common = sets.sparkSession.sparkContext.broadcast(_commonness(sets))
+
+    def prefixes(batches):
+        for batch in batches:
+            for node, root, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "shingles"))):
+                s = _unpacked(raw)
+                n = len(s)
+                s = s[np.lexsort((s, common.value[s >> np.uint64(64 - COMMON)]))][:n - -(-percent * n // 100) + 1]
+                yield pa.record_batch({"token": pa.array(s.view(np.int64)), "node": pa.array(np.full(len(s), node)), "root": pa.array(np.full(len(s), root)),
+                                       "size": pa.array(np.full(len(s), n, np.int64)), "place": pa.array(np.arange(len(s)))})
+
+    def pairs(batches):
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        for a, b in _sharing([np.concatenate(c) for c in zip(*held)], percent) if held else ():
+            yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
+    rows = written(sets.select("node", "root", "shingles").mapInArrow(prefixes, "token bigint, node bigint, root bigint, size bigint, place bigint"), "forest-prefixes")
+    tasks = max(sets.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
+    return rows.repartition(tasks, "token").mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node``, ``shingles`` of the nodes of ``wanted``."""
+    marked = bitmap(nodes.join(wanted, "node", "left_semi").select(F.xxhash64("first")))
+    keyed = docs.select(F.xxhash64("doc_id").alias("doc_id"), "text")
+    return written(full_sets(keyed, marked).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "forest-sets")
+
+
 def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``docs``."""
     spark = docs.sparkSession
@@ -262,12 +373,18 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = written(signed.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.first("sig").alias("sig")).mapInArrow(
             _low_bytes, f"node bigint, first {docs.schema['doc_id'].dataType.simpleString()}, sig binary"), "forest-nodes")
-    near = written(agreeing(candidates(signed), nodes), "forest-near")
+    keys = written(_entries(signed), "forest-keys")
+    near = written(agreeing(candidates(keys), nodes), "forest-near")
     involved = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    wanted = bitmap(nodes.join(involved, "node").select(F.xxhash64("first")))
-    keyed = docs.select(F.xxhash64("doc_id").alias("doc_id"), "text")
-    sets = written(full_sets(keyed, wanted).join(involved, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "forest-sets")
-    labels = components(links(near, sets, percent))
+    sets = _sets_of(docs, nodes, involved)
+    found = links(near, sets, percent)
+    labels = components(found)
+    crowd = written(crowded(keys, labels), "forest-crowd")
+    if not crowd.isEmpty():
+        apart = _sets_of(docs, nodes, crowd.select("node"))
+        more = written(exact_pairs(apart.join(crowd, "node"), percent), "forest-exact").withColumn("near", F.lit(0.0))
+        nothing = more.select("a", "b").limit(0)
+        labels = components(_crossing(more, nothing, found, apart, percent))
     smallest = (nodes.select("node", "first").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
     lowest = smallest.groupBy("root").agg(F.min("first").alias("component_id"))
     by_node = smallest.join(lowest, "root").select("node", "component_id")
