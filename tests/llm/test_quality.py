@@ -167,3 +167,21 @@ def test_losses_by_hand(spark, docs, labels):
                 math.log((pairs[a, b] + loss_difference.PRIOR * share(b)) / (uni[a] + loss_difference.PRIOR)) for a, b in zip(w, w[1:]))
             assert math.isclose(got[i][place], loss / len(w), rel_tol=1e-9)
     assert len(tokens.grams(np.empty(0, np.uint64), 5)) == 0
+
+
+def test_losses_of_rare_words_are_their_own(spark):
+    """However much else there is, words and bigrams of few documents keep their own counts."""
+    texts = ["many words " * 600_000, "rare find here", "rare find there", "other thing here", "rare find here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(loss_difference.score(docs, labels), "target_loss", "background_loss")
+    words = [t.split() for t in texts]
+    for side, place in (([words[1], words[2]], 0), (words, 1)):
+        uni = collections.Counter(w for t in side for w in t)
+        pairs = collections.Counter(p for t in side for p in zip(t, t[1:]))
+        total = sum(uni.values())
+        share = lambda x: (uni[x] + 1) / (total + 8 + 1)  # noqa: E731,B023
+        for i, w in enumerate(words):
+            loss = -math.log(share(w[0])) - sum(
+                math.log((pairs[p] + loss_difference.PRIOR * share(p[1])) / (uni[p[0]] + loss_difference.PRIOR)) for p in zip(w, w[1:]))
+            assert math.isclose(got[i][place], loss / len(w), rel_tol=1e-9)

@@ -4,10 +4,10 @@ Two bigram models with one vocabulary, one set of bigrams and one smoothing: the
 documents labelled good, the background model counts all documents. A document's score is the mean
 over its words of target loss less background loss; lower is closer to the target.
 
-All words and bigrams of all documents are counted. The vocabulary are words with at least
-``WORD_SHARE`` of all counted words, hence 1 / WORD_SHARE at most; bigrams are kept from
-``PAIR_SHARE`` on, hence 1 / PAIR_SHARE at most. These bounds hold at any corpus size and bound what
-is collected and broadcast. What is rarer is one unknown word, or falls back to single words.
+All words and bigrams of all documents are counted and kept, however rare: the written table of losses
+grows with the corpus. Words from ``WORD_SHARE`` and bigrams from ``PAIR_SHARE`` of all counted words
+on, 1 / share of them at most, are broadcast and looked up on the spot, so no frequent key is moved;
+all others are joined to the table by a shuffle. Where a loss is looked up never changes it.
 
 Defined results: null and empty texts have no words, null losses and score 0; without target rows
 the target model is the smoothed uniform one; null and repeated ids are scored row by row.
@@ -15,8 +15,11 @@ the target model is the smoothed uniform one; null and repeated ids are scored r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,81 +60,82 @@ def _counted(groups, target: bool) -> pa.RecordBatch:
     return pa.record_batch({"k": pa.array(k), "t": pa.array(n if target else zero), "b": pa.array(zero if target else n)})
 
 
-def _sums(target: DataFrame, every: DataFrame, keys_of) -> DataFrame:
-    """Counts of ``keys_of(word hashes, bounds)`` over both sides; each batch is summed before it is moved."""
+def _pairs_counted(groups, target: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of the bigrams of each group, with both words."""
+    for k, one, two in groups:
+        k, at, n = np.unique(k, return_index=True, return_counts=True)
+        zero = np.zeros(len(k), np.int64)
+        yield pa.record_batch({"k": pa.array(k), "one": pa.array(one[at]), "two": pa.array(two[at]),
+                               "t": pa.array(n if target else zero), "b": pa.array(zero if target else n)})
+
+
+def _pair_keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first and second word of the bigrams inside documents."""
+    inside = np.ones(max(len(h) - 1, 0), bool)
+    cuts = bounds[1:-1]
+    inside[cuts[(cuts > 0) & (cuts < len(h))] - 1] = False
+    v = h.view(np.int64)
+    return tokens.grams(h, 2).view(np.int64)[inside], v[:-1][inside], v[1:][inside]
+
+
+def _sides(target: DataFrame, every: DataFrame, counted, schema: str) -> DataFrame:
+    """Counts over both sides; each batch is summed before it is moved."""
     def side(is_target: bool):
         def run(batches):
             for batch in batches:
-                yield _counted((keys_of(h, bounds) for _, h, bounds in tokens.word_groups(batch.column("text").to_pylist(), lower=True)), is_target)
+                yield from counted(((h, bounds) for _, h, bounds in tokens.word_groups(batch.column("text").to_pylist(), lower=True)), is_target)
         return run
 
-    schema = "k bigint, t bigint, b bigint"
-    both = target.select("text").mapInArrow(side(True), schema).unionByName(every.select("text").mapInArrow(side(False), schema))
-    return both.groupBy("k").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def _word_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
-class Model:
-    """Sorted vocabulary and bigrams with their losses under both models."""
-
-    def __init__(self, words: tuple[np.ndarray, ...], totals: tuple[int, int]):
-        order = np.argsort(words[0])
-        self.words = words[0][order]
-        known = [w[order].astype(float) for w in words[1:]]
-        # Place 0 is the unknown word.
-        self.count = [np.concatenate([[max(n - c.sum(), 0)], c]) for c, n in zip(known, totals)]
-        size = len(self.words) + 1
-        self.share = [(c + 1) / (c.sum() + size) for c in self.count]
-        self.pairs = np.empty(0, np.int64)
-        self.pair_loss = [np.empty(0), np.empty(0)]
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        h = h.view(np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
-        return np.where(self.words[at] == h, at + 1, 0) if len(self.words) else np.zeros(len(h), np.int64)
-
-    def pair_keys(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        ids = self.ids(h)
-        inside = np.ones(max(len(ids) - 1, 0), bool)
-        cuts = bounds[1:-1]
-        inside[cuts[(cuts > 0) & (cuts < len(ids))] - 1] = False
-        return ((ids[:-1] << 32) | ids[1:])[inside]
-
-    def set_pairs(self, keys: np.ndarray, counts: list[np.ndarray]) -> None:
-        order = np.argsort(keys)
-        self.pairs = keys[order]
-        one, two = self.pairs >> 32, self.pairs & 0xFFFFFFFF
-        self.pair_loss = [-np.log((c[order] + PRIOR * share[two]) / (own[one] + PRIOR))
-                          for c, own, share in zip(counts, self.count, self.share)]
-
-    def losses(self, h: np.ndarray) -> tuple[float, float]:
-        """Summed loss of one document's words under the target and the background model."""
-        ids = self.ids(h)
-        one, two = ids[:-1], ids[1:]
-        keys = (one << 32) | two
-        at = np.minimum(np.searchsorted(self.pairs, keys), max(len(self.pairs) - 1, 0))
-        seen = self.pairs[at] == keys if len(self.pairs) else np.zeros(len(keys), bool)
-        out = []
-        for loss, own, share in zip(self.pair_loss, self.count, self.share):
-            rest = -np.log(PRIOR * share[two] / (own[one] + PRIOR))
-            own_loss = np.where(seen, loss[at], rest) if len(self.pairs) else rest
-            out.append(float(own_loss.sum() - np.log(share[ids[0]])))
-        return out[0], out[1]
-
-
-def fit(docs: DataFrame, target: DataFrame) -> Model:
-    words = written(_sums(target, docs, _word_keys), "loss-words")
-    totals = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    kept = words.filter(F.col("b") >= F.lit(WORD_SHARE * totals[1])).toArrow()  # 1 / WORD_SHARE rows at most
-    model = Model(tuple(kept.column(c).to_numpy() for c in ("k", "t", "b")), (totals[0], totals[1]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    pairs = _sums(target, docs, lambda h, bounds: shared.value.pair_keys(h, bounds))
-    kept = pairs.filter(F.col("b") >= F.lit(PAIR_SHARE * totals[1])).toArrow()  # 1 / PAIR_SHARE rows at most
-    model.set_pairs(kept.column("k").to_numpy(), [kept.column(c).to_numpy().astype(float) for c in ("t", "b")])
-    return model
+    return target.select("text").mapInArrow(side(True), schema).unionByName(every.select("text").mapInArrow(side(False), schema))
+
+
+def _start_key(h: np.ndarray) -> np.ndarray:
+    """Key of a word that begins a document."""
+    return tokens.mix(h + np.uint64(1)).view(np.int64)
+
+
+def losses(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``k``, ``lt``, ``lb``: losses of every bigram, and of every word as the first of a document,
+    under both models; and those of them that are broadcast."""
+    words = written(_sides(target, docs, lambda groups, side: [_counted((h.view(np.int64) for h, _ in groups), side)], "k bigint, t bigint, b bigint")
+                    .groupBy("k").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "loss-words")
+    totals = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count(F.lit(1))).first()
+    pairs = _sides(target, docs, lambda groups, side: _pairs_counted((_pair_keys(h, b) for h, b in groups), side),
+                   "k bigint, one bigint, two bigint, t bigint, b bigint").groupBy("k").agg(
+        F.first("one").alias("one"), F.first("two").alias("two"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    # One more place is kept for a word never seen.
+    share = {c: (F.col(c) + 1) / F.lit(float(n + totals[2] + 1)) for c, n in zip("tb", totals)}
+    own = words.select(F.col("k").alias("one"), *[F.col(c).alias(f"own_{c}") for c in "tb"])
+    after = words.select(F.col("k").alias("two"), *[share[c].alias(f"share_{c}") for c in "tb"])
+    loss = [(-F.log((F.col(c) + PRIOR * F.col(f"share_{c}")) / (F.col(f"own_{c}") + PRIOR))).alias(f"l{c}") for c in "tb"]
+    often = F.col("b") >= F.lit(PAIR_SHARE * totals[1])
+    table = written(pairs.join(own, "one").join(after, "two").select("k", *loss, often.alias("often")), "loss-pairs")
+
+    def started(batches):
+        for batch in batches:
+            yield batch.set_column(0, "k", pa.array(_start_key(batch.column("k").to_numpy().view(np.uint64))))
+
+    often = F.col("b") >= F.lit(WORD_SHARE * totals[1])
+    first = words.select("k", *[(-F.log(share[c])).alias(f"l{c}") for c in "tb"], often.alias("often")).mapInArrow(
+        started, "k bigint, lt double, lb double, often boolean")
+    table = table.unionByName(written(first, "loss-first"))
+    return table.select("k", "lt", "lb"), table.filter("often").select("k", "lt", "lb")  # 1 / PAIR_SHARE + 1 / WORD_SHARE rows at most
+
+
+class Often:
+    """Sorted keys with their losses under both models."""
+
+    def __init__(self, rows: pa.Table):
+        order = np.argsort(rows.column("k").to_numpy())
+        self.k, self.lt, self.lb = (rows.column(c).to_numpy()[order] for c in ("k", "lt", "lb"))
+
+    def split(self, keys: np.ndarray) -> tuple[float, float, np.ndarray]:
+        """Summed losses of the keys held, and the other keys."""
+        if not len(self.k):
+            return 0.0, 0.0, keys
+        at = np.minimum(np.searchsorted(self.k, keys), len(self.k) - 1)
+        held = self.k[at] == keys
+        return float(self.lt[at[held]].sum()), float(self.lb[at[held]].sum()), keys[~held]
 
 
 def targets(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -148,26 +152,48 @@ def targets(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return few.join(good, "doc_id", "left_semi").select("text")
 
 
+def _documents(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """Key of its words, and keys of the first word and all bigrams, of every document."""
+    for _, h, bounds in tokens.word_groups(texts, lower=True):
+        for i in range(len(bounds) - 1):
+            own = h[bounds[i]:bounds[i + 1]]
+            yield (xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63),
+                   np.concatenate([_start_key(own[:1]), tokens.grams(own, 2).view(np.int64)]))
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, both losses per word and ``score`` of every document."""
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, targets(docs, labels)))
+    table, frequent = losses(docs, targets(docs, labels))
+    often = docs.sparkSession.sparkContext.broadcast(Often(frequent.toArrow()))
 
-    def run(batches):
+    def rare(batches):
+        seen: set[int] = set()
         for batch in batches:
-            n, t, b = [], [], []
-            for _, h, bounds in tokens.word_groups(batch.column("text").to_pylist(), lower=True):
-                for i in range(len(bounds) - 1):
-                    own = h[bounds[i]:bounds[i + 1]]
-                    n.append(len(own))
-                    x, y = shared.value.losses(own) if len(own) else (None, None)
-                    t.append(x / len(own) if len(own) else None)
-                    b.append(y / len(own) if len(own) else None)
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n_words": pa.array(n, pa.int64()), "target_loss": pa.array(t, pa.float64()),
-                "background_loss": pa.array(b, pa.float64()),
-                "score": pa.array([0.0 if x is None else x - y for x, y in zip(t, b)], pa.float64())})
-
+            for words, keys in _documents(batch.column("text").to_pylist()):
+                rest = often.value.split(keys)[2]
+                if len(rest) and words not in seen:
+                    seen.add(words)
+                    k, n = np.unique(rest, return_counts=True)
+                    yield pa.record_batch({"words": pa.array(np.full(len(k), words)), "k": pa.array(k), "n": pa.array(n)})
+
+    def held(batches):
+        for batch in batches:
+            out = []
+            for words, keys in _documents(batch.column("text").to_pylist()):
+                x, y, rest = often.value.split(keys)
+                out.append((words, len(keys), len(rest), x, y))
+            if out:
+                columns = zip(("words", "n_words", "n_rest", "x", "y"), zip(*out))
+                yield pa.record_batch({"doc_id": batch.column("doc_id")} | {c: pa.array(v) for c, v in columns})
+
+    # Copies of one text may be summed more than once: what is taken is the mean of a key.
+    rest = docs.select("text").mapInArrow(rare, "words bigint, k bigint, n bigint").join(table, "k").groupBy("words").agg(
+        F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"l{c}")).alias(f"l{c}") for c in "tb"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double")
+    each = docs.select("doc_id", "text").mapInArrow(held, f"doc_id {kind}, words bigint, n_words bigint, n_rest bigint, x double, y double")
+    loss = {c: F.when(F.col("n_words") > 0, (F.col(own) + F.when(F.col("n_rest") > 0, F.col("n_rest") * F.col(f"l{c}") / F.col("n")).otherwise(0.0)) / F.col("n_words"))
+            for c, own in (("t", "x"), ("b", "y"))}
+    return each.join(rest, "words", "left").select(
+        "doc_id", "n_words", loss["t"].alias("target_loss"), loss["b"].alias("background_loss")).withColumn(
+        "score", F.coalesce(F.col("target_loss") - F.col("background_loss"), F.lit(0.0)))
