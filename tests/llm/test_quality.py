@@ -185,3 +185,29 @@ def test_losses_of_rare_words_are_their_own(spark):
             loss = -math.log(share(w[0])) - sum(
                 math.log((pairs[p] + loss_difference.PRIOR * share(p[1])) / (uni[p[0]] + loss_difference.PRIOR)) for p in zip(w, w[1:]))
             assert math.isclose(got[i][place], loss / len(w), rel_tol=1e-9)
+
+
+def test_licence_files_and_wrapped_headers(spark):
+    """Whole licence files as they are wrapped in repositories, with holders, and a header broken over lines."""
+    import textwrap
+    from pathlib import Path
+    folder = Path(license_digests.__file__).parent / "licences"
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n) for p in re.split(r"\n[ \t]*\n", t))
+    rows, want = [], {}
+    for path in sorted(folder.glob("*.txt")):
+        text = path.read_text()
+        for blank in ("<owner>", "<copyright holders>"):
+            text = text.replace(f"<year> {blank}", "2021 A. Holder")
+        for form in (text, *(wrap(text, n) for n in (60, 72, 100) if len(text) < 4000)):
+            want[len(rows)] = (path.stem, True)
+            rows.append((len(rows), form))
+    want[len(rows)] = ("MPL-2.0", False)
+    rows.append((len(rows), "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+                 "# file, You can obtain one at https://mozilla.org/MPL/2.0/.\n#\nx = 1\n"))
+    want[len(rows)] = ("ISC", False)
+    rows.append((len(rows), "Copyright (c) 2020 X\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+                 "copyright notice and this permission notice appear in all copies.\n\nint x;\n"))
+    want[len(rows)] = ("", False)
+    rows.append((len(rows), "permission is\nnot granted"))
+    assert by_id(license_digests.scan(spark.createDataFrame(rows, "doc_id long, text string")), "licenses", "whole_text") == want
+    assert all(re.search(license_digests.MARK, t) for _, t in license_digests.NOTICES + license_digests.HEADERS + license_digests.bodies())

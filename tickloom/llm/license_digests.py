@@ -1,8 +1,11 @@
 """Licence scan by canonical digests.
 
 Texts are brought to one form: copyright lines out, everything but letters and digits to one space,
-lower case, equivalent spellings to one. The digest of a whole text, and of each of its lines as a
-text of its own, is joined to the digests of known licences and notices, a fixed table.
+lower case, equivalent spellings to one. The digest of a whole text, and of each of its lines and
+paragraphs as a text of its own, is joined to the digests of known licences and notices, a fixed
+table: ``NOTICES``, ``HEADERS`` and the whole licences in the folder ``licences``, each with and
+without its title, its list numbers and what follows its terms. Paragraphs find wrapped notices;
+``n_lines`` counts lines only.
 
 Defined results: null and empty texts carry no licence; a document with several notices lists each
 licence once, in order; repeated documents count one by one; no rows give no rows.
@@ -10,6 +13,9 @@ licence once, in order; repeated documents count one by one; no rows give no row
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +43,42 @@ NOTICES = [
             "provided that the above copyright notice and this permission notice appear in all copies."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
 ]
+# Paragraphs that begin files under a licence.
+HEADERS = [
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+                   "with the License. You may obtain a copy of the License at"),
+]
+#: A word of every known text; what has none of them is none.
+MARK = "(?i)licen[cs]|released|permission|redistribution"
 # Spellings that count as the same, after canonical form.
 SAME = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("noncommercial", "non commercial"),
         ("organisation", "organization"), ("favour", "favor"), ("ver", "version"), ("v", "version")]
 COPYRIGHT = r"(?im)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
+#: Lines that name a year or a holder; a licence's own words may begin a line with "copyright" too.
+HOLDER = (r"(?im)^[^a-z0-9\n]*(?:(?:copyright|©)[^\n]*(?:\(c\)|©|\b(?:19|20)\d\d\b|<year>|\[yyyy\])|\(c\)[^\n]*\b(?:19|20)\d\d\b|©"
+          r"|copyright by\b|(?-i:Copyright (?!Licen|Holder|Notice|Owner|Law|And|Rights)[A-Z])|all rights reserved\.?[ \t\r]*$)[^\n]*$")
+PARAGRAPH = r"\n[^A-Za-z0-9\n]*\n"
+
+
+def bodies() -> list[tuple[str, str]]:
+    """Whole licences, with and without title, list numbers and what follows the terms."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        text = path.read_text()
+        untitled = re.split(r"\n[ \t]*\n", text, maxsplit=1)[1]
+        for t in (text, untitled):
+            terms = re.split(r"(?m)^\s*END OF TERMS AND CONDITIONS\s*$", t)[0]
+            for end in (t, terms, terms + "\nEND OF TERMS AND CONDITIONS") if terms != t else (t,):
+                out.extend((path.stem, x) for x in (end, re.sub(r"(?m)^[0-9]\. ", "", end)))
+    return out
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, "")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), HOLDER, "")
     out = F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(out, "[^A-Za-z0-9]+", " "))), F.lit(" "))
     for a, b in SAME:
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -57,7 +91,7 @@ def digest(text: Column) -> Column:
 
 def known(spark) -> DataFrame:
     """``license``, ``digest`` of the fixed table."""
-    rows = spark.createDataFrame(NOTICES, "license string, notice string")
+    rows = spark.createDataFrame(NOTICES + HEADERS + bodies(), "license string, notice string")
     return rows.select("license", digest(F.col("notice")).alias("digest")).distinct()
 
 
@@ -65,13 +99,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """``doc_id``, lines that are a known text, licences in order, and whether the whole text is one."""
     table = F.broadcast(known(docs.sparkSession))  # as many rows as the fixed list
     row = docs.select("doc_id", F.col("text").alias("_t"), F.monotonically_increasing_id().alias("_row"))
-    units = row.select("doc_id", "_row", F.explode(F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), F.coalesce("_t", F.lit("")).alias("unit"))),
-        F.transform(F.split(F.coalesce("_t", F.lit("")), "\n"), lambda u: F.struct(F.lit(False).alias("whole"), u.alias("unit"))))).alias("u"))
-    hits = units.select("doc_id", "_row", "u.whole", digest(F.col("u.unit")).alias("digest")).join(table, "digest")
+    text = F.coalesce("_t", F.lit(""))
+    unit = lambda kind: lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("unit"))
+    several = F.filter(F.split(text, PARAGRAPH), lambda u: F.instr(F.trim(u), "\n") > 0)  # one line is a unit already
+    units = row.filter(text.rlike(MARK)).select("_row", F.explode(F.concat(
+        F.array(unit("whole")(text)), F.transform(F.split(text, "\n"), unit("line")), F.transform(several, unit("paragraph")))).alias("u"))
+    units = units.select("_row", "u.*").filter(F.col("unit").rlike(MARK))
+    hits = units.select("_row", "kind", digest(F.col("unit")).alias("digest")).join(table, "digest")
     found = hits.groupBy("_row").agg(
-        F.sum(F.when(~F.col("whole"), 1).otherwise(0)).cast("long").alias("n_lines"),
-        F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.max("whole").alias("whole_text"))
+        F.sum(F.when(F.col("kind") == "line", 1).otherwise(0)).cast("long").alias("n_lines"),
+        F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.max(F.col("kind") == "whole").alias("whole_text"))
     out = row.select("doc_id", "_row").join(found, "_row", "left")
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
                       F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("whole_text", F.lit(False)).alias("whole_text"))
