@@ -61,6 +61,11 @@ def test_pairs_inside_a_template_just_below_the_threshold(spark):
     assert got == {i: (i - i % 2,) for i, _, _ in rows}
 
 
+def test_lower_thresholds_than_the_forest_serves_are_refused(docs):
+    with pytest.raises(ValueError, match="75"):
+        lsh_forest.near_copies(docs, percent=60)
+
+
 def test_components_of_a_long_chain(spark):
     nodes = np.random.default_rng(1).permutation(300).tolist()
     links = spark.createDataFrame([(a, b) for a, b in zip(nodes, nodes[1:])] + [(1000, 1001)], "a long, b long")

@@ -367,6 +367,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``docs``."""
+    if percent < 75:
+        raise ValueError("candidates are made for 75 percent and more; below, links would be lost")
     spark = docs.sparkSession
     ship_package(spark)
     signed = written(signatures(docs), "forest-signed")
