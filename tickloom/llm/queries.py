@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import dialogue_repair, external_shuffle, license_digests, loss_difference, lsh_forest, mixing, packing, personal_data, rule_ensemble, rule_lists, sql, stats, substrings, winnowing
+from tickloom.llm import dialogue_repair, external_shuffle, license_digests, loss_difference, lsh_forest, mixing, packing, personal_data, rule_ensemble, rule_lists, sql, stats, substrings, token_alignment, winnowing
 from tickloom.llm.store import read
 
 
@@ -50,6 +50,10 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(read(spark, sf_dir, "documents"))
+
+
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue_repair.verdicts(*dialogue_repair.damaged(read(spark, sf_dir, "conversations")))
 
@@ -60,6 +64,6 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_lsh_forest, op2_license_digests, op3_personal_data, op4_rule_lists, op5_loss_difference, op6_winnowing,
-    op7_rule_ensemble, op8_external_shuffle, op9_substrings, op10_systematic_mixing, op12_dialogue_repair,
-    op13_packing)}
+    op7_rule_ensemble, op8_external_shuffle, op9_substrings, op10_systematic_mixing, op11_token_alignment,
+    op12_dialogue_repair, op13_packing)}
 ORACLES = {"op2_license_digests": license_digests.oracle(), **sql.ORACLES}

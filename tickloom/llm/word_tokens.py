@@ -28,7 +28,7 @@ def _words(text: str) -> list[str]:
     return text.split()
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next from U+0100 on."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
@@ -36,7 +36,7 @@ def _byte_letters() -> list[str]:
 
 
 _STOPS = ".,!?"
-_LETTERS = dict(enumerate(_byte_letters()))
+_LETTERS = dict(enumerate(byte_letters()))
 
 
 def _plain(word: str) -> bool:
