@@ -150,6 +150,30 @@ def _feed_aggregates(kind: str) -> list[Column]:
     ]
 
 
+def tagged_aggregates() -> list[Column]:
+    """The whole state in one aggregation over tagged rows (``tag_feeds``), for one keyed state over all
+    three feeds. Each value reads the rows of its own feed; same values as ``full_state``."""
+    c, is_kind = F.col, {k: F.col("kind") == k for k in _FEED_FIELDS}
+    sources = {"latest_price": "current_price", "pre_close": "pre_close_price", "ask1": "ask_price1", "bid1": "bid_price1",
+               "ask_volume1": "ask_volume1", "bid_volume1": "bid_volume1"}
+    seen = lambda name: F.when(is_kind["tick"] & (c(name).isNotNull() if "volume" in name else c(name) > 0), c("seq_num"))
+    price = F.when(is_kind["tick"] & (c("current_price") > 0), c("current_price"))
+    total = lambda rule, name: F.sum(F.when(rule, c(name)).otherwise(F.lit(0.0)))
+    buy, sell = (is_kind["order"] & (c("side") == side) for side in (S.SIDE_BUY, S.SIDE_SELL))
+    return [
+        F.min_by("current_price", seen("current_price")).alias("open"),
+        *[F.max_by(src, seen(src)).alias(n) for n, src in sources.items()],
+        F.max(price).alias("high"), F.min(price).alias("low"),
+        *[F.count_if(rule).alias(f"{k}_count") for k, rule in is_kind.items()],
+        total(is_kind["deal"], "amount").alias("cum_amount"), total(is_kind["deal"], "volume").alias("cum_volume"),
+        F.count_if(buy).alias("buy_order_count"), F.count_if(sell).alias("sell_order_count"),
+        total(buy, "volume").alias("buy_order_volume"), total(sell, "volume").alias("sell_order_volume"),
+        F.count_if(is_kind["order"] & (c("order_type") == S.ORDER_CANCEL)).alias("cancel_count"),
+        *[F.max_by("time", F.when(rule, c("seq_num"))).alias(f"last_{k}_time") for k, rule in is_kind.items()],
+        F.max("time").alias("last_market_time"),
+    ]
+
+
 def _merged_state(feeds: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """State per key out of feeds that are each reduced on their own.
 

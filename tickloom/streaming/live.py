@@ -9,18 +9,21 @@ micro-batch cut ends in the same values.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tickloom.functions import times
 from tickloom.operators.keyed import keep_first, latest_per_key
 from tickloom.operators.quality import archive_check
-from tickloom.operators.state import tick_aggregates
-from tickloom.session import scratch_path
+from tickloom.operators.state import tag_feeds, tagged_aggregates, tick_aggregates
+from tickloom.session import scratch_path, ship_package
 from tickloom.sources.archive import write_archive
 
 # Large key sets keep their state off heap, with changelog checkpoints.
@@ -31,6 +34,19 @@ STATE_STORE = {
 }
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's own settings come back after."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
                 files_per_trigger: int | None = None) -> DataFrame:
     """Append-only source of parquet files; its offsets live in the query's checkpoint."""
@@ -97,6 +113,16 @@ def state_stream(tick: DataFrame, delay: str = "1 day") -> DataFrame:
     return keyed_stream(tick, list(tick_aggregates()), delay).withColumn("last_tick_time", wall_clock(F.col("last_tick_time")))
 
 
+def full_state_stream(tick: DataFrame, deal: DataFrame, order: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Per-stock state of all three feeds by day, in one keyed state.
+
+    The feeds are laid under each other as tagged rows first: three streams aggregated apart could not
+    be joined into one state later. A batch emits the whole state of the stocks that any feed changed.
+    """
+    state = keyed_stream(tag_feeds(tick, deal, order), tagged_aggregates(), delay)
+    return state.withColumns({c: wall_clock(F.col(c)) for c in state.columns if c.startswith("last_") and c.endswith("_time")})
+
+
 def bar_stream(tick: DataFrame, every: str = "1 minute", delay: str = "5 minutes") -> DataFrame:
     """Tumbling bars. Append mode emits a bar once the watermark has passed its end; update mode with a
     changelog also has the bars still open, so none is missing at the end of the data."""
@@ -122,18 +148,90 @@ def latency_stream(feed: DataFrame, kind: str, latency: str, delay: str = "5 min
     ).select(wall_clock(F.col("_m.start")).alias("minute"), "kind", "n", "min_ms", "sum_ms", "max_ms")
 
 
-def gap_stream(feed: DataFrame, keys: list[str], seq: str = "seq_num", delay: str | None = None) -> DataFrame:
-    """Missing sequence numbers per channel so far: span less distinct count.
-
-    Replays are taken out first by (channel, number), so they never lower ``missing``; with ``delay``
-    a number is remembered that long in event time, without it for good. The counts hold three
-    numbers per channel and combine before the shuffle, so one busy channel does not bind to one task.
+def merge_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Closed ranges of whole numbers, overlapping and adjoining ones made one, in order."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1] + 1])) if len(lo) else np.empty(0, np.int64)
+    return lo[first], hi[np.append(first[1:], len(lo)) - 1] if len(lo) else hi
+
+
+class _GapRanges(StatefulProcessor):
+    """Seen numbers of one channel as a sorted list of closed ranges; the state follows its gaps."""
+
+    def __init__(self, keys: list[str], expires: bool):
+        self.keys, self.expires = keys, expires
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ranges = handle.getListState("ranges", "lo long, hi long")
+
+    def _known(self) -> pd.DataFrame:
+        rows = list(self.ranges.get()) if self.ranges.exists() else []
+        return pd.DataFrame(rows, columns=["lo", "hi"], dtype="int64")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts, latest = [self._known()], None
+        for frame in rows:
+            parts.append(frame[["lo", "hi"]])
+            if self.expires:
+                last = int(frame["expiry_ms"].max())
+                latest = last if latest is None else max(latest, last)
+        both = pd.concat(parts)
+        lo, hi = merge_ranges(both["lo"].to_numpy(np.int64), both["hi"].to_numpy(np.int64))
+        self.ranges.put(list(zip(lo.tolist(), hi.tolist())))
+        if self.expires and latest > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(latest)
+        seen = int((hi - lo + 1).sum())
+        yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key)}, "messages": [seen], "first_seq": [int(lo[0])], "last_seq": [int(hi[-1])],
+                            "missing": [int(hi[-1] - lo[0] + 1 - seen)], "gaps": [len(lo) - 1]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ranges.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def gap_stream(feed: DataFrame, keys: list[str], seq: str = "seq_num", day: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Distinct and missing sequence numbers per channel so far.
+
+    Each task first folds its own rows into ranges, so a busy channel ships ranges, not messages. Replays
+    fall into ranges already held, late numbers close gaps, and the state has one row per range: it grows
+    with gaps and not with messages. With ``day`` (a date column, one of the keys) a channel's ranges are
+    dropped once the watermark has passed its day by ``delay``; otherwise they are kept.
+    Needs the RocksDB state store (``STATE_STORE``).
     """
-    numbers = [*keys, seq]
-    once = feed.dropDuplicates(numbers) if delay is None else with_watermark(feed, delay).dropDuplicatesWithinWatermark(numbers)
-    return once.groupBy(*keys).agg(
-        F.count("*").alias("messages"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"),
-    ).withColumn("missing", F.col("last_seq") - F.col("first_seq") + 1 - F.col("messages"))
+    ship_package(feed.sparkSession)
+    columns = [*keys, seq]
+    if day is not None:
+        feed = feed.withColumn("time", F.timestamp_micros(times.epoch_micros(F.col("time"))))
+    # A day ends with the midnight behind it, in the reading of the watermark.
+    end = F.unix_millis(F.date_add(F.col(day), 1).cast("timestamp")) if day is not None else F.lit(None).cast("long")
+    extra = ["time"] if day is not None else []
+    rows = feed.select(*columns, *extra, end.alias("expiry_ms"))
+    ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    schema = f"{ids}, lo long, hi long, expiry_ms long" + (", time timestamp" if extra else "")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            parts = []
+            for key, own in frame.groupby(keys, sort=False, dropna=False):
+                numbers = own[seq].to_numpy(np.int64)
+                lo, hi = merge_ranges(numbers, numbers)
+                part = {**dict(zip(keys, key)), "lo": lo, "hi": hi, "expiry_ms": own["expiry_ms"].iloc[0]}
+                parts.append(pd.DataFrame(part | ({"time": own["time"].max()} if extra else {})))
+            if parts:
+                yield pd.concat(parts)
+
+    ranges = rows.where(F.col(seq).isNotNull()).mapInPandas(fold, schema)
+    if extra:
+        ranges = ranges.withWatermark("time", delay)
+    out = f"{ids}, messages long, first_seq long, last_seq long, missing long, gaps long"
+    return ranges.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_GapRanges(keys, day is not None), outputStructType=out, outputMode="Update",
+        timeMode="EventTime" if day is not None else "None")
 
 
 def changelog_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -143,6 +241,25 @@ def changelog_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+class SinkFailure(RuntimeError):
+    """Raised by ``failing_once``."""
+
+
+def failing_once(sink: Callable[[DataFrame, int], None], at: int = 0, after_write: bool = True) -> Callable[[DataFrame, int], None]:
+    """Fault injection: batch ``at`` fails between its write and its commit (or before the write).
+
+    The offset of that batch is logged and not committed, so a restart replays exactly its rows. Only
+    a sink whose output is named by the batch number ends with each row once.
+    """
+    def write(rows: DataFrame, batch_id: int) -> None:
+        if batch_id != at:
+            return sink(rows, batch_id)
+        if after_write:
+            sink(rows, batch_id)
+        raise SinkFailure(f"batch {batch_id}")
+    return write
+
+
 def latest_from_changelog(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> DataFrame:
     """Newest version of every key in a changelog."""
     versions = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
@@ -150,43 +267,86 @@ def latest_from_changelog(spark: SparkSession, path: str, keys: list[str], schem
     return latest_per_key(rows, keys, "batch", [f.name for f in schema.fields if f.name not in keys]).drop("batch")
 
 
-def snapshot_sink(spark: SparkSession, path: str, keys: list[str], by: str) -> Callable[[DataFrame, int], None]:
-    """Keep one newest row per key: every batch writes the next full version from the last one.
+def snapshot_sink(spark: SparkSession, path: str, keys: list[str], by: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Keep one newest row per key in ``buckets`` hash buckets of keys.
 
-    A version is named by its batch, so a retried batch rebuilds the same one.
-    Readers use ``read_snapshot``.
+    A batch reads and rewrites only the buckets its keys fall into, under its own number as the version,
+    by dynamic partition overwrite, so a retried batch rebuilds the same files. A small list then says
+    which version of each bucket counts; the batch is finished once that list is. Versions that the
+    list before replaced are removed by the next batch, so readers of the last list keep their files.
     """
     def merge(rows: DataFrame, batch_id: int) -> None:
-        last = _finished_version(spark, path, batch_id)
-        both = rows if last is None else rows.unionByName(spark.read.parquet(f"{path}/version={last}"))
-        keep_first(both, keys, [F.desc(by)]).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        # The version counts once this line is written.
-        spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("append").parquet(f"{path}/finished")
+        before = _finished_lists(spark, path, batch_id)
+        current = _bucket_versions(spark, path, before[-1]) if before else {}
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = keep_first(rows.withColumn("_bucket", bucket), keys, [F.desc(by)])
+        # `buckets` numbers at most.
+        touched = sorted(r[0] for r in rows.select(bucket.alias("b")).distinct().collect())
+        held = _read_buckets(spark, path, {b: current[b] for b in touched if b in current})
+        both = fresh if held is None else fresh.unionByName(held.withColumn("_bucket", bucket))
+        if touched:
+            newest = keep_first(both, keys, [F.desc(by)]).withColumn("_version", F.lit(batch_id).cast("long"))
+            (newest.repartition(len(touched), "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("_bucket", "_version").parquet(f"{path}/data"))
+        listed = [(b, v) for b, v in (current | dict.fromkeys(touched, batch_id)).items()]
+        # The batch counts once this list is finished.
+        spark.createDataFrame(listed, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists/{batch_id}")
+        if len(before) >= 2:
+            for b, v in _bucket_versions(spark, path, before[-2]).items():
+                if current.get(b) != v:
+                    _remove(spark, f"{path}/data/_bucket={b}/_version={v}")
+            for old in before[:-1]:
+                _remove(spark, f"{path}/lists/{old}")
     return merge
 
 
-def _finished_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
-    """Newest finished version number, optionally below ``before``."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/finished")
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return None  # nothing written yet; a folder that cannot be read is an error
-    done = spark.read.schema("version LONG").parquet(f"{path}/finished")
-    if before is not None:
-        done = done.where(F.col("version") < before)
-    return done.agg(F.max("version")).first()[0]
+def _files(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, folder = _files(spark, path)
+    fs.delete(folder, True)
+
+
+def _finished_lists(spark: SparkSession, path: str, before: int | None = None) -> list[int]:
+    """Numbers of the finished batches, optionally below ``before``; a list in writing does not count."""
+    fs, folder = _files(spark, f"{path}/lists")
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    done = [int(n) for n in names if n.isdigit() and fs.exists(_files(spark, f"{path}/lists/{n}/_SUCCESS")[1])]
+    return sorted(n for n in done if before is None or n < before)
+
+
+def _bucket_versions(spark: SparkSession, path: str, batch: int) -> dict[int, int]:
+    return {r[0]: r[1] for r in spark.read.schema("bucket int, version long").parquet(f"{path}/lists/{batch}").collect()}
+
+
+def _read_buckets(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame | None:
+    if not versions:
+        return None
+    folders = [f"{path}/data/_bucket={b}/_version={v}" for b, v in sorted(versions.items())]
+    return spark.read.parquet(*folders)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest finished version of a snapshot table."""
-    newest = _finished_version(spark, path)
-    if newest is None:
-        raise FileNotFoundError(f"no snapshot version under {path}")
-    return spark.read.parquet(f"{path}/version={newest}")
+    """All keys as of the newest finished batch."""
+    done = _finished_lists(spark, path)
+    rows = _read_buckets(spark, path, _bucket_versions(spark, path, done[-1])) if done else None
+    if rows is None:
+        raise FileNotFoundError(f"no finished snapshot under {path}")
+    return rows
 
 
 def round_sink(compute: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """Per round: factors from the full state of the changed keys (an update-mode stream), under the
-    round number. ``latest_round`` reads the newest value of every key."""
+    """Per round: factors of the keys the round changed, from their whole state, under the round number.
+
+    An update-mode stream of ``full_state_stream`` hands over just those states, so a round costs what it
+    changed and never reads the other keys. A retried round overwrites itself; ``latest_round`` reads
+    the newest value of every key.
+    """
     def write(rows: DataFrame, batch_id: int) -> None:
         compute(rows).write.mode("overwrite").parquet(f"{path}/round={batch_id}")
     return write
