@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -98,6 +99,30 @@ def test_leaks(spark, docs, rows, monkeypatch):
     assert not any(r["contaminated"] for r in winnowing.leak_table(few, bench.filter("false")).collect())
 
 
+@pytest.mark.parametrize("short", [True, False])
+@pytest.mark.parametrize("rows_broadcast", [500_000, 0])
+def test_leaks_row_by_row(spark, monkeypatch, short, rows_broadcast):
+    """Repeated and null ids are rows of their own; long texts, clashing columns, empty tables."""
+    monkeypatch.setattr(winnowing, "BROADCAST_ROWS", rows_broadcast)
+    items = [(1, prose(41, 30)), (1, prose(42, 12)), (None, prose(43, 15)), (7, prose(41, 30))] + ([(8, "zz top"), (9, prose(44, 4))] if short else [])
+    own = [(1, prose(41, 12)), (1, prose(41, 24)), (1, "clean words"), (None, prose(41, 30)), (None, None), (2, ""), (2, "a zz TOP b zz top"), (3, prose(43, 15)),
+           (3, prose(43, 15)), (4, prose(50, 60_000) + " " + prose(42, 12) + " " + prose(51, 40_000)), (None, prose(44, 4)), (5, "...")]
+    docs = spark.createDataFrame([(*r, 1, "x", 0.5) for r in own], "doc_id long, text string, row long, item_id string, f double").repartition(3)
+    bench = spark.createDataFrame([(*r, "y") for r in items], "item_id long, text string, d string")
+    got = winnowing.leak_table(docs, bench).collect()
+    want = exact_leaks([(k, t, None) for k, (_, t) in enumerate(own)], [(None if i is None else i, t) for i, t in items])
+    # A null item hits, and is not named.
+    want = [(own[k][0], n, hit, *listed(own[k][1], items), leak) for k, (n, hit, _, _, leak) in want.items()]
+    assert sorted(map(repr, (tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in got))) == sorted(map(repr, want))
+    assert winnowing.leak_table(docs.filter("false"), bench).collect() == []
+    assert {r[0] for r in winnowing.leaking_ids(docs, bench).collect()} == {w[0] for w in want if w[5] and w[0] is not None}
+
+
+def listed(text, items):
+    (found,) = exact_leaks([(0, text, None)], [(i, t) for i, t in items if i is not None]).values()
+    return found[2], found[3]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

@@ -31,8 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
-    items = winnowing.hashed(read(spark, sf_dir, "benchmark"), "item_id")
-    return _without(docs, written(winnowing.hits(winnowing.hashed(docs, "doc_id"), items).select("doc_id"), "leaks"))
+    return _without(docs, written(winnowing.leaking_ids(docs, read(spark, sf_dir, "benchmark")), "leaks"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
