@@ -5,8 +5,9 @@ Three ways to write a factor, from fastest to most general:
 * aggregate expressions over the feeds (``expression_factors``);
 * a mergeable fold in pandas (``fold_factors``), partial states per task, so
   one stock may hold any share of the rows;
-* a function over whole frames of one stock and day (``frame_factors``), whose
-  group sizes are checked before the job is planned.
+* a function over whole frames of one stock and day (``frame_factors``, ``batch_factors``,
+  ``cogrouped_factors``), or over its frames one after the other (``streamed_factors``) where a
+  stock's day is larger than memory.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +28,7 @@ from tickloom.functions import times
 from tickloom.operators.calendar import attach_history, calendar
 from tickloom.operators.state import KEYS, tag_feeds
 from tickloom.session import ship_package
+from tickloom.sources.hook import HOOK_FORMAT, SliceHook, hook_source
 
 
 @dataclass(frozen=True)
@@ -158,6 +162,19 @@ def _runs(batches: Frames, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFram
         yield held_key, pd.concat(held) if len(held) > 1 else held[0]
 
 
+def _pieces(batches: Frames, keys: list[str]) -> Iterator[tuple[tuple, Iterator[pd.DataFrame]]]:
+    """(key, frames) of consecutive equal keys in sorted batches; one batch is held at a time."""
+    def cut() -> Iterator[tuple[tuple, pd.DataFrame]]:
+        for batch in batches:
+            starts = _starts(batch, keys)
+            columns = [batch[k].to_numpy() for k in keys]
+            for lo, hi in zip(starts, starts[1:]):
+                yield tuple(c[lo] for c in columns), batch.iloc[lo:hi]
+
+    for key, own in groupby(cut(), key=lambda piece: piece[0]):
+        yield key, (rows for _, rows in own)
+
+
 def fold_factors(df: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
     """Run a fold: states per task where the rows lie, then one merge per key.
 
@@ -207,18 +224,28 @@ def fold_factors(df: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
 class StockData:
     """Frames of one stock and day as a frame function sees them.
 
-    ``tick``, ``deal`` and ``order`` are cut out of the bundle when first
-    asked for, in sequence order; ``history[offset]`` holds earlier days.
+    ``tick``, ``deal`` and ``order`` are cut out of the bundle when first asked for, in sequence order;
+    ``history[offset]`` holds earlier days. All slices of a stock share the cut frames, and a slice is a
+    view up to a place found by bisection, so many slices cost little more than one.
     """
 
-    def __init__(self, code: str, rows: pd.DataFrame, until_us: int | None = None):
+    def __init__(self, code: str, rows: pd.DataFrame, until_us: int | None = None, feeds: dict | None = None):
         self.code, self._rows, self._until = code, rows, until_us
+        self._feeds = {} if feeds is None else feeds
+
+    def _whole(self, kind: str, offset: int) -> tuple[pd.DataFrame, np.ndarray, bool]:
+        """Rows of one feed and day, their times, and whether time never falls from row to row."""
+        if (kind, offset) not in self._feeds:
+            own = self._rows[(self._rows["kind"].to_numpy() == kind) & (self._rows["day_offset"].to_numpy() == offset)]
+            us = own["time_us"].to_numpy()
+            self._feeds[kind, offset] = own, us, bool((us[1:] >= us[:-1]).all())
+        return self._feeds[kind, offset]
 
     def _frame(self, kind: str, offset: int = 0) -> pd.DataFrame:
-        keep = (self._rows["kind"].to_numpy() == kind) & (self._rows["day_offset"].to_numpy() == offset)
-        if self._until is not None and offset == 0:
-            keep &= self._rows["time_us"].to_numpy() <= self._until
-        return self._rows[keep]
+        own, us, rising = self._whole(kind, offset)
+        if self._until is None or offset:
+            return own
+        return own.iloc[:np.searchsorted(us, self._until, side="right")] if rising else own[us <= self._until]
 
     @cached_property
     def tick(self) -> pd.DataFrame:
@@ -239,7 +266,7 @@ class StockData:
 
     def until(self, second: int | None) -> "StockData":
         """The same stock cut at a slice end, inclusive, so no later row is visible."""
-        return self if second is None else StockData(self.code, self._rows, second * 1_000_000)
+        return self if second is None else StockData(self.code, self._rows, second * 1_000_000, self._feeds)
 
 
 def end_second(end_time: str) -> int | None:
@@ -344,36 +371,87 @@ def batch_factors(tagged: DataFrame, fn: Callable, result: str, batches: int, en
     return _together(keyed, ["trade_date", "_batch"], ["code", "seq_num"]).mapInPandas(run, schema)
 
 
-def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: str, batches: int = 16) -> DataFrame:
-    """``fn(code, date, left_frame, right_frame)`` for two inputs of different shape.
+def streamed_factors(tagged: DataFrame, fn: Callable, result: str) -> DataFrame:
+    """``fn(code, date, frames)`` per stock and day, the rows coming as frames in sequence order.
 
-    Stocks of a day are cogrouped in ``batches`` groups and split in the task: handing Python one
-    small group per stock would cost more than the work. Raise ``batches`` with the market's size;
-    up to one group per stock, no group is refused.
+    Only one frame is in memory, so a stock's day may be larger; what the function leaves unread is skipped.
     """
-    ship_package(left.sparkSession)
-    keys = ["trade_date", "_batch"]
-    spread = F.pmod(F.xxhash64("code"), F.lit(batches))
-    sides = [df.withColumn("_batch", spread) for df in (left, right)]
+    ship_package(tagged.sparkSession)
     schema, columns = _result_schema(result)
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parts = [{code: rows for (code,), rows in _runs([f.sort_values("code", kind="mergesort")], ["code"])} for f in (a, b)]
-        found = []
-        for code in sorted(parts[0].keys() | parts[1].keys()):
-            value = fn(code, key[0], parts[0].get(code, a.iloc[:0]), parts[1].get(code, b.iloc[:0]))
-            found += [{**r, "trade_date": key[0]} for r in result_rows(value, code, [""])]
-        return pd.DataFrame(found, columns=columns)
+    def run(batches: Frames) -> Frames:
+        def groups() -> Iterator[list[dict]]:
+            for (day, code), frames in _pieces(batches, KEYS):
+                yield [{**r, "trade_date": day} for r in result_rows(fn(code, day, frames), code, [""])]
+        return _emit_rows(groups(), columns)
+
+    return _together(tagged, KEYS, ["seq_num"]).mapInPandas(run, schema)
 
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = [df.repartition(n, *keys).groupBy(*keys) for df in sides]
-    return grouped[0].cogroup(grouped[1]).applyInPandas(run, schema)
 
+def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: str) -> DataFrame:
+    """``fn(code, date, left_frame, right_frame)`` for two inputs of different shape.
 
-def emit(results: DataFrame, write: Callable[[DataFrame, str], None], end_times: Iterable[str]) -> None:
-    """Hand each slice's rows to an output hook as a DataFrame."""
-    for end in end_times:
-        write(results.where(F.col("end_time") == end), end)
+    Both inputs lie under each other with a side mark, sorted by day, code and side, so one shuffle
+    brings them together and a task walks both at once with one stock in memory, whatever the market's size.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ship_package(left.sparkSession)
+    schema, _ = _result_schema(result)
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    names = [df.columns for df in (left, right)]
+    laid = [df.select(*KEYS, F.lit(side).alias("_side"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias(f"_{side}"))
+            for side, df in enumerate((left, right))]
+    both = laid[0].unionByName(laid[1], allowMissingColumns=True)
+    kinds = [both.schema[f"_{side}"].dataType for side in (0, 1)]
+
+    def frame(parts: list, side: int) -> pd.DataFrame:
+        whole = pa.chunked_array(parts, to_arrow_schema(StructType().add("s", kinds[side]))[0].type)
+        return pa.Table.from_arrays([pa.chunked_array([c.field(i) for c in whole.chunks], whole.type[i].type) for i in range(len(names[side]))],
+                                    names=names[side]).to_pandas()
+
+    def stocks(batches) -> Iterator[tuple]:
+        """(day, code, left parts, right parts)."""
+        held, parts = None, ([], [])
+        for batch in batches:
+            keys = batch.select([*KEYS, "_side"]).to_pandas()
+            starts = _starts(keys, [*KEYS, "_side"])
+            for lo, hi in zip(starts, starts[1:]):
+                day, code, side = keys.iloc[lo]
+                if held not in (None, (day, code)):
+                    yield *held, *parts
+                    parts = ([], [])
+                held = (day, code)
+                parts[side].append(batch.column(f"_{side}").slice(lo, hi - lo))
+        if held is not None:
+            yield *held, *parts
+
+    def run(batches):
+        pending: list[dict] = []
+
+        def full() -> pa.RecordBatch:
+            columns = [pa.array([r.get(f.name) for r in pending], f.type, from_pandas=True) for f in out]
+            return pa.RecordBatch.from_arrays(columns, schema=out)
+
+        for day, code, *parts in stocks(batches):
+            value = fn(code, day, frame(parts[0], 0), frame(parts[1], 1))
+            pending += [{**r, "trade_date": day} for r in result_rows(value, code, [""])]
+            if len(pending) >= 5_000:
+                yield full()
+                pending = []
+        if pending:
+            yield full()
+
+    return _together(both, KEYS, ["_side"]).mapInArrow(run, schema)
+
+
+def emit(results: DataFrame, hook: SliceHook) -> None:
+    """Hand the rows of every (day, slice) to an output hook, on the executors and in one job."""
+    ship_package(results.sparkSession)
+    results.sparkSession.dataSource.register(hook_source(hook))
+    keys = ["trade_date", "end_time"]
+    results.repartition(*keys).sortWithinPartitions(*keys).write.format(HOOK_FORMAT).mode("append").save()
 
 
 def momentum(panel: DataFrame, n: int, code: str = "code", day: str = "trade_date", close: str = "close") -> DataFrame:

@@ -16,7 +16,7 @@ from tickloom.plans.registry import query
 from tickloom.plans.state_queries import event_feeds
 from tickloom.plans.views import day, view
 from tickloom.session import scratch_path
-from tickloom.sources.results import write_results
+from tickloom.sources.hook import ParquetHook
 
 
 @query("ud1_expression_factors", "v_tick", """
@@ -81,6 +81,33 @@ def _batch_factor(data: dict, codes: list, date, end_times: list) -> dict:
     return out
 
 
+@query("ud1_streamed_factors", "v_tick v_deal_ev", """
+, f AS (SELECT trade_date, code, seq_num, 0::DOUBLE AS v FROM v_tick UNION ALL SELECT trade_date, code, seq_num, volume::DOUBLE FROM v_deal_ev)
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, count(*)::DOUBLE AS "F_rows", max(seq_num)::DOUBLE AS "F_last", sum(v) AS "F_volume" FROM f GROUP BY 1, 2""")
+def ud1_streamed(spark, sf):
+    """Frames of a stock come one after the other; the function keeps three numbers."""
+    def fold(code, date, frames) -> dict:
+        rows, last, volume = 0, 0, 0.0
+        for frame in frames:
+            rows, last = rows + len(frame), int(frame["seq_num"].iloc[-1])
+            volume += float(frame.loc[frame["kind"] == "deal", "volume"].sum())
+        return {"F_rows": float(rows), "F_last": float(last), "F_volume": volume}
+
+    return fac.streamed_factors(_bundle(spark, sf), fold, "F_rows double, F_last double, F_volume double").select(day(), "code", "F_rows", "F_last", "F_volume")
+
+
+_ENDS = tuple(f"{9 + m // 60:02d}{m % 60:02d}00" for m in range(30, 360, 5))
+
+
+@query("ud2_many_slices", "v_tick v_deal_ev", _SLICED.replace("(VALUES ('103000', 37800), ('143000', 52200)) v(end_time, s)",
+    "(SELECT lpad(CAST(9 + m // 60 AS VARCHAR), 2, '0') || lpad(CAST(m % 60 AS VARCHAR), 2, '0') || '00' AS end_time, (9 * 60 + m) * 60 AS s FROM range(30, 360, 5) r(m))").replace(
+    "SELECT CAST(b.trade_date", "SELECT code, count(*) AS slices, count(DISTINCT \"F_bid\") AS bids FROM (SELECT CAST(b.trade_date") + ") GROUP BY 1")
+def ud2_many(spark, sf):
+    """A slice every five minutes: each stock is cut once and every slice is a view."""
+    out = fac.batch_factors(_bundle(spark, sf), _batch_factor, "F_bid double, F_volume double", 4, _ENDS)
+    return out.groupBy("code").agg(F.count("*").alias("slices"), F.countDistinct("F_bid").alias("bids"))
+
+
 @query("ud2_batch_factors", "v_tick v_deal_ev", _SLICED)
 def ud2(spark, sf):
     out = fac.batch_factors(_bundle(spark, sf), _batch_factor, "F_bid double, F_volume double", 4, ("103000", "143000"))
@@ -143,14 +170,9 @@ def ud5(spark, sf):
 @query("ud7_output_hook", "v_tick v_deal_ev", _SLICED.replace("SELECT CAST(b.trade_date", "SELECT end_time, count(*) AS rows FROM (SELECT CAST(b.trade_date") + ") GROUP BY 1")
 def ud7(spark, sf):
     root = scratch_path(spark, "hook")
-    out = fac.batch_factors(_bundle(spark, sf), _batch_factor, "F_bid double, F_volume double", 4, ("103000", "143000")).persist()
-    try:
-        fac.emit(out, lambda rows, end: write_results(rows, f"{root}/{end}", "minutes"), ("103000", "143000"))
-    finally:
-        out.unpersist()
-    schema = "code STRING, F_bid FLOAT, F_volume FLOAT, trade_date DATE, end_time STRING"
-    parts = [spark.read.schema(schema).option("basePath", f"{root}/{e}/minutes-feature").parquet(f"{root}/{e}/minutes-feature") for e in ("103000", "143000")]
-    return parts[0].unionByName(parts[1]).groupBy("end_time").agg(F.count("*").alias("rows"))
+    fac.emit(fac.batch_factors(_bundle(spark, sf), _batch_factor, "F_bid double, F_volume double", 4, ("103000", "143000")), ParquetHook(root))
+    rows = spark.read.schema("code STRING, F_bid DOUBLE, F_volume DOUBLE, trade_date DATE, end_time STRING").parquet(root)
+    return rows.groupBy("end_time").agg(F.count("*").alias("rows"))
 
 
 _MODEL = {"f_range": 0.5, "f_close": -0.25, "f_volume": 0.125}
