@@ -103,3 +103,25 @@ def test_dedupe_plan_limits_before_the_shuffle(skewed):
     plan = keyed.keep_first(skewed[0], ["key", "seq"], [F.col("value"), F.col("tie")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 7, 100, 1_000_000])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_splits_heavy_keys_by_their_count(spark, rows_per_task, how):
+    big = spark.range(1000).select(F.when(F.col("id") < 700, 1).when(F.col("id") < 990, F.col("id") % 40).alias("key"), F.col("id").alias("n"))
+    small = spark.range(30).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
+    got = keyed.salted_join(big, small, ["key"], how, ["n"], rows_per_task=rows_per_task)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, big.join(small, ["key"], how).collect()), key=str)
+
+
+def test_only_rows_of_heavy_keys_are_copied(spark):
+    counts = spark.createDataFrame([("hot", 25), ("warm", 10), ("cold", 1)], "key string, _rows long")
+    assert {r["key"]: r["_salts"] for r in keyed.heavy_keys(counts, ["key"], rows_per_task=10).collect()} == {"hot": 3}
+    assert keyed.heavy_keys(counts, ["key"]).count() == 0  # flat data: nothing is split
+
+
+def test_totals_next_to_rows_whatever_is_split(skewed):
+    df = skewed[0] if isinstance(skewed, tuple) else skewed
+    want = sorted(map(str, keyed.attach_totals(df, ["key"], ["tie"], _total=F.sum("value")).collect()))
+    for n in (1, 13):
+        assert sorted(map(str, keyed.attach_totals(df, ["key"], ["tie"], rows_per_task=n, _total=F.sum("value")).collect())) == want

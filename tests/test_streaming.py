@@ -107,6 +107,30 @@ def test_json_payloads(spark, tmp_path):
     assert sorted((r.file_date, r.code, r.F) for r in got.collect()) == [("20260105", "a", 1.0), ("20260105", "b", 2.0), ("20260106", "c", 3.0)]
 
 
+def test_result_files_are_listed_unopened(spark, tmp_path):
+    from tickloom.operators import factors
+    from tickloom.sources.hook import NamedFilesHook
+    rows = spark.sql("SELECT DATE '2026-01-05' + CAST(id % 2 AS INT) AS trade_date, CASE WHEN id % 3 = 0 THEN '' ELSE concat('_s', id % 3, '_p0') END AS end_time, id AS n FROM range(30)")
+    factors.emit(rows, NamedFilesHook(str(tmp_path)))
+    (tmp_path / "20260107_s1.parquet").write_bytes(b"not parquet")  # listing opens no file
+    got = {(r.file_date, r.shard, r.part) for r in results.list_files(spark, str(tmp_path)).where("bytes > 0").collect()}
+    assert got == {(d, s, p) for d in ("20260105", "20260106") for s, p in ((None, None), (1, 0), (2, 0))} | {("20260107", 1, None)}
+    (tmp_path / "20260107_s1.parquet").unlink()
+    read = results.read_results(spark, str(tmp_path))
+    assert read.count() == 30 and results.prefer_files(read).count() == 20 and results.prefer_files(read, "full").count() == 10
+
+
+def test_variant_payloads(spark, tmp_path):
+    for name, text in (("20260105_s0", '[{"code": "a", "F": 1.5}, {"code": "b", "G": "x"}]'), ("20260106", '{"records": [{"code": "c", "H": [1]}]}'),
+                       ("20260107", '{"code": "d"}'), ("20260108", "no json"), ("20260109", "[]")):
+        (tmp_path / f"{name}.json").write_text(text)
+    take = lambda n, t: F.try_variant_get("record", f"$.{n}", t).alias(n)
+    got = results.read_json_variants(spark, str(tmp_path)).select("file_date", "shard", take("code", "string"), take("F", "double"), take("G", "string"), take("H", "array<int>"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("20260105", 0, "a", 1.5, None, None), ("20260105", 0, "b", None, "x", None), ("20260106", None, "c", None, None, [1]),
+        ("20260107", None, "d", None, None, None)], key=str)
+
+
 def test_archive_is_pruned_and_replaced_by_day(spark, tmp_path):
     root = str(tmp_path)
     ticks = view(spark, SF, "v_tick").withColumn("update_time", F.col("time"))

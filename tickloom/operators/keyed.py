@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tickloom.session import settle
 
-SALTS = 16
+#: Rows of one key that a task may join; a key with more is split.
+ROWS_PER_TASK = 1_000_000
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -31,32 +32,42 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                spread_by: list[str] | None = None, salts: int = SALTS) -> DataFrame:
-    """Join many rows per key to one row per key, splitting each key ``salts`` ways.
+def heavy_keys(counts: DataFrame, keys: list[str], rows: str = "_rows", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more rows than a task may hold, and how many ``_salts`` each is split by.
 
-    ``spread_by`` names columns that differ between rows of a key (all other
-    columns by default); naming few keeps the scan narrow. ``small`` grows by
-    the factor ``salts``. No side is hinted: Spark measures ``small`` at run
-    time and broadcasts it only under its threshold.
+    There are at most total rows / ``rows_per_task`` of them: a million at 10**12 rows.
+    """
+    return counts.where(F.col(rows) > rows_per_task).select(*keys, F.ceil(F.col(rows) / rows_per_task).cast("int").alias("_salts"))
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", spread_by: list[str] | None = None,
+                heavy: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Join many rows per key to one row per key, splitting only heavy keys, each by its own count.
+
+    ``heavy`` comes from ``heavy_keys``; without it the rows per key of ``big`` are counted first, map-side.
+    ``spread_by`` names columns that differ between rows of a key (all other columns by default); naming
+    few keeps the scan narrow. Only the ``small`` rows of heavy keys are copied. The heavy keys are
+    broadcast (see their bound); how the two sides meet is left to Spark.
     """
     spread_by = spread_by or [c for c in big.columns if c not in keys]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", copies)
+    if heavy is None:
+        heavy = heavy_keys(big.groupBy(*keys).agg(F.count("*").alias("_rows")), keys, rows_per_task=rows_per_task)
+    salts, heavy = F.coalesce("_salts", F.lit(1)), F.broadcast(heavy)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), salts).cast("int")
+    left = big.join(heavy, keys, "left").withColumn("_salt", salt).drop("_salts")
+    right = small.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def attach_totals(df: DataFrame, keys: list[str], spread_by: list[str] | None = None,
+def attach_totals(df: DataFrame, keys: list[str], spread_by: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK,
                   **aggregates: Column) -> DataFrame:
     """Group totals next to every row: partial aggregation plus a salted join.
 
     Equal to ``agg over (partition by keys)``, which would instead move each
-    whole group into one task.
+    whole group into one task. The totals also tell which keys are heavy.
     """
-    totals = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggregates.items()])
-    return salted_join(df, totals, keys, "left", spread_by)
+    totals = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggregates.items()], F.count("*").alias("_rows"))
+    return salted_join(df, totals.drop("_rows"), keys, "left", spread_by, heavy_keys(totals, keys, rows_per_task=rows_per_task))
 
 
 def share_within(df: DataFrame, keys: list[str], value: str, into: str = "weight",

@@ -7,11 +7,13 @@ from pyspark.sql import types as T
 
 from tickloom.functions import times, values
 from tickloom.operators import calendar as cal
+from tickloom.operators import factors
 from tickloom.operators import panel as pan
 from tickloom.plans.registry import query
 from tickloom.plans.views import day, view
 from tickloom.session import scratch_path
 from tickloom.sources import archive, results, vendor
+from tickloom.sources.hook import NamedFilesHook
 
 
 def _archived(spark, sf, name="v_tick", kind="tick"):
@@ -129,21 +131,26 @@ _FILES = """
   CAST(CASE WHEN day(trade_date) % 3 = 0 OR seq_num % 4 = 0 THEN NULL ELSE seq_num % 2 END AS INTEGER) AS part, seq_num FROM v_tick)"""
 
 
-def _result_rows(spark, sf):
-    """Rows under the result files they would lie in: a merged file a day, and shards on two days of three."""
-    c = F.col
-    stem = F.date_format("trade_date", "yyyyMMdd")
+def _result_files(spark, sf):
+    """Result files on the shared folder: a merged file a day, and shards in parts on two days of three."""
+    c, root = F.col, scratch_path(spark, "result-files")
     whole = (F.dayofmonth("trade_date") % 3 == 0) | (c("seq_num") % 4 == 0)
-    shard = F.concat(stem, F.lit("_s"), (c("seq_num") % 4).cast("string"), F.lit("_p"), (c("seq_num") % 2).cast("string"))
-    rows = view(spark, sf, "v_tick").select(
-        "seq_num", F.concat(F.lit("results/"), F.when(whole, stem).otherwise(shard), F.lit(".parquet")).alias("_file"))
-    return rows.withColumns(results.file_parts(c("_file")))
+    shard = F.concat(F.lit("_s"), (c("seq_num") % 4).cast("string"), F.lit("_p"), (c("seq_num") % 2).cast("string"))
+    rows = view(spark, sf, "v_tick").select("trade_date", F.when(whole, F.lit("")).otherwise(shard).alias("end_time"), "seq_num")
+    factors.emit(rows, NamedFilesHook(root))
+    return root
 
 
 @query("s8_result_listing", "v_tick", _FILES + """
 SELECT file_date, shard, part, count(*) AS rows FROM n GROUP BY 1, 2, 3""")
 def s8_listing(spark, sf):
-    return results.list_results(_result_rows(spark, sf)).select("file_date", "shard", "part", "rows")
+    root = _result_files(spark, sf)
+    counted = results.list_results(results.read_results(spark, root)).select("_file", "rows")
+    # Both sides name a file by its path; a scheme may be written with one slash or three.
+    name = lambda: F.substring_index(F.col("_file"), "/", -1)
+    files = results.list_files(spark, root).where("bytes > 0").withColumn("_name", name())
+    return files.join(counted.withColumn("_name", name()).drop("_file"), "_name", "left").select(
+        "file_date", "shard", "part", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
 
 
 @query("s9_shard_modes", "v_tick", _FILES + """
@@ -151,7 +158,7 @@ def s8_listing(spark, sf):
 SELECT 'auto' AS mode, seq_num FROM d WHERE (shard IS NOT NULL) = (sharded = 1)
 UNION ALL SELECT 'shards', seq_num FROM d WHERE shard IS NOT NULL UNION ALL SELECT 'full', seq_num FROM d WHERE shard IS NULL""")
 def s9_modes(spark, sf):
-    rows = _result_rows(spark, sf)
+    rows = results.read_results(spark, _result_files(spark, sf))
     auto, shards, full = (results.prefer_files(rows, m).select(F.lit(m).alias("mode"), "seq_num") for m in ("auto", "shards", "full"))
     return auto.unionByName(shards).unionByName(full)
 
@@ -170,6 +177,24 @@ def s9(spark, sf):
     return results.read_json_results(spark, path, record, multi_line=False).select(*names)
 
 
+@query("s9_variant_results", "v_daily", _FACTORS + """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, code, CASE WHEN day(trade_date) % 2 = 0 THEN "F_range" END AS "F_range", CASE WHEN day(trade_date) % 2 = 1 THEN "F_drift" END AS "F_drift" FROM f""")
+def s9_variant(spark, sf):
+    """One file a day, as a list or as an object with records; odd and even days carry other fields."""
+    path, c = scratch_path(spark, "json-variants"), F.col
+    rows = _factors(spark, sf).select("trade_date", "code", "F_range", "F_drift")
+    even = F.dayofmonth("trade_date") % 2 == 0
+    record = F.to_json(F.struct(day(), "code", F.when(even, c("F_range")).alias("F_range"), F.when(~even, c("F_drift")).alias("F_drift")))
+    listed = F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]"))
+    # A day's stocks in one file: the vendor's form, bounded by the market.
+    days = rows.groupBy("trade_date").agg(listed.alias("l")).select(
+        c("trade_date").alias("_day"), F.when(F.dayofmonth("trade_date") % 3 == 0, F.concat(F.lit('{"records":'), c("l"), F.lit("}"))).otherwise(c("l")).alias("value"))
+    days.repartition("_day").write.partitionBy("_day").text(path)
+    got = results.read_json_variants(spark, path)
+    field = lambda n, t: F.variant_get("record", f"$.{n}", t).alias(n)
+    return got.select(field("trade_date", "string"), field("code", "string"), field("F_range", "double"), field("F_drift", "double"))
+
+
 @query("s10_source_precedence", "v_daily v_tick", """
 , old AS (SELECT trade_date, id_qi AS code, close AS v FROM v_daily WHERE trade_date < DATE '2024-01-15'),
 live AS (SELECT trade_date, code, max(seq_num) AS v FROM v_tick WHERE trade_date >= DATE '2024-01-10' GROUP BY 1, 2)

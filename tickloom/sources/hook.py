@@ -47,7 +47,7 @@ class ParquetHook(SliceHook):
             fs.LocalFileSystem(), f"{self.root}/{path}")
 
     def stage(self, day, end_time, rows):
-        name = f"end_time={end_time}/{day}-{uuid.uuid4().hex}.parquet"
+        name = self._name(day, end_time)
         files, path = self._place(f"_staged/{name}")
         files.create_dir(path.rpartition("/")[0])
         first = next(rows)
@@ -57,6 +57,9 @@ class ParquetHook(SliceHook):
                 writer.write_batch(batch)
         return name
 
+    def _name(self, day: object, end_time: str) -> str:
+        return f"end_time={end_time}/{day}-{uuid.uuid4().hex}.parquet"
+
     def publish(self, staged):
         for name in staged:
             files, path = self._place(name)
@@ -70,6 +73,15 @@ class ParquetHook(SliceHook):
                 files.delete_file(path)
 
 
+@dataclass
+class NamedFilesHook(ParquetHook):
+    """Result files under the names their readers look for: ``<yyyymmdd><slice>.parquet``, the slice being
+    empty for a day's merged file or a suffix such as ``_s2_p1`` for a part of a shard."""
+
+    def _name(self, day, end_time):
+        return f"{day:%Y%m%d}{end_time}.parquet"
+
+
 @dataclass
 class _Staged(WriterCommitMessage):
     names: list[str]

@@ -44,6 +44,22 @@ def list_results(df: DataFrame) -> DataFrame:
     return df.groupBy("_file", "file_date", "file_end_time", "shard", "part").agg(F.count("*").alias("rows"))
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The result files below ``path`` with name parts, bytes and time of change, whatever their format; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("_file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed")).withColumns(
+        file_parts(F.col("_file")))
+
+
+def read_json_variants(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON result files whose fields differ, as ``VARIANT``: a file is one record, a list of them, or an
+    object with a list ``records``. A file that is no JSON gives no rows; take fields with ``variant_get``."""
+    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    whole = text.select(F.col("_metadata.file_path").alias("_file"), F.try_parse_json("value").alias("_v"))
+    listed = F.coalesce(F.try_variant_get("_v", "$.records", "array<variant>"), F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))
+    return whole.where(F.col("_v").isNotNull()).select("_file", F.explode(listed).alias("record")).withColumns(file_parts(F.col("_file")))
+
+
 def read_json_results(spark: SparkSession, path: str, record: T.StructType, multi_line: bool = True) -> DataFrame:
     """JSON results: a file (or a line) is an array of records or an object with ``records``."""
     schema = T.StructType(record.fields + [T.StructField("records", T.ArrayType(record))])
