@@ -7,6 +7,8 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import by_id
+from pyspark.sql import functions as F
+
 from tickloom.llm import external_shuffle, mixing
 
 
@@ -77,6 +79,33 @@ def test_shuffle_over_many_buckets_is_a_permutation(spark):
     assert 2300 < rising < 2700
 
 
+def test_copies_heavier_than_a_bucket_are_dealt(spark):
+    """A third of all rows share id and text; no bucket holds them whole, and every row keeps one place."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("long").alias("doc_id"),
+                                    F.when(F.col("id") % 3 == 0, "copy " * 20).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    out = external_shuffle.shuffled(rows, shards=3, bucket_bytes=4000)
+    got = out.select("record.doc_id", "shard", "slot").collect()
+    places = sorted(r["slot"] * 3 + r["shard"] for r in got)
+    assert places == list(range(3000))
+    hot = sorted(r["slot"] * 3 + r["shard"] for r in got if r["doc_id"] == 7)
+    assert len(hot) == 1000 + (7 % 3 != 0)
+    longest, run = 1, 1
+    for a, b in zip(hot, hot[1:]):
+        run = run + 1 if b == a + 1 else 1
+        longest = max(longest, run)
+    assert longest < 200  # copies lie in many buckets, among other rows
+
+
+def test_query_and_written_shards_agree(spark, docs, tmp_path):
+    """Extra columns change neither shard nor slot."""
+    external_shuffle.write_shards(docs, str(tmp_path / "out"), bucket_bytes=1 << 16)
+    files = spark.read.parquet(str(tmp_path / "out"))
+    assert files.count() == docs.count()
+    want = {(r["doc_id"], r["shard"], r["slot"]) for r in external_shuffle.shard_table(docs, bucket_bytes=1 << 16).collect()}
+    narrow = {(r["doc_id"], r["shard"], r["slot"]) for r in external_shuffle.shard_table(docs.select("text", "doc_id"), bucket_bytes=1 << 16).collect()}
+    assert want == narrow == {(r["doc_id"], r["_shard"], r["slot"]) for r in files.collect()}
+
+
 def test_written_shards(spark, docs, tmp_path):
     external_shuffle.write_shards(docs.select("doc_id", "text"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
