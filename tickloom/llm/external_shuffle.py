@@ -64,7 +64,8 @@ def shuffled(records: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes
     sizes = placed.groupBy("bucket").count()
     # One row per bucket: what fits in memory once is one row here.
     starts = F.sum("count").over(_by_bucket()) - F.col("count")
-    at = placed.join(sizes.select("bucket", starts.alias("start")), "bucket")
+    # Sixteen bytes a bucket of `bucket_bytes`: records stay where they lie.
+    at = placed.join(F.broadcast(sizes.select("bucket", starts.alias("start"))), "bucket")
     position = F.col("start") + F.col("place")
     return at.select("record", F.pmod(position, F.lit(shards)).cast("int").alias("shard"),
                      F.floor(position / shards).cast("long").alias("slot"))
