@@ -181,7 +181,7 @@ def test_losses_by_hand(spark, docs, labels):
     sides = [[texts[i] for i in texts if i % 2], list(texts.values())]
     counts = [(collections.Counter(w for t in s for w in t), collections.Counter(p for t in s for p in zip(t, t[1:]))) for s in sides]
     totals = [sum(c.values()) for c, _ in counts]
-    vocab = {w for w, n in counts[1][0].items() if n >= loss_difference.WORD_SHARE * totals[1]}
+    vocab = {w for w, n in counts[1][0].items() if n >= loss_difference.SHARE * totals[1]}
     for i, w in texts.items():
         if not w:
             assert got[i] == (0, None, None, 0.0)
@@ -212,6 +212,31 @@ def test_losses_of_rare_words_are_their_own(spark):
             assert math.isclose(got[i][place], loss / len(w), rel_tol=1e-9)
 
 
+def test_losses_by_hand_when_most_words_move(spark, rows, labels, monkeypatch):
+    """The same losses, bit by bit, wherever words and bigrams are priced, and with copies over many groups."""
+    monkeypatch.setattr(tokens, "GROUP", 2000)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows * 2], "doc_id long, text string").repartition(5)
+    near = loss_difference.score(docs, labels).collect()
+    for share, bucket in ((2e-3, 500), (2e-2, 200), (2.0, 1000)):
+        monkeypatch.setattr(loss_difference, "SHARE", share)
+        monkeypatch.setattr(loss_difference, "PER_BUCKET", bucket)
+        far = loss_difference.score(docs, labels).collect()
+        key = lambda r: (r["doc_id"], r["n_words"])
+        for x, y in zip(sorted(near, key=key), sorted(far, key=key), strict=True):
+            assert key(x) == key(y)
+            for c in ("target_loss", "background_loss"):
+                assert x[c] == y[c] or math.isclose(x[c], y[c], rel_tol=1e-9)
+
+
+def test_losses_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert loss_difference.score(docs, none).collect() == []
+    one = spark.createDataFrame([(None, "a b a b"), (1, None), (1, "c")], "doc_id long, text string")
+    got = loss_difference.score(one, none).collect()
+    assert sorted(r["n_words"] for r in got) == [0, 1, 4] and all(r["score"] == 0.0 for r in got if r["n_words"] == 0)
+
+
 def test_licence_files_and_wrapped_headers(spark):
     """Whole licence files as they are wrapped in repositories, with holders, and a header broken over lines."""
     import textwrap
