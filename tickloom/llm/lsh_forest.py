@@ -304,7 +304,7 @@ def crowded(keys: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _commonness(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of each counter occur."""
+    """How often the shingles of each counter occur, as eighths of a doubling in one byte."""
     def run(batches):
         for batch in batches:
             at = [_unpacked(x) >> np.uint64(64 - COMMON) for x in batch.column("shingles").to_pylist()]
@@ -312,8 +312,8 @@ def _commonness(sets: DataFrame) -> np.ndarray:
             yield pa.record_batch({"k": pa.array(k.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     rows = sets.select("shingles").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2**COMMON at most
-    out = np.zeros(1 << COMMON, np.int64)
-    out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
+    out = np.zeros(1 << COMMON, np.uint8)
+    out[rows.column("k").to_numpy()] = np.minimum(8 * np.log2(rows.column("n").to_numpy()), 255)
     return out
 
 
