@@ -3,12 +3,13 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.conftest import by_id
-from tickloom.llm import components, lsh_forest, substrings, tokens
+from tickloom.llm import components, lsh_forest, store, substrings, tokens
 
 
 def exact_components(rows):
@@ -122,3 +123,18 @@ def test_gram_hashes_follow_words_only(k):
     again = np.concatenate([h[20:], h])
     assert tokens.grams(again, k)[20:].tolist() == tokens.grams(h, k).tolist()
     assert len(tokens.grams(h, 41)) == 0
+
+
+def test_batches_are_bounded_inside_only(spark):
+    was = spark.conf.get(store.ARROW_ROWS)
+    lengths = lambda: {n for (n,) in spark.range(0, 5000, 1, 1).mapInArrow(
+        lambda it: (pa.record_batch({"n": pa.array([b.num_rows], pa.int64())}) for b in it), "n bigint").collect()}
+    with store.batches_of(spark, 1000):
+        assert lengths() == {1000}
+        with store.batches_of(spark, 2000):
+            assert lengths() == {1000}
+    assert spark.conf.get(store.ARROW_ROWS) == was
+    with pytest.raises(ZeroDivisionError):
+        with store.batches_of(spark, 7):
+            1 / 0
+    assert spark.conf.get(store.ARROW_ROWS) == was

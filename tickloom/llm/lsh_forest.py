@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import tokens
 from tickloom.llm.bitmaps import bitmap, holds
 from tickloom.llm.components import components
-from tickloom.llm.store import written
+from tickloom.llm.store import batches_of, written
 from tickloom.session import ship_package
 
 SHINGLE = 5
@@ -42,6 +42,8 @@ SLOTS = TREES * DEPTH
 #: Signatures of pairs at the threshold agree in 0.75 of 192 slots, with a deviation of 0.031.
 LEAST_AGREEMENT = 0.59
 ROWS_PER_TASK = 200_000
+#: Rows of a batch that a Python worker holds: texts, full sets or pairs of full sets.
+BATCH_ROWS = 1_000
 #: 2**COMMON counters of shingles, for the order of prefixes; a full one costs time and never pairs.
 COMMON = 22
 #: Slots of a pair at the threshold agree in their two lowest bits in 0.8125 of 192, with a deviation of 0.028.
@@ -268,21 +270,26 @@ def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _crossing(near, tested, written(confirmed(tested, sets, percent), "forest-links"), sets, percent)
 
 
-def _regions(keys: DataFrame) -> DataFrame:
-    """``region`` (tree and first ``SHALLOW`` slots) and ``node`` of every key."""
+def _regions(keys: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``region`` (tree and first ``SHALLOW`` slots) and ``node`` of every key, or of those in the regions
+    ``wanted`` and of few others; no key of a large region is moved to one task."""
+    shared = keys.sparkSession.sparkContext.broadcast(None if wanted is None else bitmap(wanted))
+
     def run(batches):
         for batch in batches:
             k = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, 29)
             region = np.zeros((len(k), 8), np.uint8)
             region[:, 7 - 2 * SHALLOW:] = k[:, :1 + 2 * SHALLOW]
             node = (k[:, 17:25].copy().view(">u8").ravel() ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)
-            yield pa.record_batch({"region": pa.array(region.view(">i8").ravel().astype(np.int64)), "node": pa.array(node)})
+            region = region.view(">i8").ravel().astype(np.int64)
+            keep = np.ones(len(k), bool) if shared.value is None else holds(shared.value, region)
+            yield pa.record_batch({"region": pa.array(region[keep]), "node": pa.array(node[keep])})
 
     return keys.mapInArrow(run, "region bigint, node bigint")
 
 
 def _within(entries: DataFrame, regions: DataFrame) -> DataFrame:
-    """Entries of ``regions``, and of few others; no key of a large region is moved to one task."""
+    """Entries of ``regions``, and of few others."""
     shared = entries.sparkSession.sparkContext.broadcast(bitmap(regions))
 
     def run(batches):
@@ -294,10 +301,9 @@ def _within(entries: DataFrame, regions: DataFrame) -> DataFrame:
 
 def crowded(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """``node`` and ``root`` of all nodes in regions above ``REGION`` rows with more than one component."""
-    entries = _regions(keys)
-    large = written(entries.groupBy("region").count().filter(F.col("count") > REGION).select("region"), "forest-large")
+    large = written(_regions(keys).groupBy("region").count().filter(F.col("count") > REGION).select("region"), "forest-large")
     # No rows of a region that is small: the forest has looked at all its pairs.
-    held = written(_within(entries, large).join(labels, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")), "forest-held")
+    held = written(_regions(keys, large).join(labels, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")), "forest-held")
     mixed = held.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
     mixed = written(mixed.filter((F.col("n") > REGION) & (F.col("x") < F.col("y"))).select("region"), "forest-mixed")
     return _within(held.select("region", "node"), mixed).select("node").distinct().join(held.select("node", "root").distinct(), "node")
@@ -409,8 +415,20 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``docs``."""
     if percent < 75:
         raise ValueError("candidates are made for 75 percent and more; below, links would be lost")
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        signed, nodes, labels = _grouped(docs, percent)
+    smallest = (nodes.select("node", "first").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    lowest = smallest.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_node = smallest.join(lowest, "root").select("node", "component_id")
+    out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: signatures of all documents, their nodes, and the root of every linked node."""
     signed = written(signatures(docs), "forest-signed")
     nodes = written(signed.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.first("sig").alias("sig")).mapInArrow(
@@ -428,13 +446,7 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
         more = written(agreeing(exact_pairs(told, percent), nodes), "forest-exact")
         nothing = more.select("a", "b").limit(0)
         labels = components(_crossing(more, nothing, found, apart, percent))
-    smallest = (nodes.select("node", "first").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    lowest = smallest.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_node = smallest.join(lowest, "root").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return signed, nodes, labels
 
 
 def _low_bytes(batches):

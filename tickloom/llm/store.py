@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.session import scratch_path
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -20,6 +25,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside hands Python workers Arrow batches of ``rows`` rows at most, whole texts and
+    sets being long rows. A smaller setting of the session stays."""
+    was = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows if int(was) <= 0 else min(rows, int(was))))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, was)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of ``df``, whatever extra columns it carries."""
     taken, name = {c.lower() for c in df.columns}, base
