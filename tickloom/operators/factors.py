@@ -90,6 +90,8 @@ def expression_factors(df: DataFrame, keys: list[str], factors: dict[str, Column
 
 
 Frames = Iterator[pd.DataFrame]
+#: A slice end behind every time.
+WHOLE_DAY = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
@@ -123,14 +125,14 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
 
 
-def _together(df: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
-    """Rows of a key in one task, keys consecutive.
+def _together(df: DataFrame, keys: list[str], order: list[str] = (), walk: list[str] = ()) -> DataFrame:
+    """Rows of a key in one task, keys consecutive, in the order of ``walk`` if given.
 
     The partition count is stated because run-time coalescing judges bytes,
     while the cost here is Python time.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    return df.repartition(n, *keys).sortWithinPartitions(*(walk or keys), *order)
 
 
 def _starts(frame: pd.DataFrame, keys: list[str]) -> list[int]:
@@ -145,21 +147,47 @@ def _starts(frame: pd.DataFrame, keys: list[str]) -> list[int]:
     return [*np.flatnonzero(changed).tolist(), len(frame)]
 
 
-def _runs(batches: Frames, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """(key, rows) of consecutive equal keys in sorted batches; one key is held at a time."""
+class Rows:
+    """Some consecutive rows of a batch; its columns are opened once for all rows cut out of it."""
+
+    __slots__ = ("_batch", "_columns", "_lo", "_hi")
+
+    def __init__(self, batch: pd.DataFrame, columns: dict | None = None, lo: int = 0, hi: int | None = None):
+        self._batch, self._columns = batch, {} if columns is None else columns
+        self._lo, self._hi = lo, len(batch) if hi is None else hi
+
+    def __len__(self) -> int:
+        return self._hi - self._lo
+
+    def __getitem__(self, column: str) -> np.ndarray:
+        if column not in self._columns:
+            self._columns[column] = self._batch[column].to_numpy()
+        return self._columns[column][self._lo:self._hi]
+
+    @property
+    def frame(self) -> pd.DataFrame:
+        return self._batch.iloc[self._lo:self._hi]
+
+
+def _runs(batches: Frames, keys: list[str]) -> Iterator[tuple[tuple, Rows]]:
+    """(key, rows) of consecutive equal keys in sorted batches; one key is held at a time besides the batch."""
     held_key, held = None, []
+
+    def joined() -> Rows:
+        return Rows(pd.concat([r.frame for r in held])) if len(held) > 1 else held[0]
+
     for batch in batches:
-        starts = _starts(batch, keys)
+        starts, opened = _starts(batch, keys), {}
         columns = [batch[k].to_numpy() for k in keys]
         for lo, hi in zip(starts, starts[1:]):
-            key = tuple(c[lo] for c in columns)
+            key = tuple([c[lo] for c in columns])
             if held and key != held_key:
-                yield held_key, pd.concat(held) if len(held) > 1 else held[0]
+                yield held_key, joined()
                 held = []
             held_key = key
-            held.append(batch.iloc[lo:hi])
+            held.append(Rows(batch, opened, lo, hi))
     if held:
-        yield held_key, pd.concat(held) if len(held) > 1 else held[0]
+        yield held_key, joined()
 
 
 def _pieces(batches: Frames, keys: list[str]) -> Iterator[tuple[tuple, Iterator[pd.DataFrame]]]:
@@ -222,30 +250,77 @@ def fold_factors(df: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
 
 
 class StockData:
-    """Frames of one stock and day as a frame function sees them.
+    """One stock and day as a frame function sees it.
 
-    ``tick``, ``deal`` and ``order`` are cut out of the bundle when first asked for, in sequence order;
+    ``tick``, ``deal`` and ``order`` are frames, cut out when first asked for, in sequence order;
     ``history[offset]`` holds earlier days. All slices of a stock share the cut frames, and a slice is a
-    view up to a place found by bisection, so many slices cost little more than one.
+    view up to a place found by bisection. A frame costs some hundred times a plain array, so functions over
+    many stocks or slices read ``column``, and ``last_rows`` and ``totals`` answer for all slices at once.
     """
 
-    def __init__(self, code: str, rows: pd.DataFrame, until_us: int | None = None, feeds: dict | None = None):
-        self.code, self._rows, self._until = code, rows, until_us
+    def __init__(self, code: str, rows: pd.DataFrame | Rows, until_us: int | None = None, feeds: dict | None = None, places: dict | None = None):
+        self.code, self._rows, self._until = code, rows if isinstance(rows, Rows) else Rows(rows), until_us
         self._feeds = {} if feeds is None else feeds
+        self._places = {} if places is None else places
+
+    def _place(self, kind: str, offset: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Row numbers of one feed and day, their times, and whether time never falls from row to row."""
+        if (kind, offset) not in self._places:
+            at = np.flatnonzero((self._rows["kind"] == kind) & (self._rows["day_offset"] == offset))
+            us = self._rows["time_us"][at]
+            self._places[kind, offset] = at, us, bool((us[1:] >= us[:-1]).all() and (not len(us) or us[-1] == us[-1]))
+        return self._places[kind, offset]
 
     def _whole(self, kind: str, offset: int) -> tuple[pd.DataFrame, np.ndarray, bool]:
         """Rows of one feed and day, their times, and whether time never falls from row to row."""
         if (kind, offset) not in self._feeds:
-            own = self._rows[(self._rows["kind"].to_numpy() == kind) & (self._rows["day_offset"].to_numpy() == offset)]
-            us = own["time_us"].to_numpy()
-            self._feeds[kind, offset] = own, us, bool((us[1:] >= us[:-1]).all())
+            at, us, rising = self._place(kind, offset)
+            self._feeds[kind, offset] = self._rows.frame.iloc[at], us, rising
         return self._feeds[kind, offset]
 
-    def _frame(self, kind: str, offset: int = 0) -> pd.DataFrame:
-        own, us, rising = self._whole(kind, offset)
+    def _cut(self, own, us: np.ndarray, rising: bool, offset: int):
+        """``own`` (a frame or an array) up to the slice end."""
         if self._until is None or offset:
             return own
-        return own.iloc[:np.searchsorted(us, self._until, side="right")] if rising else own[us <= self._until]
+        part = slice(us.searchsorted(self._until, side="right")) if rising else us <= self._until
+        return own.iloc[part] if isinstance(own, pd.DataFrame) else own[part]
+
+    def _frame(self, kind: str, offset: int = 0) -> pd.DataFrame:
+        return self._cut(*self._whole(kind, offset), offset)
+
+    def column(self, kind: str, name: str, offset: int = 0) -> np.ndarray:
+        """One column of a feed in sequence order, as the frame has it."""
+        at, us, rising = self._place(kind, offset)
+        return self._cut(self._rows[name][at], us, rising, offset)
+
+    def last_rows(self, kind: str, ends: np.ndarray) -> np.ndarray:
+        """Place in ``column`` of the newest row, by sequence, of each slice of the whole day; -1 where it has none.
+        ``ends`` as of ``end_micros``."""
+        _, us, rising = self._place(kind)
+        if rising:
+            return us.searchsorted(ends, side="right") - 1
+        order, seen = self._by_time(us, ends)
+        newest = np.concatenate([[-1], np.maximum.accumulate(order)])
+        return newest[seen]
+
+    def totals(self, kind: str, name: str, ends: np.ndarray) -> np.ndarray:
+        """Sum of a column over each slice of the whole day, without its nulls."""
+        at, us, rising = self._place(kind)
+        values = self._rows[name][at]
+        if values.dtype.kind not in "iub":
+            values = np.nan_to_num(values.astype(float), nan=0.0, posinf=np.inf, neginf=-np.inf)
+        if rising:
+            seen = us.searchsorted(ends, side="right")
+        else:
+            order, seen = self._by_time(us, ends)
+            values = values[order]
+        return np.concatenate([[0], values.cumsum()])[seen]
+
+    @staticmethod
+    def _by_time(us: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in order of time, and how many of them each slice has; rows without a time are only in a whole day."""
+        order = np.argsort(us, kind="stable")
+        return order, np.where(ends == WHOLE_DAY, len(us), us[order].searchsorted(ends, side="right"))
 
     @cached_property
     def tick(self) -> pd.DataFrame:
@@ -266,13 +341,19 @@ class StockData:
 
     def until(self, second: int | None) -> "StockData":
         """The same stock cut at a slice end, inclusive, so no later row is visible."""
-        return self if second is None else StockData(self.code, self._rows, second * 1_000_000, self._feeds)
+        return self if second is None else StockData(self.code, self._rows, second * 1_000_000, self._feeds, self._places)
 
 
 def end_second(end_time: str) -> int | None:
     return None if not end_time else int(end_time[:2]) * 3600 + int(end_time[2:4]) * 60 + int(end_time[4:6])
 
 
+def end_micros(end_times: Iterable[str]) -> np.ndarray:
+    """Slice ends in microseconds of the day; a slice without an end is the whole day."""
+    seconds = [end_second(e) for e in end_times]
+    return np.array([WHOLE_DAY if s is None else s * 1_000_000 for s in seconds], np.int64)
+
+
 def result_rows(value: object, code: str, end_times: Iterable[str]) -> list[dict]:
     """Any accepted return shape -> rows with ``code`` and ``end_time``.
 
@@ -301,16 +382,33 @@ def result_rows(value: object, code: str, end_times: Iterable[str]) -> list[dict
     return [{"code": code, "end_time": ends[0], **value}]
 
 
-def _emit_rows(groups: Iterator[list[dict]], columns: list[str], chunk: int = 5_000) -> Frames:
-    """Result rows as frames of a few thousand rows."""
+def _result_frame(value: pd.DataFrame, code: str, end_times: Iterable[str], day: object, columns: list[str]) -> pd.DataFrame:
+    """``result_rows`` of a frame as a frame."""
+    ends = list(end_times) or [""]
+    given = {"code": code, "end_time": ends[0]}
+    out = value.assign(**{c: v for c, v in given.items() if c not in value.columns}, trade_date=np.full(len(value), day, object))
+    return out.reindex(columns=columns).reset_index(drop=True)
+
+
+def _emit_rows(groups: Iterator[list[dict] | pd.DataFrame], columns: list[str], chunk: int = 5_000) -> Frames:
+    """Result rows, or frames of them, as frames of a few thousand rows."""
     pending: list[dict] = []
+    frames: list[pd.DataFrame] = []
     for rows in groups:
-        pending += rows
+        if isinstance(rows, pd.DataFrame):
+            frames.append(rows)
+        else:
+            pending += rows
         if len(pending) >= chunk:
             yield pd.DataFrame(pending, columns=columns)
             pending = []
+        if sum(map(len, frames)) >= chunk:
+            yield pd.concat(frames, ignore_index=True)
+            frames = []
     if pending:
         yield pd.DataFrame(pending, columns=columns)
+    if frames:
+        yield pd.concat(frames, ignore_index=True)
 
 
 def _result_schema(result: str) -> tuple[str, list[str]]:
@@ -344,7 +442,8 @@ def batch_factors(tagged: DataFrame, fn: Callable, result: str, batches: int, en
     """``fn({code: data}, codes, date, end_times)`` per day and group of codes.
 
     A task walks its rows stock by stock and calls the function after ``codes_per_call`` stocks, so
-    memory follows that number and not the market; no group is refused for its size.
+    memory follows that number and not the market; no group is refused for its size. Stocks are dealt to tasks
+    one by one, so a group is shared by all tasks. A function over many slices returns a frame.
     """
     keyed = tagged.withColumn("_batch", F.pmod(F.xxhash64("code"), F.lit(batches)))
     ship_package(tagged.sparkSession)
@@ -355,8 +454,10 @@ def batch_factors(tagged: DataFrame, fn: Callable, result: str, batches: int, en
         def groups() -> Iterator[list[dict]]:
             held, data = None, {}
 
-            def call() -> list[dict]:
+            def call() -> list[dict] | pd.DataFrame:
                 value = fn(data, sorted(data), held[0], list(ends))
+                if isinstance(value, pd.DataFrame):
+                    return _result_frame(value, "", ends, held[0], columns)
                 return [{**r, "trade_date": held[0]} for r in result_rows(value, "", ends)]
 
             for (day, batch, code), rows in _runs(parts, ["trade_date", "_batch", "code"]):
@@ -368,7 +469,7 @@ def batch_factors(tagged: DataFrame, fn: Callable, result: str, batches: int, en
                 yield call()
         return _emit_rows(groups(), columns)
 
-    return _together(keyed, ["trade_date", "_batch"], ["code", "seq_num"]).mapInPandas(run, schema)
+    return _together(keyed, KEYS, ["seq_num"], ["trade_date", "_batch", "code"]).mapInPandas(run, schema)
 
 
 def streamed_factors(tagged: DataFrame, fn: Callable, result: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -44,9 +45,10 @@ def ud1_fold(spark, sf):
 
 def _slice_factor(data: fac.StockData, code: str, date, end_time: str) -> dict:
     """Last bid and deal volume as of the slice."""
-    if data.tick.empty:
+    bids = data.column("tick", "bid_price1")
+    if not len(bids):
         return {}
-    return {"code": code, "F_bid": float(data.tick["bid_price1"].iloc[-1]), "F_volume": float(data.deal["volume"].sum())}
+    return {"code": code, "F_bid": float(bids[-1]), "F_volume": float(np.nansum(data.column("deal", "volume")))}
 
 
 _SLICED = """
@@ -70,15 +72,20 @@ def ud1_frames(spark, sf):
     return out.withColumn("trade_date", day())
 
 
-def _batch_factor(data: dict, codes: list, date, end_times: list) -> dict:
-    """{code: {end_time: values}}, leaving out stocks without ticks."""
-    out = {}
+def _batch_factor(data: dict, codes: list, date, end_times: list) -> pd.DataFrame | None:
+    """``_slice_factor`` of all stocks and slices, leaving out those without ticks."""
+    ends, shown, bids, volumes = fac.end_micros(end_times), [], [], []
     for code in codes:
-        cut = {e: data[code].until(fac.end_second(e)) for e in end_times}
-        rows = {e: _slice_factor(d, code, date, e) for e, d in cut.items() if not d.tick.empty}
-        if rows:
-            out[code] = rows
-    return out
+        last = data[code].last_rows("tick", ends)
+        own = np.flatnonzero(last >= 0)
+        shown.append(own)
+        if len(own):
+            bids.append(data[code].column("tick", "bid_price1")[last[own]])
+            volumes.append(data[code].totals("deal", "volume", ends[own]))
+    if not bids:
+        return None
+    return pd.DataFrame({"code": np.repeat(np.array(codes, object), [len(own) for own in shown]), "end_time": np.array(end_times, object)[np.concatenate(shown)],
+                         "F_bid": np.concatenate(bids).astype(float), "F_volume": np.concatenate(volumes).astype(float)})
 
 
 @query("ud1_streamed_factors", "v_tick v_deal_ev", """
