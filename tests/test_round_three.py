@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import factors as fac
 from tickloom.plans import factor_queries as fq
+from tickloom.streaming import live
 
 
 def bundle(n: int, rising: bool, untimed: bool = False, seed: int = 3) -> pd.DataFrame:
@@ -62,3 +63,28 @@ def test_one_group_is_shared_by_all_tasks(spark):
     got = fac.batch_factors(tagged, fn, "F_task double, F_n double, F_none double", 1, ("103000", "143000"), codes_per_call=10).collect()
     assert sorted((r.code, r.end_time, r.F_n, r.F_none, str(r.trade_date)) for r in got) == sorted((f"c{i}", "103000", 4.0, None, "2026-01-05") for i in range(100))
     assert len({r.F_task for r in got}) == 4
+
+
+def test_gap_state_lies_in_blocks_that_add_up(spark, tmp_path):
+    """A channel was one key: one task held all of its ranges and rewrote them in every batch."""
+    path, out, cp = (str(tmp_path / p) for p in ("in", "out", "cp"))
+    schema = "channel long, seq_num long"
+    numbers = {1: [*range(-25, -3), 7, 8, 9, 10, 11, 19, 20, *range(40, 61), 95], 2: [5]}
+    parts = [[(c, n) for c, own in numbers.items() for n in own[i::2]] for i in range(2)] + [[(1, 9), (1, 10), (3, 20), (3, 19)]]
+    held = []
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        gaps = live.gap_stream(live.file_stream(spark, path, spark.createDataFrame([], schema).schema), ["channel"], block=10)
+        with live.state_store(spark):
+            live.run_available(gaps, "update", cp, batch=live.changelog_sink(out))
+        held.append(spark.read.parquet(out).where(f"batch = {len(held)}").select("channel", "block").collect())
+    newest = live.latest_from_changelog(spark, out, ["channel", "block"], gaps.schema)
+    got = {r.channel: tuple(r)[1:] for r in live.gap_totals(newest, ["channel"]).collect()}
+
+    def want(own):
+        own = sorted(set(own))
+        return len(own), own[0], own[-1], own[-1] - own[0] + 1 - len(own), sum(b > a + 1 for a, b in zip(own, own[1:]))
+
+    assert got == {c: want(own) for c, own in (numbers | {3: [19, 20]}).items()}
+    # The last batch rewrote only the blocks it touched.
+    assert sorted(map(tuple, held[2])) == [(1, 0), (1, 1), (3, 1), (3, 2)] and newest.count() > 10

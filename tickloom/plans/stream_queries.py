@@ -162,9 +162,9 @@ def _replayed(spark, sf):
 def _gaps(spark, sf, keys, **more):
     out, checkpoint = live.stream_scratch(spark, "gaps")
     with live.state_store(spark):
-        gaps = live.gap_stream(_replayed(spark, sf), keys, **more)
+        gaps = live.gap_stream(_replayed(spark, sf), keys, block=live.GAP_BLOCK, **more)
         live.run_available(gaps, "update", checkpoint, batch=live.changelog_sink(out))
-    return live.latest_from_changelog(spark, out, keys, gaps.schema)
+    return live.gap_totals(live.latest_from_changelog(spark, out, [*keys, "block"], gaps.schema), keys)
 
 
 @query("st8_stream_gaps", "v_order", """

@@ -15,6 +15,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -156,8 +157,16 @@ def merge_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return lo[first], hi[np.append(first[1:], len(lo)) - 1] if len(lo) else hi
 
 
+def _folded(owner: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows at which the closed ranges of each owner's numbers begin, and both ends of the ranges."""
+    order = np.lexsort((numbers, owner))
+    own, n = owner[order], numbers[order]
+    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (n[1:] > n[:-1] + 1)])) if len(n) else np.empty(0, np.int64)
+    return order[first], n[first], n[np.append(first[1:], len(n)) - 1] if len(n) else n
+
+
 class _GapRanges(StatefulProcessor):
-    """Seen numbers of one channel as a sorted list of closed ranges; the state follows its gaps."""
+    """Seen numbers of one channel (or block of it) as a sorted list of closed ranges; the state follows its gaps."""
 
     def __init__(self, keys: list[str], expires: bool):
         self.keys, self.expires = keys, expires
@@ -194,16 +203,27 @@ class _GapRanges(StatefulProcessor):
         pass
 
 
-def gap_stream(feed: DataFrame, keys: list[str], seq: str = "seq_num", day: str | None = None, delay: str = "1 day") -> DataFrame:
+#: Numbers of a block; a block has half as many ranges at most.
+GAP_BLOCK = 1 << 17
+
+
+def gap_stream(feed: DataFrame, keys: list[str], seq: str = "seq_num", day: str | None = None, delay: str = "1 day",
+               block: int | None = None) -> DataFrame:
     """Distinct and missing sequence numbers per channel so far.
 
     Each task first folds its own rows into ranges, so a busy channel ships ranges, not messages. Replays
     fall into ranges already held, late numbers close gaps, and the state has one row per range: it grows
     with gaps and not with messages. With ``day`` (a date column, one of the keys) a channel's ranges are
     dropped once the watermark has passed its day by ``delay``; otherwise they are kept.
+
+    A channel's ranges are held by one task. With ``block`` each block of so many numbers is a key of its own
+    (column ``block``, number // block): a task holds one block's ranges, a batch rewrites only the blocks it
+    touches, and a channel is shared by many tasks. ``gap_totals`` adds the blocks up.
     Needs the RocksDB state store (``STATE_STORE``).
     """
     ship_package(feed.sparkSession)
+    if block is not None:
+        feed, keys = feed.withColumn("block", F.expr(f"(`{seq}` - pmod(`{seq}`, {block}L)) div {block}L")), [*keys, "block"]
     columns = [*keys, seq]
     if day is not None:
         feed = feed.withColumn("time", F.timestamp_micros(times.epoch_micros(F.col("time"))))
@@ -213,17 +233,18 @@ def gap_stream(feed: DataFrame, keys: list[str], seq: str = "seq_num", day: str
     rows = feed.select(*columns, *extra, end.alias("expiry_ms"))
     ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
     schema = f"{ids}, lo long, hi long, expiry_ms long" + (", time timestamp" if extra else "")
+    names = [*keys, "lo", "hi", "expiry_ms", *extra]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            parts = []
-            for key, own in frame.groupby(keys, sort=False, dropna=False):
-                numbers = own[seq].to_numpy(np.int64)
-                lo, hi = merge_ranges(numbers, numbers)
-                part = {**dict(zip(keys, key)), "lo": lo, "hi": hi, "expiry_ms": own["expiry_ms"].iloc[0]}
-                parts.append(pd.DataFrame(part | ({"time": own["time"].max()} if extra else {})))
-            if parts:
-                yield pd.concat(parts)
+            if not len(frame):
+                continue
+            owner = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            at, lo, hi = _folded(owner, frame[seq].to_numpy(np.int64))
+            part = frame[[*keys, "expiry_ms"]].iloc[at].assign(lo=lo, hi=hi)
+            if extra:
+                part["time"] = frame["time"].groupby(owner).max().reindex(owner[at]).to_numpy()
+            yield part[names]
 
     ranges = rows.where(F.col(seq).isNotNull()).mapInPandas(fold, schema)
     if extra:
@@ -234,6 +255,20 @@ def gap_stream(feed: DataFrame, keys: list[str], seq: str = "seq_num", day: str
         timeMode="EventTime" if day is not None else "None")
 
 
+def gap_totals(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per channel from the newest row of each of its blocks, as a ``gap_stream`` with ``block`` gives them.
+
+    A range that goes on in the next block is one range; only a channel's blocks are walked, not its numbers.
+    """
+    before = F.lag("last_seq").over(W.partitionBy(*keys).orderBy("block"))
+    joined = blocks.withColumn("_on", F.coalesce((F.col("first_seq") == before + 1).cast("long"), F.lit(0)))
+    out = joined.groupBy(*keys).agg(
+        F.sum("messages").alias("messages"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"),
+        F.sum(F.col("gaps") + 1 - F.col("_on")).alias("_ranges"))
+    return out.select(*keys, "messages", "first_seq", "last_seq", (F.col("last_seq") - F.col("first_seq") + 1 - F.col("messages")).alias("missing"),
+                      (F.col("_ranges") - 1).alias("gaps"))
+
+
 def changelog_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Write each batch of an update-mode stream under its batch number; a retry overwrites itself."""
     def write(rows: DataFrame, batch_id: int) -> None:
