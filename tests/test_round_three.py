@@ -88,3 +88,27 @@ def test_gap_state_lies_in_blocks_that_add_up(spark, tmp_path):
     assert got == {c: want(own) for c, own in (numbers | {3: [19, 20]}).items()}
     # The last batch rewrote only the blocks it touched.
     assert sorted(map(tuple, held[2])) == [(1, 0), (1, 1), (3, 1), (3, 2)] and newest.count() > 10
+
+
+def test_stocks_are_cut_out_of_their_batch(spark):
+    """A conversion of its own for each stock is what took the time; types and row numbers stay those of one."""
+    day = F.lit("2026-01-05").cast("date").alias("trade_date")
+    left = spark.range(3000).select(day, F.concat(F.lit("c"), F.col("id") % 300).alias("code"), F.col("id").alias("n"), (F.col("id") / 2).alias("x"))
+    right = spark.range(0, 300, 3).select(F.concat(F.lit("c"), F.col("id")).alias("code"), day, F.when(F.col("id") % 2 == 0, F.col("id") + F.lit(2**60)).alias("flag"))
+
+    def fn(code, date, a, b):
+        assert list(a.index) == list(range(10)) and a["n"].dtype == np.int64 and a["x"].dtype == float and (a["code"] == code).all()
+        flag = list(b["flag"])
+        if flag and int(code[1:]) % 2 == 0:
+            assert b["flag"].dtype == np.int64 and flag == [int(code[1:]) + 2**60]  # not by way of a float, whatever other stocks hold
+        whole = a["x"].to_numpy().base
+        return {"F_n": float(a["n"].sum()), "F_right": float(len(b)), "F_shared": float(whole is not None and max(whole.shape) > 10)}
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {r.code: r for r in fac.cogrouped_factors(left, right, fn, "F_n double, F_right double, F_shared double").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {c: (r.F_n, r.F_right) for c, r in got.items()} == {f"c{i}": (float(sum(range(i, 3000, 300))), float(i % 3 == 0)) for i in range(300)}
+    assert sum(r.F_shared for r in got.values()) > 200  # the others lie in two batches

@@ -135,16 +135,17 @@ def _together(df: DataFrame, keys: list[str], order: list[str] = (), walk: list[
     return df.repartition(n, *keys).sortWithinPartitions(*(walk or keys), *order)
 
 
-def _starts(frame: pd.DataFrame, keys: list[str]) -> list[int]:
+def _starts(frame: pd.DataFrame | dict[str, np.ndarray], keys: list[str]) -> list[int]:
     """Row numbers where a new key begins, and the row count at the end."""
-    if not len(frame):
+    rows = len(frame[keys[0]])
+    if not rows:
         return [0]
-    changed = np.zeros(len(frame), dtype=bool)
+    changed = np.zeros(rows, dtype=bool)
     changed[0] = True
     for k in keys:
-        column = frame[k].to_numpy()
+        column = np.asarray(frame[k])
         changed[1:] |= column[1:] != column[:-1]
-    return [*np.flatnonzero(changed).tolist(), len(frame)]
+    return [*np.flatnonzero(changed).tolist(), rows]
 
 
 class Rows:
@@ -493,7 +494,8 @@ def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: s
     """``fn(code, date, left_frame, right_frame)`` for two inputs of different shape.
 
     Both inputs lie under each other with a side mark, sorted by day, code and side, so one shuffle
-    brings them together and a task walks both at once with one stock in memory, whatever the market's size.
+    brings them together and a task walks both at once with one batch and one stock in memory, whatever the market's
+    size. A batch becomes one frame a side, of which stocks get their rows; do not write into them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -505,28 +507,47 @@ def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: s
     laid = [df.select(*KEYS, F.lit(side).alias("_side"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias(f"_{side}"))
             for side, df in enumerate((left, right))]
     both = laid[0].unionByName(laid[1], allowMissingColumns=True)
-    kinds = [both.schema[f"_{side}"].dataType for side in (0, 1)]
+    kinds = [to_arrow_schema(StructType().add("s", both.schema[f"_{side}"].dataType))[0].type for side in (0, 1)]
 
     def frame(parts: list, side: int) -> pd.DataFrame:
-        whole = pa.chunked_array(parts, to_arrow_schema(StructType().add("s", kinds[side]))[0].type)
+        whole = pa.chunked_array(parts, kinds[side])
         return pa.Table.from_arrays([pa.chunked_array([c.field(i) for c in whole.chunks], whole.type[i].type) for i in range(len(names[side]))],
                                     names=names[side]).to_pandas()
 
+    def opened(column: pa.StructArray, side: int) -> pd.DataFrame | None:
+        """A side's rows of a batch as one frame; none where a null would change a number's type for other stocks too."""
+        if any(c.null_count and not (pa.types.is_floating(c.type) or pa.types.is_string(c.type) or pa.types.is_date(c.type)) for c in column.flatten()):
+            return None
+        return frame([column], side)
+
     def stocks(batches) -> Iterator[tuple]:
-        """(day, code, left parts, right parts)."""
-        held, parts = None, ([], [])
+        """(day, code, left frame, right frame)."""
+        held, parts, ready = None, ([], []), [None, None]
+        nothing = [frame([], side) for side in (0, 1)]
+
+        def own_frames() -> list[pd.DataFrame]:
+            return [ready[side] if ready[side] is not None else frame(parts[side], side) if parts[side] else nothing[side].copy() for side in (0, 1)]
+
         for batch in batches:
-            keys = batch.select([*KEYS, "_side"]).to_pandas()
+            keys = {k: batch.column(k).to_pandas(date_as_object=True).to_numpy() for k in [*KEYS, "_side"]}
             starts = _starts(keys, [*KEYS, "_side"])
+            sides = [batch.column(f"_{side}").filter(pa.array(keys["_side"] == side)) for side in (0, 1)]
+            frames, at = [opened(column, side) for side, column in enumerate(sides)], [0, 0]
             for lo, hi in zip(starts, starts[1:]):
-                day, code, side = keys.iloc[lo]
-                if held not in (None, (day, code)):
-                    yield *held, *parts
-                    parts = ([], [])
-                held = (day, code)
-                parts[side].append(batch.column(f"_{side}").slice(lo, hi - lo))
+                key, side = (keys["trade_date"][lo], keys["code"][lo]), keys["_side"][lo]
+                if held is not None and held != key:
+                    yield *held, *own_frames()
+                    parts, ready = ([], []), [None, None]
+                held = key
+                first, at[side] = at[side], at[side] + hi - lo
+                # The last rows of a batch may go on in the next one.
+                if frames[side] is not None and not parts[side] and hi < batch.num_rows:
+                    ready[side] = frames[side].iloc[first:at[side]]
+                    ready[side].index = pd.RangeIndex(hi - lo)
+                else:
+                    parts[side].append(sides[side].slice(first, hi - lo))
         if held is not None:
-            yield *held, *parts
+            yield *held, *own_frames()
 
     def run(batches):
         pending: list[dict] = []
@@ -535,8 +556,8 @@ def cogrouped_factors(left: DataFrame, right: DataFrame, fn: Callable, result: s
             columns = [pa.array([r.get(f.name) for r in pending], f.type, from_pandas=True) for f in out]
             return pa.RecordBatch.from_arrays(columns, schema=out)
 
-        for day, code, *parts in stocks(batches):
-            value = fn(code, day, frame(parts[0], 0), frame(parts[1], 1))
+        for day, code, *frames in stocks(batches):
+            value = fn(code, day, *frames)
             pending += [{**r, "trade_date": day} for r in result_rows(value, code, [""])]
             if len(pending) >= 5_000:
                 yield full()
