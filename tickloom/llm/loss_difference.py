@@ -9,10 +9,11 @@ corpus. A bigram is one word and the word before it, so the counts that a word's
 one place if every word goes to a bucket of its own. Words and bigrams from ``SHARE`` of all counted
 words on, 1 / share of each at most, are counted beforehand, broadcast and priced on the spot, so no
 frequent key is moved; the bigrams left over of a frequent word are dealt by bigram, all rare words
-by word. A bucket counts what it holds, prices each occurrence and gives back sums by document: one
+by word. A bucket counts what it holds, prices each occurrence and sums them by document: one
 shuffle of occurrences, with no table of bigrams written. Where a loss is found never changes it.
 
-A bucket's sums by document are added as decimals, so scores do not depend on the order of arrival.
+A task goes through its buckets one after the other and adds up their sums by document. Sums are
+added as whole numbers, so scores do not depend on the order of arrival.
 
 Defined results: null and empty texts have no words, null losses and score 0; without target rows
 the target model is the smoothed uniform one; null and repeated ids are scored row by row, and a
@@ -22,6 +23,7 @@ repeated id is in the target with each of its rows; an empty table gives no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,9 @@ OFTEN = 3
 #: Distinct keys that a task holds before it hands their counts on.
 HELD = 400_000
 #: Moved occurrences of a bucket.
-PER_BUCKET = 3_000_000
+PER_BUCKET = 1_000_000
+#: Documents whose sums a task holds over its buckets.
+SUMS = 500_000
 #: Target ids up to this number are broadcast; beyond it documents are marked by a shuffle, once.
 TARGETS = 2_000_000
 FIRST, LAST = 1, 2
@@ -160,6 +164,8 @@ class Frequent:
         return *sums, np.flatnonzero(~known | ~(hot | g.first)), known, at
 
 
+_KINDS = {"docs": np.int64, "t": np.uint32, "b": np.uint32, "doc": np.uint32, "flag": np.uint8, "known": np.uint32, "rare": np.uint64, "pair": np.uint64}
+_REST = (1 << 50) - 1
 _MOVED_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("docs", "t", "b", "doc", "flag", "known", "rare", "pair")])
 MOVED = "bucket int, docs binary, t binary, b binary, doc binary, flag binary, known binary, rare binary, pair binary"
 
@@ -181,22 +187,68 @@ def _moved(g: Group, frequent: Frequent, buckets: int) -> Iterator[dict]:
         yield {"bucket": int(bucket[start])} | {c: v.tobytes() for c, v in columns.items()}
 
 
-def _priced(batches, frequent: Frequent) -> Iterator[pa.RecordBatch]:
-    """``words``, ``n`` and both summed losses of the occurrences of whole buckets, by document."""
-    kinds = {"docs": np.int64, "t": np.uint32, "b": np.uint32, "doc": np.uint32, "flag": np.uint8, "known": np.uint32, "rare": np.uint64, "pair": np.uint64}
-    held: dict[str, list] = {c: [] for c in kinds}
+def _by_bucket(batches) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(bucket, rows) of rows sorted by bucket."""
+    rows = (row for batch in batches for row in zip(batch.column("bucket").to_pylist(), *(batch.column(c) for c in _KINDS)))
+    yield from groupby(rows, key=lambda row: row[0])
+
+
+def _limbs(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole parts, and the rest in units of 2**-50: they add up to the same in any order."""
+    whole = np.floor(value)
+    rest = np.rint((value - whole) * 2.0**50).astype(np.int64)
+    return whole.astype(np.int64) + (rest >> 50), rest & _REST
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    """Rows of ``_priced`` added up by document."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.argsort(columns[0], kind="stable")
+    words, n, *limbs = (c[order] for c in columns)
+    new = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.empty(0, np.int64)
+    if not len(new):
+        return tuple(columns)
+    out = [words[new], np.add.reduceat(n, new)]
+    for whole, rest in zip(limbs[::2], limbs[1::2]):
+        high, low = np.add.reduceat(rest >> 25, new), np.add.reduceat(rest & ((1 << 25) - 1), new)
+        high += low >> 25
+        out += [np.add.reduceat(whole, new) + (high >> 25), (high & ((1 << 25) - 1)) << 25 | low & ((1 << 25) - 1)]
+    return tuple(out)
+
+
+def _summed(batches, frequent: Frequent) -> Iterator[pa.RecordBatch]:
+    """``words``, ``n`` and both summed losses of the occurrences of a task's buckets, by document. One bucket
+    is held at a time, and the sums of ``SUMS`` documents; more go on before all buckets are read."""
+    parts, size = [], 0
+
+    def batch(part: tuple) -> pa.RecordBatch:
+        return pa.record_batch({c: pa.array(v) for c, v in zip(("words", "n", "lt", "rt", "lb", "rb"), part)})
+
+    for _, rows in _by_bucket(batches):
+        parts.append(_priced(rows, frequent))
+        size += len(parts[-1][0])
+        if size > 2 * SUMS:
+            parts = [_joined(parts)]
+            size = len(parts[0][0])
+            if size > SUMS:
+                yield batch(parts.pop())
+                size = 0
+    if parts:
+        yield batch(_joined(parts))
+
+
+def _priced(rows: Iterator[tuple], frequent: Frequent) -> tuple:
+    """Documents, numbers of occurrences and both summed losses (limbs) of a bucket."""
+    held: dict[str, list] = {c: [] for c in _KINDS}
     known, docs = [], 0
-    for batch in batches:
-        for row in zip(*(batch.column(c) for c in kinds)):
-            part = {c: np.frombuffer(v.as_py(), kind) for v, (c, kind) in zip(row, kinds.items())}
-            part["doc"] = part["doc"].astype(np.int64) + docs
-            docs += len(part["docs"])
-            known.append(np.arange(len(part["doc"])) < len(part["known"]))
-            for c, v in part.items():
-                held[c].append(v)
-    if not known:
-        return
-    all_ = {c: np.concatenate(held.pop(c)) for c in kinds}
+    for row in rows:
+        part = {c: np.frombuffer(v.as_py(), kind) for v, (c, kind) in zip(row[1:], _KINDS.items())}
+        part["doc"] = part["doc"].astype(np.int64) + docs
+        docs += len(part["docs"])
+        known.append(np.arange(len(part["doc"])) < len(part["known"]))
+        for c, v in part.items():
+            held[c].append(v)
+    all_ = {c: np.concatenate(held.pop(c)) for c in _KINDS}
     known, doc = np.concatenate(known), all_["doc"]
     first, last = all_["flag"] & FIRST > 0, all_["flag"] & LAST > 0
     weights = [all_[c].astype(np.float64) for c in "tb"]
@@ -213,8 +265,7 @@ def _priced(batches, frequent: Frequent) -> Iterator[pa.RecordBatch]:
         share = frequent.share(side, own)
         value = np.where(first, -np.log(share), -np.log(both + PRIOR * share)) + np.where(known | last, 0.0, np.log(own + PRIOR))
         sums.append(np.add.reduceat(value[order], starts))
-    yield pa.record_batch({"words": pa.array(all_["docs"][doc[order][starts]]), "n": pa.array(np.diff([*starts, len(doc)]).astype(np.int64)),
-                           "lt": pa.array(sums[0]), "lb": pa.array(sums[1])})
+    return all_["docs"][doc[order][starts]], np.diff([*starts, len(doc)]).astype(np.int64), *_limbs(sums[0]), *_limbs(sums[1])
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -286,9 +337,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.record_batch({"doc_id": batch.column("doc_id")} | {c: pa.array(v) for c, v in columns})
 
     # Equal documents of several groups are summed more than once: by n / n_rest of them.
-    rest = texts.mapInArrow(moved, MOVED).repartitionById(buckets, "bucket").mapInArrow(
-        lambda batches: _priced(batches, sent.value), "words bigint, n bigint, lt double, lb double").groupBy("words").agg(
-        F.sum("n").alias("n"), *[F.sum(F.col(f"l{c}").cast("decimal(38,15)")).cast("double").alias(f"l{c}") for c in "tb"])
+    # A task adds up its buckets, so what it gives back follows the documents and not the number of buckets;
+    # sums it could not hold are added up before they are shuffled.
+    tasks = min(buckets, 2 * spark.sparkContext.defaultParallelism)
+    total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).cast("double")
+    rest = texts.mapInArrow(moved, MOVED).repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket").mapInArrow(
+        lambda batches: _summed(batches, sent.value), "words bigint, n bigint, lt bigint, rt bigint, lb bigint, rb bigint").groupBy("words").agg(
+        F.sum("n").alias("n"), *[(total(f"l{c}") + total(f"r{c}") / 2.0**50).alias(f"l{c}") for c in "tb"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     each = docs.select("doc_id", "text").mapInArrow(held, f"doc_id {kind}, words bigint, n_words bigint, n_rest bigint, x double, y double")
     loss = {c: F.when(F.col("n_words") > 0, (F.col(own) + F.when(F.col("n_rest") > 0, F.col(f"l{c}") / (F.col("n") / F.col("n_rest"))).otherwise(0.0)) / F.col("n_words")) for c, own in (("t", "x"), ("b", "y"))}
