@@ -10,9 +10,11 @@ confirmed on full sets: first a forest of candidate pairs, then only pairs betwe
 components, so a group of copies costs about as many confirmations as it has members.
 
 Regions above ``REGION`` rows that hold more than one component afterwards (templates that share
-much text) get an exact pass: their documents' shingles in one order, about rarest first, and a join
-on the prefixes that any pair at the threshold must share (``exact_pairs``). The pairs it makes are
-dropped by the same signatures, at five deviations, before full sets are moved for them.
+much text) get an exact pass (``exact_links``): the full sets of a region meet in one task, or in
+one task per pair of blocks where it is large, and all pairs between its components are compared
+there. A task gives back a forest of its links, so what leaves it grows with documents, not pairs.
+Every pair that shares a region in any of the orders is thus looked at, whatever the region's size;
+at the threshold itself two in a million share none.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept;
 equal sets are one node however many documents share it; a null ``doc_id`` gets no component and is
@@ -44,12 +46,10 @@ LEAST_AGREEMENT = 0.59
 ROWS_PER_TASK = 200_000
 #: Rows of a batch that a Python worker holds: texts, full sets or pairs of full sets.
 BATCH_ROWS = 1_000
-#: 2**COMMON counters of shingles, for the order of prefixes; a full one costs time and never pairs.
-COMMON = 22
-#: Slots of a pair at the threshold agree in their two lowest bits in 0.8125 of 192, with a deviation of 0.028.
-LEAST_SKETCH = 0.67
-#: Pairs that a task holds to tell repeated ones.
-HELD_PAIRS = 500_000
+#: Blocks of a region hold about so many shingles, and so many nodes at most; a task holds two blocks at a time.
+BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 4_096
+#: Shingles that a task of the exact pass is dealt, one pair of blocks after the other.
+SHINGLES_PER_TASK = 8_000_000
 _rng = np.random.default_rng(20_240_607)
 _FLIP = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 1 << 31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -271,8 +271,8 @@ def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _regions(keys: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """``region`` (tree and first ``SHALLOW`` slots) and ``node`` of every key, or of those in the regions
-    ``wanted`` and of few others; no key of a large region is moved to one task."""
+    """``region`` (tree and first ``SHALLOW`` slots), ``node`` and set size of every key, or of those in the
+    regions ``wanted`` and of few others; no key of a large region is moved to one task."""
     shared = keys.sparkSession.sparkContext.broadcast(None if wanted is None else bitmap(wanted))
 
     def run(batches):
@@ -282,126 +282,101 @@ def _regions(keys: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
             region[:, 7 - 2 * SHALLOW:] = k[:, :1 + 2 * SHALLOW]
             node = (k[:, 17:25].copy().view(">u8").ravel() ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)
             region = region.view(">i8").ravel().astype(np.int64)
+            size = k[:, 25:29].copy().view(">u4").ravel().astype(np.int64)
             keep = np.ones(len(k), bool) if shared.value is None else holds(shared.value, region)
-            yield pa.record_batch({"region": pa.array(region[keep]), "node": pa.array(node[keep])})
+            yield pa.record_batch({"region": pa.array(region[keep]), "node": pa.array(node[keep]), "size": pa.array(size[keep])})
 
-    return keys.mapInArrow(run, "region bigint, node bigint")
-
-
-def _within(entries: DataFrame, regions: DataFrame) -> DataFrame:
-    """Entries of ``regions``, and of few others."""
-    shared = entries.sparkSession.sparkContext.broadcast(bitmap(regions))
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(holds(shared.value, batch.column("region").to_numpy())))
-
-    return entries.mapInArrow(run, "region bigint, node bigint")
+    return keys.mapInArrow(run, "region bigint, node bigint, size bigint")
 
 
 def crowded(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of all nodes in regions above ``REGION`` rows with more than one component."""
+    """``region``, ``node``, ``root``, ``size`` of the nodes of all regions above ``REGION`` rows with more than one
+    component, and the ``blocks`` that the region is cut into."""
     large = written(_regions(keys).groupBy("region").count().filter(F.col("count") > REGION).select("region"), "forest-large")
     # No rows of a region that is small: the forest has looked at all its pairs.
-    held = written(_regions(keys, large).join(labels, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")), "forest-held")
-    mixed = held.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
-    mixed = written(mixed.filter((F.col("n") > REGION) & (F.col("x") < F.col("y"))).select("region"), "forest-mixed")
-    return _within(held.select("region", "node"), mixed).select("node").distinct().join(held.select("node", "root").distinct(), "node")
+    held = _regions(keys, large).join(labels, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"), "size")
+    held = written(held, "forest-held")
+    mixed = held.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum"), F.min("root").alias("x"), F.max("root").alias("y"))
+    blocks = F.ceil(F.greatest(F.col("sum") / BLOCK_SHINGLES, F.col("n") / BLOCK_NODES))
+    mixed = mixed.filter((F.col("n") > REGION) & (F.col("x") < F.col("y"))).select("region", blocks.alias("blocks"))
+    return held.join(mixed, "region").distinct()
 
 
-def _commonness(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of each counter occur, as eighths of a doubling in one byte."""
-    def run(batches):
-        for batch in batches:
-            at = [_unpacked(x) >> np.uint64(64 - COMMON) for x in batch.column("shingles").to_pylist()]
-            k, n = np.unique(np.concatenate(at) if at else np.empty(0, np.uint64), return_counts=True)
-            yield pa.record_batch({"k": pa.array(k.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    rows = sets.select("shingles").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2**COMMON at most
-    out = np.zeros(1 << COMMON, np.uint8)
-    out[rows.column("k").to_numpy()] = np.minimum(8 * np.log2(rows.column("n").to_numpy()), 255)
-    return out
-
-
-def _least_common(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Shingles that sets of ``x`` and ``y`` shingles share at the threshold."""
-    return -(-percent * (x + y) // (100 + percent))
-
-
-def _sketch(sig: bytes) -> bytes:
-    """The two lowest bits of every slot, four slots a byte."""
-    low = (np.frombuffer(sig, np.uint8) & 3).reshape(-1, 4)
-    return (low << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
-
-
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sketches (rows) agree in enough slots for a pair near the threshold."""
-    differ = x ^ y
-    differ = (differ | differ >> np.uint8(1)) & np.uint8(0x55)
-    return np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= int((1 - LEAST_SKETCH) * SLOTS)
-
-
-def _sharing(rows: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one partition's prefix rows (token, node, root, size, place, sketch) that may reach the threshold."""
-    order = np.argsort(rows[0])
-    token, node, root, size, place, sketch = (r[order] for r in rows)
-    i, step = np.arange(len(token)), 1
-    while len(i := i[i + step < len(token)]) and len(i := i[token[i] == token[i + step]]):
-        j = i + step
-        # Where this is the first shingle in common, no more than what follows it can be shared.
-        may = (root[i] != root[j]) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= _least_common(size[i], size[j], percent))
-        x, y = i[may], j[may]
-        near = _alike(sketch[x], sketch[y])
-        if near.any():
-            x, y = node[x[near]], node[y[near]]
-            yield np.minimum(x, y), np.maximum(x, y)
-        step += 1
-
-
-def _once(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
-    """The pairs of all parts in blocks; of repeated pairs in ``HELD_PAIRS`` one is left."""
-    held, n = [], 0
-    for part in parts:
-        held.append(np.stack(part, axis=1))
-        n += len(part[0])
-        if n > 2 * HELD_PAIRS:
-            held = [np.unique(np.concatenate(held), axis=0)]
-            n = len(held[0])
-            if n > HELD_PAIRS:
-                yield held.pop()
-                n = 0
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Neighbouring rows of one region and pair of blocks."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("region", "lower", "upper")], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for start, end in zip(cuts, cuts[1:]):
+            if held and (key[start] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key[start]
     if held:
-        yield np.unique(np.concatenate(held), axis=0)
-
-
-def exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs ``a`` < ``b`` of ``node`` with different ``root`` that can reach the threshold, none left out
-    but those whose signatures (``sig``) lie five deviations away.
+        yield pa.Table.from_batches(held)
+
+
+def _parities(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One row of bits a set: whether an odd number of its shingles falls on each, about eight bits a shingle."""
+    bits = 1 << min(max(int(8 * size.mean()).bit_length(), 8), 14)
+    odd = np.zeros(len(size) * bits, np.uint8)
+    np.add.at(odd, np.repeat(np.arange(len(size)) * bits, size) + (shingles & np.uint64(bits - 1)).astype(np.int64), 1)
+    return np.packbits(odd & 1).view(np.uint64).reshape(len(size), -1)
+
+
+def linked(root: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that join every two ``root`` which links between them join: all pairs of different roots are
+    compared on full sets, those of different blocks if there are two. Sets are distinct hashes and not empty."""
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, root, block = size[order], root[order].copy(), block[order]
+    two = block.min() != block.max()
+    values = np.concatenate([sets[i] for i in order])
+    begin, bits = np.cumsum(size) - size, _parities(values, size)
+    known, ids = np.unique(values, return_inverse=True)
+    own = np.zeros(len(known), bool)
+    until = np.searchsorted(size, 100 * size // percent, "right")
+    for i in range(len(size)):
+        j = np.arange(i + 1, until[i])
+        j = j[(root[j] != root[i]) & (block[j] != block[i])] if two else j[root[j] != root[i]]
+        # Two sets differ in as many shingles as their bits do, or in more.
+        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        both = size[i] + size[j]
+        j = j[both - differ >= 2 * -(-percent * both // (100 + percent))]
+        if not len(j):
+            continue
+        mine = ids[begin[i]:begin[i] + size[i]]
+        own[mine] = True
+        at = np.cumsum(size[j]) - size[j]
+        common = np.add.reduceat(own[ids[np.repeat(begin[j] - at, size[j]) + np.arange(size[j].sum())]], at, dtype=np.int64)
+        own[mine] = False
+        for k in j[100 * common >= percent * (size[i] + size[j] - common)].tolist():
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                yield int(order[i]), int(order[k])
+
+
+def exact_links(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a`` < ``b`` that join all components which links inside a region of ``crowd`` join."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rows = crowd.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("region", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "node", "root")
+    shingles = crowd.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0]
+    tasks = max(crowd.sparkSession.sparkContext.defaultParallelism, -(-shingles // SHINGLES_PER_TASK))
 
-    Any total order of shingles is right: the first one that two sets share must stand early in both.
-    """
-    common = sets.sparkSession.sparkContext.broadcast(_commonness(sets))
+    def run(batches):
+        for unit in _units(batches):
+            node, root, block = (unit.column(c).to_numpy() for c in ("node", "root", "block"))
+            pairs = list(linked(root, block, [_unpacked(x) for x in unit.column("shingles").to_pylist()], percent))
+            ends = np.sort(node[np.array(pairs, np.int64).reshape(-1, 2)], axis=1)
+            yield pa.record_batch({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
-    def prefixes(batches):
-        for batch in batches:
-            for node, root, sig, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "sig", "shingles"))):
-                s = _unpacked(raw)
-                n = len(s)
-                s = s[np.lexsort((s, common.value[s >> np.uint64(64 - COMMON)]))][:n - -(-percent * n // 100) + 1]
-                yield pa.record_batch({"token": pa.array(s.view(np.int64)), "node": pa.array(np.full(len(s), node)), "root": pa.array(np.full(len(s), root)),
-                                       "size": pa.array(np.full(len(s), n, np.int64)), "place": pa.array(np.arange(len(s))),
-                                       "sketch": pa.array([_sketch(sig)] * len(s), pa.binary())})
-
-    def pairs(batches):
-        held = [[batch.column(c).to_numpy() for c in ("token", "node", "root", "size", "place")]
-                + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS // 4)] for batch in batches if batch.num_rows]
-        for block in _once(_sharing([np.concatenate(c) for c in zip(*held)], percent)) if held else ():
-            yield pa.record_batch({"a": pa.array(block[:, 0]), "b": pa.array(block[:, 1])})
-
-    rows = written(sets.select("node", "root", "sig", "shingles").mapInArrow(
-        prefixes, "token bigint, node bigint, root bigint, size bigint, place bigint, sketch binary"), "forest-prefixes")
-    tasks = max(sets.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
-    return rows.repartition(tasks, "token").mapInArrow(pairs, "a bigint, b bigint").distinct()
+    unit = ["region", "lower", "upper"]
+    return rows.join(sets, "node").repartition(tasks, *unit).sortWithinPartitions(*unit).mapInArrow(run, "a bigint, b bigint")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -441,11 +416,8 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     labels = components(found)
     crowd = written(crowded(keys, labels), "forest-crowd")
     if not crowd.isEmpty():
-        apart = _sets_of(docs, nodes, crowd.select("node"))
-        told = apart.join(crowd, "node").join(nodes.select("node", "sig"), "node")
-        more = written(agreeing(exact_pairs(told, percent), nodes), "forest-exact")
-        nothing = more.select("a", "b").limit(0)
-        labels = components(_crossing(more, nothing, found, apart, percent))
+        more = written(exact_links(crowd, _sets_of(docs, nodes, crowd.select("node")), percent), "forest-exact")
+        labels = components(found.unionByName(more))
     return signed, nodes, labels
 
 
